@@ -20,15 +20,19 @@ def category_key(category: Column, subcategory: Column) -> Column:
 
 
 def build_dimension(lines: DataFrame) -> DataFrame:
-    """Parents and children named by the (normalized) category columns."""
-    parents = lines.select(F.col("category").alias("name")).distinct().select(
-        F.col("name").alias("category_key"), "name", F.lit(None).cast("string").alias("parent_key"))
-    children = (lines.filter(F.col("subcategory").isNotNull())
-                .select("category", "subcategory").distinct()
-                .select(category_key(F.col("category"), F.col("subcategory")).alias("category_key"),
-                        F.col("subcategory").alias("name"),
-                        F.col("category").alias("parent_key")))
-    return parents.unionByName(children)
+    """Parents and children named by the (normalized) category columns.
+
+    One pass: each line yields its parent entry and, when it has a
+    subcategory, its child entry; a single distinct (combined map-side)
+    removes repeats.
+    """
+    parent = F.struct(F.col("category").alias("category_key"), F.col("category").alias("name"),
+                      F.lit(None).cast("string").alias("parent_key"))
+    child = F.when(F.col("subcategory").isNotNull(), F.struct(
+        category_key(F.col("category"), F.col("subcategory")).alias("category_key"),
+        F.col("subcategory").alias("name"), F.col("category").alias("parent_key")))
+    entries = lines.select(F.explode(F.array(parent, child)).alias("e")).filter(F.col("e").isNotNull())
+    return entries.select("e.*").distinct()
 
 
 def merge_dimension(existing: DataFrame, lines: DataFrame) -> DataFrame:

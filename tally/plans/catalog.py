@@ -14,8 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from ..params import ReportParams
 from ..sources import fixtures as FX
 from . import oracle as O
+from .cashflow import cashflow_report
 from .pnl import pnl_report
 
+from decimal import Decimal
+
 Builder = Callable[[SparkSession, str], DataFrame]
 
 # Report windows (FIXTURES.md §3).
@@ -51,3 +54,14 @@ def _pnl(params: ReportParams) -> Builder:
 register("pnl_yearly", O.pnl_sql(YEAR))(_pnl(YEAR))
 register("pnl_monthly", O.pnl_sql(YEAR_MONTHLY))(_pnl(YEAR_MONTHLY))
 register("pnl_monthly_location", O.pnl_sql(LIMIT_MONTHLY_ASIA))(_pnl(LIMIT_MONTHLY_ASIA))
+
+
+def _cashflow(params: ReportParams, opening: str) -> Builder:
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        led = FX.ledgers(spark, sf_dir)
+        return cashflow_report(spark, led.income, led.expenses, led.categories, params, Decimal(opening))
+    return build
+
+
+register("cashflow_yearly", O.cashflow_sql(YEAR, "10000"))(_cashflow(YEAR, "10000"))
+register("cashflow_monthly", O.cashflow_sql(CROSS_YEAR, "100000"))(_cashflow(CROSS_YEAR, "100000"))

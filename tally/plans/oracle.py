@@ -113,12 +113,12 @@ expenses AS (
   FROM expense_lines
 ),
 dim AS (
-  SELECT DISTINCT category AS category_key, category AS name, CAST(NULL AS VARCHAR) AS parent_key
-  FROM expense_lines
+  SELECT DISTINCT p_type AS category_key, p_type AS name, CAST(NULL AS VARCHAR) AS parent_key
+  FROM part
   UNION ALL
-  SELECT DISTINCT concat_ws({SEP}, category, subcategory) AS category_key, subcategory AS name,
-         category AS parent_key
-  FROM expense_lines WHERE subcategory IS NOT NULL
+  SELECT DISTINCT concat_ws({SEP}, p.p_type, {_sub_sql()}) AS category_key, {_sub_sql()} AS name,
+         p.p_type AS parent_key
+  FROM part p WHERE {_sub_sql()} IS NOT NULL
 )"""
 
 
@@ -235,3 +235,52 @@ metrics AS (
 """ + long_select("rev_lines") + "\nUNION ALL " + long_select("exp_lines") + \
         "\nUNION ALL " + long_select("totals", "'total'", True) + \
         "\nUNION ALL " + long_select("metrics", "'metric'", True)
+
+
+def cashflow_ctes(params: ReportParams, opening: str) -> str:
+    sections = {"COGS": "cogs", "OPEX": "opex", "CAPEX": "capex"}
+    return ledger_ctes() + "," + periods_values(params) + f""",
+sales_sums AS (
+  SELECT {idx_sql(params)} AS period_idx, SUM(grand_total) AS amount
+  FROM income WHERE {range_where(params)} GROUP BY 1
+),
+sales AS (
+  SELECT 'sales_income' AS section, pp.period_idx, COALESCE(s.amount, 0) AS amount
+  FROM periods pp LEFT JOIN sales_sums s ON s.period_idx = pp.period_idx
+),""" + breakdown_ctes(params, "grand_total", sections) + "," + \
+        totals_cte(["sales_income", "cogs", "opex", "capex"], ["sales", "exp_long"]) + f""",
+wide AS (
+  SELECT period_idx,
+         SUM(CASE WHEN section = 'sales_income' THEN amount END) AS sales_income,
+         SUM(CASE WHEN section = 'cogs' THEN amount END) AS cogs,
+         SUM(CASE WHEN section = 'opex' THEN amount END) AS opex,
+         SUM(CASE WHEN section = 'capex' THEN amount END) AS capex
+  FROM totals GROUP BY period_idx
+),
+w2 AS (
+  SELECT *, CAST(0 AS DECIMAL(12,2)) AS fundings, CAST(0 AS DECIMAL(12,2)) AS other_income,
+         sales_income AS total_inflows, cogs + opex + capex AS total_outflows,
+         sales_income - (cogs + opex + capex) AS net_cashflow
+  FROM wide
+),
+w3 AS (
+  SELECT *, CAST({opening} AS DECIMAL(24,2))
+            + SUM(net_cashflow) OVER (ORDER BY period_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+            AS closing_balance
+  FROM w2
+),
+metrics AS (
+  SELECT 'fundings' AS section, period_idx, CAST(fundings AS DOUBLE) AS amount FROM w3
+  UNION ALL SELECT 'other_income', period_idx, CAST(other_income AS DOUBLE) FROM w3
+  UNION ALL SELECT 'total_inflows', period_idx, CAST(total_inflows AS DOUBLE) FROM w3
+  UNION ALL SELECT 'total_outflows', period_idx, CAST(total_outflows AS DOUBLE) FROM w3
+  UNION ALL SELECT 'net_cashflow', period_idx, CAST(net_cashflow AS DOUBLE) FROM w3
+  UNION ALL SELECT 'opening_balance', period_idx, CAST(closing_balance - net_cashflow AS DOUBLE) FROM w3
+  UNION ALL SELECT 'closing_balance', period_idx, CAST(closing_balance AS DOUBLE) FROM w3
+)"""
+
+
+def cashflow_sql(params: ReportParams, opening: str = "0") -> str:
+    return cashflow_ctes(params, opening) + "\n" + long_select("exp_lines") + \
+        "\nUNION ALL " + long_select("totals", "'total'", True) + \
+        "\nUNION ALL " + long_select("metrics", "'metric'", True)

@@ -147,10 +147,14 @@ def expense_ledger(spark: SparkSession, sf_dir: str, recurring: tuple[str, ...]
 
 
 def category_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two-level dimension the sync would build from every line:
-    parents keyed by name, children keyed by parent + separator + name."""
+    """The two-level category dimension of the part catalog: parents keyed by
+    name, children keyed by parent + separator + name. It may hold categories
+    no line uses (as a long-lived dimension does); reports reach it with an
+    inner join from the aggregated ledger side, so unused entries change nothing.
+    """
     from ..operators.categories import build_dimension
-    lines = expense_source(spark, sf_dir).select(
+    part = read_table(spark, sf_dir, "part").select("p_type", "p_brand", "p_size")
+    lines = part.select(
         F.col("p_type").alias("category"),
         F.when((F.col("p_type") == "PROMO") | (F.col("p_size") % 7 == 0), F.lit(None).cast("string"))
          .otherwise(F.concat(F.col("p_type"), F.lit("/"), F.col("p_brand"))).alias("subcategory"))
