@@ -14,11 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 from ..params import ReportParams
 from ..sources import fixtures as FX
 from . import oracle as O
-from .cashflow import cashflow_report
-from .pnl import pnl_report
-
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
+from .. import schemas as S
+from ..operators.breakdown import breakdown, section_totals
+from ..operators.filters import EXPENSE_DISPLAY, INCOME_DISPLAY, display, ledger_list, list_total
+from ..operators.periods import to_long, zero_rows
+from .cashflow import CF_SECTIONS, cashflow_parts, cashflow_report
+from .expense_report import expense_category_mix, expense_trend, expense_trend_wide, expense_type_summary
+from .pnl import PNL_SECTIONS, pnl_parts, pnl_report, revenue_lines
+
 Builder = Callable[[SparkSession, str], DataFrame]
 
 # Report windows (FIXTURES.md §3).
@@ -65,3 +72,162 @@ def _cashflow(params: ReportParams, opening: str) -> Builder:
 
 register("cashflow_yearly", O.cashflow_sql(YEAR, "10000"))(_cashflow(YEAR, "10000"))
 register("cashflow_monthly", O.cashflow_sql(CROSS_YEAR, "100000"))(_cashflow(CROSS_YEAR, "100000"))
+
+
+# ---------------------------------------------------------------------------
+# P&L and cashflow parts
+# ---------------------------------------------------------------------------
+
+def _pnl_part(params: ReportParams, part: str, section: str | None = None) -> Builder:
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        led = FX.ledgers(spark, sf_dir)
+        if part == "revenue":
+            return to_long(revenue_lines(led.income, params), params)
+        if part == "revenue_total":
+            rev = revenue_lines(led.income, params)
+            tot = section_totals([rev], zero_rows(spark, ["revenue"], params))
+            none = F.lit(None).cast("string")
+            return to_long(tot.select("section", none.alias("item"), none.alias("subitem"),
+                                      F.lit("total").alias("kind"), "period_idx", "amount"), params)
+        if part == "expenses":
+            br = breakdown(led.expenses, led.categories, "amount", PNL_SECTIONS, params)
+            return to_long(br.lines, params)
+        return to_long(pnl_parts(spark, led.income, led.expenses, led.categories, params)[part], params)
+    return build
+
+
+register("pnl_revenue_by_customer", O.pnl_sql(YEAR_MONTHLY, ("revenue",)))(_pnl_part(YEAR_MONTHLY, "revenue"))
+register("pnl_total_revenue", O.pnl_sql(YEAR_MONTHLY, ("totals",), "section = 'revenue'"))(
+    _pnl_part(YEAR_MONTHLY, "revenue_total"))
+register("pnl_expense_breakdown", O.pnl_sql(YEAR_MONTHLY, ("expenses",)))(_pnl_part(YEAR_MONTHLY, "expenses"))
+register("pnl_section_totals", O.pnl_sql(YEAR_MONTHLY, ("totals",)))(_pnl_part(YEAR_MONTHLY, "totals"))
+register("pnl_metrics", O.pnl_sql(YEAR_MONTHLY, ("metrics",)))(_pnl_part(YEAR_MONTHLY, "metrics"))
+
+
+def _cf_part(params: ReportParams, opening: str, parts: tuple[str, ...], sections: tuple[str, ...] | None) -> Builder:
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        led = FX.ledgers(spark, sf_dir)
+        if parts == ("lines",):
+            return to_long(breakdown(led.expenses, led.categories, "grand_total", CF_SECTIONS, params).lines, params)
+        got = cashflow_parts(spark, led.income, led.expenses, led.categories, params, Decimal(opening))
+        out = None
+        for p in parts:
+            d = to_long(got[p], params)
+            out = d if out is None else out.unionByName(d)
+        if sections:
+            out = out.filter(F.col("section").isin(*sections))
+        return out
+    return build
+
+
+def _in(sections: tuple[str, ...]) -> str:
+    return "section IN (" + ", ".join(f"'{s}'" for s in sections) + ")"
+
+
+_INFLOWS = ("sales_income", "fundings", "other_income", "total_inflows")
+_OUTFLOWS = ("cogs", "opex", "capex", "total_outflows")
+_BALANCES = ("net_cashflow", "opening_balance", "closing_balance")
+register("cf_inflows", O.cashflow_sql(YEAR_MONTHLY, "0", ("totals", "metrics"), _in(_INFLOWS)))(
+    _cf_part(YEAR_MONTHLY, "0", ("totals", "metrics"), _INFLOWS))
+register("cf_outflow_breakdown", O.cashflow_sql(YEAR_MONTHLY, "0", ("lines",)))(
+    _cf_part(YEAR_MONTHLY, "0", ("lines",), None))
+register("cf_outflow_totals", O.cashflow_sql(YEAR_MONTHLY, "0", ("totals", "metrics"), _in(_OUTFLOWS)))(
+    _cf_part(YEAR_MONTHLY, "0", ("totals", "metrics"), _OUTFLOWS))
+register("cf_balances_monthly", O.cashflow_sql(CROSS_YEAR, "100000", ("metrics",), _in(_BALANCES)))(
+    _cf_part(CROSS_YEAR, "100000", ("metrics",), _BALANCES))
+register("cf_balances_yearly", O.cashflow_sql(YEAR, "10000", ("metrics",), _in(_BALANCES)))(
+    _cf_part(YEAR, "10000", ("metrics",), _BALANCES))
+
+
+# ---------------------------------------------------------------------------
+# Ledger lists
+# ---------------------------------------------------------------------------
+
+PARTIAL = ("1996-03-10", "1996-05-05")
+_INCOME_COLS = ", ".join(S.column_names(S.INCOME_SCHEMA))
+_EXPENSE_COLS = ", ".join(S.column_names(S.EXPENSE_SCHEMA))
+
+
+@register("income_list", O.ledger_sql(f"SELECT {_INCOME_COLS} FROM income"))
+def _income_list(spark, sf_dir):
+    return ledger_list(FX.income_ledger(spark, sf_dir))
+
+
+@register("expense_list", O.ledger_sql(
+    f"SELECT {_EXPENSE_COLS} FROM expenses WHERE doc_date BETWEEN DATE '{PARTIAL[0]}' AND DATE '{PARTIAL[1]}' "
+    "AND location = 'Europe'"))
+def _expense_list(spark, sf_dir):
+    return ledger_list(FX.expense_ledger(spark, sf_dir), *PARTIAL, "Europe")
+
+
+@register("list_totals", O.ledger_sql(
+    f"SELECT 'income' AS ledger, '{PARTIAL[0]}' AS start_date, '{PARTIAL[1]}' AS end_date, "
+    "CAST(NULL AS VARCHAR) AS location, COUNT(*) AS total FROM income "
+    f"WHERE doc_date BETWEEN DATE '{PARTIAL[0]}' AND DATE '{PARTIAL[1]}' "
+    f"UNION ALL SELECT 'expenses', '{PARTIAL[0]}', '{PARTIAL[1]}', 'Europe', COUNT(*) FROM expenses "
+    f"WHERE doc_date BETWEEN DATE '{PARTIAL[0]}' AND DATE '{PARTIAL[1]}' AND location = 'Europe'"))
+def _list_totals(spark, sf_dir):
+    inc = list_total(FX.income_ledger(spark, sf_dir), "income", *PARTIAL, None)
+    exp = list_total(FX.expense_ledger(spark, sf_dir), "expenses", *PARTIAL, "Europe")
+    return inc.unionByName(exp)
+
+
+def _display_sql(table: str, cols: tuple[str, ...]) -> str:
+    sel = ", ".join(f"COALESCE(CAST({c} AS DOUBLE), 0.0) AS {c}" if c in S.MONEY_FIELDS else c for c in cols)
+    return O.ledger_sql(f"SELECT {sel} FROM {table}")
+
+
+@register("income_display", _display_sql("income", INCOME_DISPLAY))
+def _income_display(spark, sf_dir):
+    return display(ledger_list(FX.income_ledger(spark, sf_dir)), INCOME_DISPLAY)
+
+
+@register("expense_display", _display_sql("expenses", EXPENSE_DISPLAY))
+def _expense_display(spark, sf_dir):
+    return display(ledger_list(FX.expense_ledger(spark, sf_dir)), EXPENSE_DISPLAY)
+
+
+# ---------------------------------------------------------------------------
+# Expense report (E1-E5), over the whole expense ledger
+# ---------------------------------------------------------------------------
+
+@register("expense_trend", O.ledger_sql(
+    "SELECT strftime(doc_date, '%Y-%m') AS month, type, CAST(SUM(grand_total) AS DOUBLE) AS grand_total "
+    "FROM expenses GROUP BY 1, 2"))
+def _expense_trend(spark, sf_dir):
+    return expense_trend(FX.expense_ledger(spark, sf_dir))
+
+
+@register("expense_trend_wide", O.ledger_sql(
+    "SELECT strftime(doc_date, '%Y-%m') AS month, "
+    + ", ".join(f"CAST(SUM(CASE WHEN type = '{t}' THEN grand_total END) AS DOUBLE) AS {t}" for t in S.EXPENSE_TYPES)
+    + " FROM expenses GROUP BY 1"))
+def _expense_trend_wide(spark, sf_dir):
+    return expense_trend_wide(FX.expense_ledger(spark, sf_dir))
+
+
+@register("expense_category_mix", O.ledger_sql("""
+, per_key AS (SELECT type, category_key, SUM(grand_total) AS amount FROM expenses GROUP BY 1, 2)
+, named AS (
+  SELECT k.type, CASE WHEN d.parent_key IS NOT NULL THEN pd.name ELSE d.name END AS category, k.amount
+  FROM per_key k JOIN dim d ON k.category_key = d.category_key
+  LEFT JOIN dim pd ON d.parent_key = pd.category_key)
+, agg AS (SELECT type, category, SUM(amount) AS amount FROM named WHERE category IS NOT NULL GROUP BY 1, 2)
+SELECT type, category, CAST(amount AS DOUBLE) AS grand_total,
+       ROW_NUMBER() OVER (PARTITION BY type ORDER BY amount DESC, category) AS rank
+FROM agg""".replace("\n, per_key", ", per_key", 1)))
+def _expense_category_mix(spark, sf_dir):
+    led = FX.ledgers(spark, sf_dir)
+    return expense_category_mix(led.expenses, led.categories)
+
+
+@register("expense_type_summary", O.ledger_sql("""
+, agg AS (SELECT type, SUM(grand_total) AS amount, COUNT(doc_no) AS count, GROUPING(type) AS g
+          FROM expenses GROUP BY ROLLUP (type))
+SELECT CASE WHEN g = 1 THEN 'TOTAL' ELSE type END AS type,
+       CAST(COALESCE(amount, 0) AS DOUBLE) AS total_amount,
+       '฿' || format('{:,.2f}', COALESCE(amount, 0)) AS total_amount_text,
+       count
+FROM agg"""))
+def _expense_type_summary(spark, sf_dir):
+    return expense_type_summary(FX.expense_ledger(spark, sf_dir))

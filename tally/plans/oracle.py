@@ -212,7 +212,7 @@ def long_select(src: str, kind_sql: str | None = None, item_null: bool = False)
             f"FROM {src} x JOIN periods pp ON pp.period_idx = x.period_idx")
 
 
-def pnl_sql(params: ReportParams) -> str:
+def pnl_ctes(params: ReportParams) -> str:
     sections = {"COGS": "cogs", "OPEX": "operating_expenses"}
     return ledger_ctes() + "," + periods_values(params) + "," + revenue_ctes(params) + "," + \
         breakdown_ctes(params, "amount", sections) + "," + \
@@ -232,9 +232,23 @@ metrics AS (
   UNION ALL SELECT 'income_tax', period_idx, CAST(income_tax AS DOUBLE) FROM m2
   UNION ALL SELECT 'net_earnings', period_idx, CAST(ebit - income_tax AS DOUBLE) FROM m2
 )
-""" + long_select("rev_lines") + "\nUNION ALL " + long_select("exp_lines") + \
-        "\nUNION ALL " + long_select("totals", "'total'", True) + \
-        "\nUNION ALL " + long_select("metrics", "'metric'", True)
+"""
+
+
+PNL_PART_SELECTS = {
+    "revenue": lambda: long_select("rev_lines"),
+    "expenses": lambda: long_select("exp_lines"),
+    "totals": lambda: long_select("totals", "'total'", True),
+    "metrics": lambda: long_select("metrics", "'metric'", True),
+}
+
+
+def pnl_sql(params: ReportParams, parts: tuple[str, ...] = ("revenue", "expenses", "totals", "metrics"),
+            where: str | None = None) -> str:
+    body = "\nUNION ALL ".join(PNL_PART_SELECTS[p]() for p in parts)
+    if where:
+        body = f"SELECT * FROM ({body}) q WHERE {where}"
+    return pnl_ctes(params) + body
 
 
 def cashflow_ctes(params: ReportParams, opening: str) -> str:
@@ -280,7 +294,17 @@ metrics AS (
 )"""
 
 
-def cashflow_sql(params: ReportParams, opening: str = "0") -> str:
-    return cashflow_ctes(params, opening) + "\n" + long_select("exp_lines") + \
-        "\nUNION ALL " + long_select("totals", "'total'", True) + \
-        "\nUNION ALL " + long_select("metrics", "'metric'", True)
+def cashflow_sql(params: ReportParams, opening: str = "0",
+                 parts: tuple[str, ...] = ("lines", "totals", "metrics"), where: str | None = None) -> str:
+    sel = {"lines": lambda: long_select("exp_lines"),
+           "totals": lambda: long_select("totals", "'total'", True),
+           "metrics": lambda: long_select("metrics", "'metric'", True)}
+    body = "\nUNION ALL ".join(sel[p]() for p in parts)
+    if where:
+        body = f"SELECT * FROM ({body}) q WHERE {where}"
+    return cashflow_ctes(params, opening) + "\n" + body
+
+
+def ledger_sql(select: str) -> str:
+    """Any select over the derived ``income`` / ``expenses`` / ``dim``."""
+    return ledger_ctes() + "\n" + select
