@@ -10,7 +10,7 @@ def parse_day_first(c: Column) -> Column:
     """Day-first date text: ``d/M/yyyy`` first, then ISO ``yyyy-MM-dd``.
     Anything else (month-first, two-digit years, impossible days) is null.
     """
-    return F.coalesce(F.try_to_date(c, F.lit("d/M/yyyy")), F.try_to_date(c, F.lit("yyyy-MM-dd")))
+    return F.coalesce(F.try_to_date(c, "d/M/yyyy"), F.try_to_date(c, "yyyy-MM-dd"))
 
 
 def period_start(c: Column) -> Column:

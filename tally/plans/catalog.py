@@ -25,6 +25,11 @@ from ..operators.periods import to_long, zero_rows
 from .cashflow import CF_SECTIONS, cashflow_parts, cashflow_report
 from .expense_report import expense_category_mix, expense_trend, expense_trend_wide, expense_type_summary
 from .pnl import PNL_SECTIONS, pnl_parts, pnl_report, revenue_lines
+from .sync import sync_frames
+from ..functions import parse_day_first, parse_money, py_title
+from ..operators.categories import resolve
+from ..operators.clean import clean_income, gate_row_id, rejects
+from ..operators.sync import action_counts, dedupe_batch, net_position
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -231,3 +236,180 @@ SELECT CASE WHEN g = 1 THEN 'TOTAL' ELSE type END AS type,
 FROM agg"""))
 def _expense_type_summary(spark, sf_dir):
     return expense_type_summary(FX.expense_ledger(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Cleaning (B1-B14), categories (C1-C4) and sync (U1-U6) on the export fixtures
+# ---------------------------------------------------------------------------
+
+def _sync(spark: SparkSession, sf_dir: str, dirty: bool = False):
+    return sync_frames(
+        FX.raw_income_batch(spark, sf_dir), FX.raw_expense_batch(spark, sf_dir, dirty),
+        FX.income_snapshot(spark, sf_dir), FX.expense_snapshot(spark, sf_dir),
+        FX.parent_dimension(spark, sf_dir), FX.SYNC_AS_OF, FX.SYNC_AS_OF_DATE, FX.TEST_RECURRING)
+
+
+def _sync_sql(select: str, dirty: bool = False) -> str:
+    return O.sync_ctes(dirty=dirty) + "\n" + select
+
+
+def _dbl(c: str) -> str:
+    return f"CAST({c} AS DOUBLE) AS {c}"
+
+
+@register("clean_money", _sync_sql("SELECT _pos, " + ", ".join(
+    f"CAST(TRY_CAST(replace({c}, ',', '') AS DECIMAL(18,2)) AS DOUBLE) AS {c}" for c in S.MONEY_FIELDS)
+    + " FROM raw_income"))
+def _clean_money(spark, sf_dir):
+    raw = FX.raw_income_batch(spark, sf_dir)
+    return raw.select("_pos", *[parse_money(F.col(c)).cast("double").alias(c) for c in S.MONEY_FIELDS])
+
+
+@register("clean_dates", _sync_sql(
+    "SELECT _pos, " + O._parse_date("doc_date") + " AS doc_date, " + O._parse_date("overdue_date")
+    + " AS overdue_date FROM raw_expenses"))
+def _clean_dates(spark, sf_dir):
+    raw = FX.raw_expense_batch(spark, sf_dir)
+    return raw.select("_pos", parse_day_first(F.col("doc_date")).alias("doc_date"),
+                      parse_day_first(F.col("overdue_date")).alias("overdue_date"))
+
+
+@register("row_id_gate", _sync_sql("SELECT _pos, row_id FROM exp_clean"))
+def _row_id_gate(spark, sf_dir):
+    return gate_row_id(FX.raw_expense_batch(spark, sf_dir)).select("_pos", "row_id")
+
+
+@register("doc_no_default", _sync_sql("SELECT _pos, row_id, doc_no FROM inc_clean"))
+def _doc_no_default(spark, sf_dir):
+    return _sync(spark, sf_dir).income_clean.select("_pos", "row_id", "doc_no")
+
+
+@register("money_defaults", _sync_sql(f"SELECT _pos, {_dbl('amount')}, {_dbl('vat')} FROM inc_clean"))
+def _money_defaults(spark, sf_dir):
+    c = _sync(spark, sf_dir).income_clean
+    return c.select("_pos", F.col("amount").cast("double").alias("amount"), F.col("vat").cast("double").alias("vat"))
+
+
+@register("grand_total_fill", _sync_sql(f"SELECT _pos, {_dbl('grand_total')} FROM inc_clean"))
+def _grand_total_fill(spark, sf_dir):
+    c = _sync(spark, sf_dir).income_clean
+    return c.select("_pos", F.col("grand_total").cast("double").alias("grand_total"))
+
+
+@register("status_normalize", _sync_sql("SELECT _pos, status FROM inc_clean"))
+def _status_normalize(spark, sf_dir):
+    return _sync(spark, sf_dir).income_clean.select("_pos", "status")
+
+
+@register("location_title", _sync_sql(f"SELECT _pos, {O.title_sql('location')} AS location FROM raw_expenses"))
+def _location_title(spark, sf_dir):
+    return FX.raw_expense_batch(spark, sf_dir).select("_pos", py_title(F.col("location")).alias("location"))
+
+
+@register("column_defaults", O.ledger_ctes() + O.raw_ctes() + O.clean_ctes(income_cols=())
+          + "\nSELECT _pos, customer, currency, location FROM inc_clean")
+def _column_defaults(spark, sf_dir):
+    raw = FX.raw_income_batch(spark, sf_dir).drop("customer", "currency", "location")
+    return clean_income(raw).select("_pos", "customer", "currency", "location")
+
+
+@register("expense_date_default", _sync_sql("SELECT _pos, doc_date FROM exp_clean"))
+def _expense_date_default(spark, sf_dir):
+    return _sync(spark, sf_dir).expense_clean.select("_pos", "doc_date")
+
+
+@register("category_normalize", _sync_sql("SELECT _pos, category, subcategory, category_key FROM exp_clean"))
+def _category_normalize(spark, sf_dir):
+    return _sync(spark, sf_dir).expense_clean.select("_pos", "category", "subcategory", "category_key")
+
+
+@register("recurring_flag", _sync_sql("SELECT _pos, is_recurring, recurrence_period FROM exp_clean"))
+def _recurring_flag(spark, sf_dir):
+    return _sync(spark, sf_dir).expense_clean.select("_pos", "is_recurring", "recurrence_period")
+
+
+@register("ledger_rejects", _sync_sql(
+    "SELECT 'income' AS ledger, _pos, row_id, reasons FROM inc_clean WHERE reasons <> '' "
+    "UNION ALL SELECT 'expenses', _pos, row_id, reasons FROM exp_clean WHERE reasons <> ''", dirty=True))
+def _ledger_rejects(spark, sf_dir):
+    f = _sync(spark, sf_dir, dirty=True)
+    return (rejects(f.income_clean).select(F.lit("income").alias("ledger"), "*")
+            .unionByName(rejects(f.expense_clean).select(F.lit("expenses").alias("ledger"), "*")))
+
+
+_PARENTS_SQL = "SELECT DISTINCT p_type AS category_key, p_type AS name, CAST(NULL AS VARCHAR) AS parent_key FROM part"
+
+
+@register("category_dim", _sync_sql(f"""
+, existing AS ({_PARENTS_SQL})
+, wanted AS (
+  SELECT DISTINCT category AS category_key, category AS name, CAST(NULL AS VARCHAR) AS parent_key FROM exp_clean
+  UNION
+  SELECT DISTINCT category_key, subcategory AS name, category AS parent_key FROM exp_clean
+  WHERE subcategory IS NOT NULL)
+SELECT * FROM existing
+UNION ALL
+SELECT w.* FROM wanted w WHERE w.category_key NOT IN (SELECT category_key FROM existing)""".replace(
+    "\n, existing", ", existing", 1)))
+def _category_dim(spark, sf_dir):
+    return _sync(spark, sf_dir).categories
+
+
+@register("expense_category_join", O.ledger_sql(
+    "SELECT e.row_id, e.category_key, d.name, d.parent_key FROM expenses e JOIN dim d ON e.category_key = d.category_key"))
+def _expense_category_join(spark, sf_dir):
+    led = FX.ledgers(spark, sf_dir)
+    return led.expenses.select("row_id", "category_key").join(led.categories, "category_key", "inner") \
+        .select("row_id", "category_key", "name", "parent_key")
+
+
+@register("category_parent", O.ledger_sql(
+    "SELECT d.category_key, d.name, d.parent_key, pd.name AS parent_name, d.parent_key IS NOT NULL AS is_subcategory "
+    "FROM dim d LEFT JOIN dim pd ON d.parent_key = pd.category_key"))
+def _category_parent(spark, sf_dir):
+    led = FX.ledgers(spark, sf_dir)
+    return resolve(led.categories.select("category_key"), led.categories).select(
+        "category_key", F.col("own_name").alias("name"), "parent_key", "parent_name", "is_subcategory")
+
+
+@register("batch_dedupe", _sync_sql("SELECT row_id, _pos, _repeats FROM exp_dedup"))
+def _batch_dedupe(spark, sf_dir):
+    f = _sync(spark, sf_dir)
+    return dedupe_batch(f.expense_clean.drop("_reasons")).select("row_id", "_pos", "_repeats")
+
+
+@register("sync_actions", _sync_sql(
+    "SELECT 'income' AS ledger, row_id, action FROM inc_merged "
+    "UNION ALL SELECT 'expenses', row_id, action FROM exp_merged"))
+def _sync_actions(spark, sf_dir):
+    f = _sync(spark, sf_dir)
+    return (f.income.select(F.lit("income").alias("ledger"), "row_id", "action")
+            .unionByName(f.expenses.select(F.lit("expenses").alias("ledger"), "row_id", "action")))
+
+
+@register("sync_income", _sync_sql("SELECT * FROM inc_merged"))
+def _sync_income(spark, sf_dir):
+    return _sync(spark, sf_dir).income
+
+
+@register("sync_expenses", _sync_sql("SELECT * FROM exp_merged"))
+def _sync_expenses(spark, sf_dir):
+    return _sync(spark, sf_dir).expenses
+
+
+@register("sync_counts", _sync_sql(
+    "SELECT 'income' AS ledger, action, COUNT(*) AS count FROM inc_merged GROUP BY action "
+    "UNION ALL SELECT 'expenses', action, COUNT(*) FROM exp_merged GROUP BY action"))
+def _sync_counts(spark, sf_dir):
+    f = _sync(spark, sf_dir)
+    return action_counts(f.income, "income").unionByName(action_counts(f.expenses, "expenses"))
+
+
+@register("net_position", _sync_sql("""
+, t AS (SELECT (SELECT COALESCE(SUM(grand_total), 0) FROM inc_merged) AS ti,
+               (SELECT COALESCE(SUM(grand_total), 0) FROM exp_merged) AS te)
+SELECT CAST(ti AS DOUBLE) AS total_income, CAST(te AS DOUBLE) AS total_expenses,
+       CAST(ti - te AS DOUBLE) AS net_position FROM t""".replace("\n, t AS", ", t AS", 1)))
+def _net_position(spark, sf_dir):
+    f = _sync(spark, sf_dir)
+    return net_position(f.income, f.expenses)

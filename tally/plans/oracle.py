@@ -308,3 +308,233 @@ def cashflow_sql(params: ReportParams, opening: str = "0",
 def ledger_sql(select: str) -> str:
     """Any select over the derived ``income`` / ``expenses`` / ``dim``."""
     return ledger_ctes() + "\n" + select
+
+
+# ---------------------------------------------------------------------------
+# Raw batches, cleaning and sync
+# ---------------------------------------------------------------------------
+
+def _fmt(x: str) -> str:
+    return f"format('{{:,.2f}}', {x})"
+
+
+def _ddmm(x: str) -> str:
+    return f"strftime({x}, '%d/%m/%Y')"
+
+
+def raw_ctes(dirty: bool = False) -> str:
+    """raw_income, raw_expenses (text), inc_snap, exp_snap (typed priors)."""
+    status_e = "CASE WHEN _key % 3 = 0 THEN upper(status) ELSE status END"
+    type_e = "type"
+    loc_e = "r_name"
+    amt_e = _fmt("amount")
+    if dirty:
+        status_e = f"CASE WHEN _key % 101 = 0 THEN 'bogus' ELSE {status_e} END"
+        type_e = "CASE WHEN _key % 103 = 0 THEN lower(type) ELSE type END"
+        loc_e = "CASE WHEN _key % 107 = 0 THEN NULL ELSE r_name END"
+        amt_e = f"CASE WHEN _key % 109 = 0 THEN '12,345,678,901.00' ELSE {amt_e} END"
+    return f""",
+raw_income AS (
+  SELECT _key AS _pos,
+         CASE WHEN _key % 97 = 0 THEN '' ELSE row_id END AS row_id,
+         CASE WHEN _key % 11 = 0 THEN NULL ELSE doc_no END AS doc_no,
+         {_ddmm('doc_date')} AS doc_date, customer, currency,
+         {_fmt('amount')} AS amount,
+         CASE WHEN _key % 13 = 0 THEN '' ELSE {_fmt('vat')} END AS vat,
+         CASE WHEN _key % 17 = 0 THEN '' ELSE {_fmt('grand_total')} END AS grand_total,
+         CASE WHEN _key % 3 = 0 THEN lower(status) ELSE status END AS status,
+         r_name AS location
+  FROM income_full
+),
+expense_pos AS (
+  SELECT *, ROW_NUMBER() OVER (ORDER BY _key, l_linenumber, l_shipdate, l_partkey, l_suppkey,
+                                        l_extendedprice, l_quantity) AS _pos
+  FROM expense_lines
+),
+raw_expenses AS (
+  SELECT _pos,
+         CASE WHEN _key % 97 = 0 THEN '' ELSE row_id END AS row_id,
+         CASE WHEN _key % 11 = 0 THEN NULL ELSE doc_no END AS doc_no,
+         CASE WHEN _key % 19 = 0 THEN '' ELSE {_ddmm('doc_date')} END AS doc_date,
+         {_ddmm('overdue_date')} AS overdue_date, supplier, currency,
+         {amt_e} AS amount,
+         CASE WHEN _key % 13 = 0 THEN '' ELSE {_fmt('vat')} END AS vat,
+         CASE WHEN _key % 17 = 0 THEN '' ELSE {_fmt('grand_total')} END AS grand_total,
+         {status_e} AS status, {type_e} AS type, {loc_e} AS location, category,
+         CASE WHEN p_size % 7 = 0 THEN 'nan' ELSE subcategory END AS subcategory
+  FROM expense_pos
+),
+inc_snap AS (
+  SELECT row_id, doc_no, doc_date, customer, currency,
+         CASE WHEN CAST(row_id AS BIGINT) % 7 = 0 THEN {_money('amount + 1')} ELSE amount END AS amount,
+         vat, grand_total, status, location, created_at, updated_at, created_by, notes
+  FROM income WHERE CAST(row_id AS BIGINT) % 5 <> 0
+),
+exp_last AS (
+  SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY row_id ORDER BY _pos DESC) AS _rn FROM expense_pos)
+  WHERE _rn = 1
+),
+exp_snap AS (
+  SELECT row_id, doc_no, doc_date, overdue_date, supplier, currency,
+         CASE WHEN _key % 7 = 0 THEN {_money('amount + 1')} ELSE amount END AS amount,
+         vat, grand_total, status, type, location, category_key,
+         CAST(NULL AS VARCHAR) AS subcategory_free, is_recurring, recurrence_period,
+         CAST(NULL AS DATE) AS forecasted_until,
+         CAST('{FX.SNAPSHOT_CREATED}' AS TIMESTAMP) AS created_at,
+         CAST('{FX.SNAPSHOT_CREATED}' AS TIMESTAMP) AS updated_at,
+         CAST(NULL AS VARCHAR) AS created_by, CAST(NULL AS VARCHAR) AS notes
+  FROM exp_last WHERE _key % 5 <> 0
+)"""
+
+
+def _blank(x: str) -> str:
+    return f"({x} IS NULL OR {strip_sql(x)} = '')"
+
+
+def _parse_money(x: str) -> str:
+    return f"TRY_CAST(replace({x}, ',', '') AS DECIMAL(18,2))"
+
+
+def _parse_date(x: str) -> str:
+    return f"CAST(COALESCE(try_strptime({x}, '%d/%m/%Y'), try_strptime({x}, '%Y-%m-%d')) AS DATE)"
+
+
+def _status(x: str) -> str:
+    return ("CASE upper(" + x + ") WHEN 'PAID' THEN 'Paid' WHEN 'PENDING' THEN 'Pending' "
+            "WHEN 'OVERDUE' THEN 'Overdue' WHEN 'CANCELLED' THEN 'Cancelled' END")
+
+
+def _fits(x: str) -> str:
+    return f"({x} IS NULL OR abs({x}) < 10000000000)"
+
+
+def clean_ctes(recurring: tuple[str, ...] = FX.TEST_RECURRING, as_of_date: str = FX.SYNC_AS_OF_DATE,
+               income_cols: tuple[str, ...] = ("customer", "currency", "location")) -> str:
+    rec = ", ".join(f"'{r}'" for r in recurring)
+    money_checks = lambda: ", ".join(
+        f"CASE WHEN NOT {_fits('_' + c)} THEN '{c}_out_of_range' END" for c in ("amount", "vat", "grand_total"))
+    cust = "customer" if "customer" in income_cols else "'Unknown'"
+    cur = "currency" if "currency" in income_cols else "'THB'"
+    loc = "location" if "location" in income_cols else "'Unknown'"
+    sub = strip_sql("subcategory")
+    return f""",
+inc_c0 AS (
+  SELECT _pos, {strip_sql('row_id')} AS row_id,
+         CASE WHEN {_blank('doc_no')} THEN 'AUTO-' || {strip_sql('row_id')} ELSE doc_no END AS doc_no,
+         {_parse_date('doc_date')} AS doc_date, {cust} AS customer, {cur} AS currency,
+         COALESCE({_parse_money('amount')}, 0) AS _amount, COALESCE({_parse_money('vat')}, 0) AS _vat,
+         {_parse_money('grand_total')} AS _gt,
+         {_status('status')} AS status, {title_sql(loc)} AS location
+  FROM raw_income WHERE NOT {_blank('row_id')}
+),
+inc_c1 AS (SELECT *, COALESCE(_gt, _amount + _vat) AS _grand_total FROM inc_c0),
+inc_clean AS (
+  SELECT _pos, row_id, doc_no, doc_date, customer, currency,
+         CASE WHEN {_fits('_amount')} THEN CAST(_amount AS DECIMAL(12,2)) END AS amount,
+         CASE WHEN {_fits('_vat')} THEN CAST(_vat AS DECIMAL(12,2)) END AS vat,
+         CASE WHEN {_fits('_grand_total')} THEN CAST(_grand_total AS DECIMAL(12,2)) END AS grand_total,
+         status, location,
+         concat_ws(',', CASE WHEN status IS NULL THEN 'status_unknown' END,
+                   CASE WHEN location IS NULL THEN 'location_missing' END,
+                   CASE WHEN customer IS NULL THEN 'customer_missing' END,
+                   CASE WHEN currency IS NULL THEN 'currency_missing' END,
+                   CASE WHEN doc_date IS NULL THEN 'doc_date_missing' END,
+                   {money_checks()}) AS reasons
+  FROM inc_c1
+),
+exp_c0 AS (
+  SELECT _pos, {strip_sql('row_id')} AS row_id,
+         CASE WHEN {_blank('doc_no')} THEN 'AUTO-' || {strip_sql('row_id')} ELSE doc_no END AS doc_no,
+         COALESCE({_parse_date('doc_date')}, DATE '{as_of_date}') AS doc_date,
+         {_parse_date('overdue_date')} AS overdue_date, supplier, currency,
+         COALESCE({_parse_money('amount')}, 0) AS _amount, COALESCE({_parse_money('vat')}, 0) AS _vat,
+         {_parse_money('grand_total')} AS _gt,
+         {_status('status')} AS status,
+         CASE WHEN type IN ('CAPEX', 'OPEX', 'COGS') THEN type END AS type,
+         {title_sql('location')} AS location,
+         CASE WHEN category IS NULL OR category = '' THEN 'Uncategorized' ELSE {strip_sql('category')} END AS category,
+         CASE WHEN subcategory IS NULL OR {sub} = '' OR lower({sub}) = 'nan' THEN NULL ELSE {sub} END AS subcategory,
+         COALESCE({strip_sql('category')} IN ({rec}), false) AS is_recurring
+  FROM raw_expenses WHERE NOT {_blank('row_id')}
+),
+exp_c1 AS (
+  SELECT *, COALESCE(_gt, _amount + _vat) AS _grand_total, concat_ws({SEP}, category, subcategory) AS category_key,
+         CASE WHEN is_recurring THEN 'monthly' END AS recurrence_period
+  FROM exp_c0
+),
+exp_clean AS (
+  SELECT _pos, row_id, doc_no, doc_date, overdue_date, supplier, currency,
+         CASE WHEN {_fits('_amount')} THEN CAST(_amount AS DECIMAL(12,2)) END AS amount,
+         CASE WHEN {_fits('_vat')} THEN CAST(_vat AS DECIMAL(12,2)) END AS vat,
+         CASE WHEN {_fits('_grand_total')} THEN CAST(_grand_total AS DECIMAL(12,2)) END AS grand_total,
+         status, type, location, category, subcategory, category_key, is_recurring, recurrence_period,
+         concat_ws(',', CASE WHEN status IS NULL THEN 'status_unknown' END,
+                   CASE WHEN type IS NULL THEN 'type_unknown' END,
+                   CASE WHEN location IS NULL THEN 'location_missing' END,
+                   CASE WHEN supplier IS NULL THEN 'supplier_missing' END,
+                   CASE WHEN currency IS NULL THEN 'currency_missing' END,
+                   {money_checks()}) AS reasons
+  FROM exp_c1
+),
+inc_dedup AS (
+  SELECT * EXCLUDE (_rn) FROM (
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY row_id ORDER BY _pos DESC) AS _rn,
+           COUNT(*) OVER (PARTITION BY row_id) AS _repeats FROM inc_clean) WHERE _rn = 1
+),
+exp_dedup AS (
+  SELECT * EXCLUDE (_rn) FROM (
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY row_id ORDER BY _pos DESC) AS _rn,
+           COUNT(*) OVER (PARTITION BY row_id) AS _repeats FROM exp_clean) WHERE _rn = 1
+)"""
+
+
+def _changed(fields: tuple[str, ...]) -> str:
+    parts = []
+    for c in fields:
+        if c in ("amount", "vat", "grand_total"):
+            parts.append(f"(CASE WHEN s.{c} IS NULL OR b.{c} IS NULL THEN s.{c} IS DISTINCT FROM b.{c} "
+                         f"ELSE abs(s.{c} - b.{c}) > 0.001 END)")
+        else:
+            parts.append(f"(s.{c} IS DISTINCT FROM b.{c})")
+    return " OR ".join(parts)
+
+
+def merge_cte(name: str, snap: str, batch: str, schema_cols: list[str], batch_cols: set[str],
+              compare: tuple[str, ...], as_of: str) -> str:
+    take_b = "m.action IN ('insert', 'update')"
+    sel = []
+    for c in schema_cols:
+        if c == "row_id":
+            sel.append("m.row_id")
+        elif c == "created_at":
+            sel.append(f"CASE WHEN m.action = 'insert' THEN TIMESTAMP '{as_of}' ELSE m.s_created_at END AS created_at")
+        elif c == "updated_at":
+            sel.append(f"CASE WHEN {take_b} THEN TIMESTAMP '{as_of}' ELSE m.s_updated_at END AS updated_at")
+        elif c in batch_cols:
+            sel.append(f"CASE WHEN {take_b} THEN m.b_{c} ELSE m.s_{c} END AS {c}")
+        else:
+            sel.append(f"CASE WHEN m.action = 'insert' THEN NULL ELSE m.s_{c} END AS {c}")
+    s_cols = ", ".join(f"s.{c} AS s_{c}" for c in schema_cols if c != "row_id")
+    b_cols = ", ".join(f"b.{c} AS b_{c}" for c in schema_cols if c in batch_cols and c != "row_id")
+    return f""",
+{name}_j AS (
+  SELECT COALESCE(s.row_id, b.row_id) AS row_id,
+         CASE WHEN b.row_id IS NULL THEN 'retain' WHEN s.row_id IS NULL THEN 'insert'
+              WHEN {_changed(compare)} THEN 'update' ELSE 'skip' END AS action,
+         {s_cols}, {b_cols}
+  FROM {snap} s FULL OUTER JOIN {batch} b ON s.row_id = b.row_id
+),
+{name} AS (SELECT {", ".join(sel)}, m.action FROM {name}_j m)"""
+
+
+def sync_ctes(as_of: str = FX.SYNC_AS_OF, dirty: bool = False) -> str:
+    from .. import schemas as S
+    inc_cols = S.column_names(S.INCOME_SCHEMA)
+    exp_cols = S.column_names(S.EXPENSE_SCHEMA)
+    inc_batch = {"row_id", "doc_no", "doc_date", "customer", "currency", "amount", "vat", "grand_total",
+                 "status", "location"}
+    exp_batch = {"row_id", "doc_no", "doc_date", "overdue_date", "supplier", "currency", "amount", "vat",
+                 "grand_total", "status", "type", "location", "category_key", "is_recurring", "recurrence_period"}
+    return ledger_ctes() + raw_ctes(dirty) + clean_ctes() + \
+        merge_cte("inc_merged", "inc_snap", "inc_dedup", inc_cols, inc_batch, S.INCOME_COMPARE, as_of) + \
+        merge_cte("exp_merged", "exp_snap", "exp_dedup", exp_cols, exp_batch, S.EXPENSE_COMPARE, as_of)

@@ -161,6 +161,11 @@ def category_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_dimension(lines)
 
 
+def parent_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prior dimension holding only the parents (children get created by the sync)."""
+    return category_dimension(spark, sf_dir).filter(F.col("parent_key").isNull())
+
+
 # ---------------------------------------------------------------------------
 # Sync fixtures: raw text batches and prior snapshots
 # ---------------------------------------------------------------------------
@@ -168,19 +173,21 @@ def category_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
 def global_row_number(df: DataFrame, order: list[str], name: str = "_pos") -> DataFrame:
     """Dense 1-based row number in a total order, without a one-task window.
 
-    Range-partitioned sort, then per-partition counts (one row per
-    partition), their running offsets, and a row number inside each
-    partition. The only driver-sized piece is the offsets table, which has
-    one row per partition.
+    Range-partitioned by the order (sampled bounds split hot keys), each row
+    tagged with its partition, then checkpointed to the shared checkpoint
+    folder so the partition tags are fixed. Per-partition counts give
+    running offsets (one row per partition, the only broadcast), and a
+    row number inside each partition completes the number.
     """
-    sorted_df = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    counts = sorted_df.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_part",
-        (F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"))
-    offsets = offsets.select("_part", F.coalesce(F.col("_off"), F.lit(0)).alias("_off"))
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    tagged = (df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+              .checkpoint(eager=True))
+    counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     within = Window.partitionBy("_part").orderBy(*order)
-    return (sorted_df.join(F.broadcast(offsets), "_part")
+    return (tagged.join(F.broadcast(offsets), "_part")
             .withColumn(name, (F.col("_off") + F.row_number().over(within)).cast("long"))
             .drop("_part", "_off"))
 
@@ -235,16 +242,19 @@ def _expense_batch_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   "l_extendedprice", "l_quantity"])
 
 
-def raw_expense_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_expense_batch(spark: SparkSession, sf_dir: str, dirty: bool = False) -> DataFrame:
     """Expense lines rendered as export text; row_id repeats kept, `_pos` is
-    the export order."""
+    the export order. Blank doc_date where key % 19 = 0 (takes the as-of
+    date). ``dirty`` adds rows that break constraints (for the reject check):
+    unknown status (% 101), lower-case type (% 103), missing location (% 107),
+    an amount too large for DECIMAL(12,2) (% 109)."""
     df = _expense_batch_lines(spark, sf_dir)
     k = F.col("_key")
-    return df.select(
+    out = df.select(
         F.col("_pos"),
         F.when(k % 97 == 0, F.lit("")).otherwise(F.col("row_id")).alias("row_id"),
         F.when(k % 11 == 0, F.lit(None).cast("string")).otherwise(F.col("doc_no")).alias("doc_no"),
-        _text_date(F.col("doc_date")).alias("doc_date"),
+        F.when(k % 19 == 0, F.lit("")).otherwise(_text_date(F.col("doc_date"))).alias("doc_date"),
         _text_date(F.col("overdue_date")).alias("overdue_date"),
         F.col("supplier"),
         F.col("currency"),
@@ -256,7 +266,14 @@ def raw_expense_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("r_name").alias("location"),
         F.col("category"),
         F.when(F.col("p_size") % 7 == 0, F.lit("nan")).otherwise(F.col("subcategory")).alias("subcategory"),
+        k.alias("_key"),
     )
+    if dirty:
+        out = (out.withColumn("status", F.when(k % 101 == 0, F.lit("bogus")).otherwise(F.col("status")))
+                  .withColumn("type", F.when(k % 103 == 0, F.lower(F.col("type"))).otherwise(F.col("type")))
+                  .withColumn("location", F.when(k % 107 == 0, F.lit(None).cast("string")).otherwise(F.col("location")))
+                  .withColumn("amount", F.when(k % 109 == 0, F.lit("12,345,678,901.00")).otherwise(F.col("amount"))))
+    return out.drop("_key")
 
 
 def expense_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
