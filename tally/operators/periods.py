@@ -89,3 +89,13 @@ def to_long(df: DataFrame, params: ReportParams) -> DataFrame:
         F.col("section"), F.col("item"), F.col("subitem"), F.col("kind"),
         F.col("period_idx").cast("int").alias("period_idx"), F.col("period"),
         F.col("amount").cast("double").alias("amount"))
+
+
+def nested_json(long: DataFrame) -> DataFrame:
+    """A5: one row per report line with its ``{period: amount}`` map as JSON
+    (each map holds at most 13 entries, so the collect is bounded)."""
+    keys = ["section", "item", "subitem", "kind"]
+    entries = F.sort_array(F.collect_list(F.struct("period_idx", "period", "amount")))
+    as_map = F.map_from_entries(F.transform(entries, lambda e: F.struct(e["period"].alias("k"), e["amount"].alias("v"))))
+    return (long.groupBy(*keys).agg(as_map.alias("values"))
+                .select(*keys, F.to_json(F.struct(*keys, "values")).alias("json")))

@@ -25,7 +25,13 @@ from ..operators.periods import to_long, zero_rows
 from .cashflow import CF_SECTIONS, cashflow_parts, cashflow_report
 from .expense_report import expense_category_mix, expense_trend, expense_trend_wide, expense_type_summary
 from .pnl import PNL_SECTIONS, pnl_parts, pnl_report, revenue_lines
-from .sync import sync_frames
+from .statement import as_text, cashflow_statement_wide, pnl_statement_wide
+from .sync import publish_sync, sync_frames
+from ..operators.pending import pending_defaults, remaining_to_fund
+from ..operators.periods import explode_periods, nested_json, period_sums, range_filter
+from ..session import shared_path
+from ..sources.raw import read_raw_ledger, write_raw_ledger
+from ..sources.snapshot import SnapshotStore
 from ..functions import parse_day_first, parse_money, py_title
 from ..operators.categories import resolve
 from ..operators.clean import clean_income, gate_row_id, rejects
@@ -413,3 +419,99 @@ SELECT CAST(ti AS DOUBLE) AS total_income, CAST(te AS DOUBLE) AS total_expenses,
 def _net_position(spark, sf_dir):
     f = _sync(spark, sf_dir)
     return net_position(f.income, f.expenses)
+
+
+# ---------------------------------------------------------------------------
+# Statements
+# ---------------------------------------------------------------------------
+
+@register("pnl_statement_wide", O.pnl_statement_sql(YEAR_MONTHLY))
+def _pnl_statement_wide(spark, sf_dir):
+    return pnl_statement_wide(_pnl(YEAR_MONTHLY)(spark, sf_dir), YEAR_MONTHLY)
+
+
+@register("cashflow_statement_wide", O.cashflow_statement_sql(CROSS_YEAR, "100000"))
+def _cashflow_statement_wide(spark, sf_dir):
+    return cashflow_statement_wide(_cashflow(CROSS_YEAR, "100000")(spark, sf_dir), CROSS_YEAR)
+
+
+@register("pnl_statement_text", O.pnl_statement_sql(YEAR, as_text=True))
+def _pnl_statement_text(spark, sf_dir):
+    return as_text(pnl_statement_wide(_pnl(YEAR)(spark, sf_dir), YEAR), YEAR)
+
+
+# ---------------------------------------------------------------------------
+# Pending investments (I1-I2) and the period spine
+# ---------------------------------------------------------------------------
+
+@register("remaining_to_fund", O.pending_cte() + """
+SELECT ref_code, CAST(estimated_cost AS DOUBLE) AS estimated_cost,
+       CAST(committed_amount AS DOUBLE) AS committed_amount,
+       CAST(estimated_cost - COALESCE(committed_amount, 0) AS DOUBLE) AS remaining_to_fund FROM pending""")
+def _remaining_to_fund(spark, sf_dir):
+    df = remaining_to_fund(FX.pending_investments(spark, sf_dir))
+    return df.select("ref_code", F.col("estimated_cost").cast("double").alias("estimated_cost"),
+                     F.col("committed_amount").cast("double").alias("committed_amount"), "remaining_to_fund")
+
+
+@register("pending_defaults", O.pending_cte() + """
+SELECT ref_code, COALESCE(currency, 'THB') AS currency,
+       CAST(COALESCE(committed_amount, 0) AS DOUBLE) AS committed_amount,
+       COALESCE(priority, 'Medium') AS priority, COALESCE(status, 'Planned') AS status FROM pending""")
+def _pending_defaults(spark, sf_dir):
+    df = pending_defaults(FX.pending_investments(spark, sf_dir))
+    return df.select("ref_code", "currency", F.col("committed_amount").cast("double").alias("committed_amount"),
+                     "priority", "status")
+
+
+@register("period_spine", O.ledger_sql("," + O.periods_values(YEAR_MONTHLY) + f"""
+SELECT pp.period_idx, pp.period,
+       (SELECT COUNT(*) FROM income i WHERE {O.range_where(YEAR_MONTHLY, 'i')}
+          AND {O.idx_sql(YEAR_MONTHLY, 'i.doc_date')} = pp.period_idx) AS income_lines,
+       (SELECT COUNT(*) FROM expenses e WHERE {O.range_where(YEAR_MONTHLY, 'e')}
+          AND {O.idx_sql(YEAR_MONTHLY, 'e.doc_date')} = pp.period_idx) AS expense_lines
+FROM periods pp""").replace("WITH \n", "WITH ", 1).replace("\n,periods", ",periods", 1))
+def _period_spine(spark, sf_dir):
+    """Every period label of the range with its line counts (0 where
+    none); one global aggregate per ledger builds the zero-filled arrays."""
+    led = FX.ledgers(spark, sf_dir)
+    p = YEAR_MONTHLY
+    one = F.lit(1).cast(S.MONEY)
+
+    def counts(df, name):
+        rows = range_filter(df, p).select("doc_date").withColumn("_one", one)
+        return explode_periods(period_sums(rows, [], "_one", p), p, []).select(
+            "period_idx", "period", F.col("amount").cast("long").alias(name))
+    return counts(led.income, "income_lines").join(counts(led.expenses, "expense_lines"), ["period_idx", "period"])
+
+
+# ---------------------------------------------------------------------------
+# Sources and sinks (A1, A4, A5): rows-only checks
+# ---------------------------------------------------------------------------
+
+@register("read_raw_ledger", None)
+def _read_raw_ledger(spark, sf_dir):
+    """A1: the income export written as CSV to the shared folder and read
+    back as text columns (header row, no inference)."""
+    import uuid
+    path = shared_path(spark, "tally-exports", f"income-{uuid.uuid4().hex}.csv")
+    write_raw_ledger(FX.raw_income_batch(spark, sf_dir), path, "csv")
+    return read_raw_ledger(spark, path, "csv")
+
+
+@register("sync_snapshot", None)
+def _sync_snapshot(spark, sf_dir):
+    """A4: publish the synced ledgers as new snapshot versions (all or
+    nothing) and return the published expense snapshot."""
+    import uuid
+    store = SnapshotStore(spark, shared_path(spark, "tally-store", uuid.uuid4().hex))
+    f = _sync(spark, sf_dir)
+    publish_sync(store, f, FX.SYNC_AS_OF)
+    return store.read("expenses")
+
+
+@register("pnl_nested_json", None)
+def _pnl_nested_json(spark, sf_dir):
+    """A5: the report in nested form, one JSON document per line:
+    ``{period: amount}`` maps built with collect over ≤ 13 periods each."""
+    return nested_json(_pnl(YEAR_MONTHLY)(spark, sf_dir))

@@ -538,3 +538,88 @@ def sync_ctes(as_of: str = FX.SYNC_AS_OF, dirty: bool = False) -> str:
     return ledger_ctes() + raw_ctes(dirty) + clean_ctes() + \
         merge_cte("inc_merged", "inc_snap", "inc_dedup", inc_cols, inc_batch, S.INCOME_COMPARE, as_of) + \
         merge_cte("exp_merged", "exp_snap", "exp_dedup", exp_cols, exp_batch, S.EXPENSE_COMPARE, as_of)
+
+
+# ---------------------------------------------------------------------------
+# Statements
+# ---------------------------------------------------------------------------
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def statement_sql(report_ctes: str, report_body: str, params: ReportParams, fixed: dict, headers: list,
+                  section_no: dict, subheaders: bool, as_text: bool = False) -> str:
+    def fixed_case(i):
+        return "CASE " + " ".join(
+            f"WHEN section = {_q(s)} AND kind = {_q(k)} THEN {v[i] if isinstance(v[i], int) else _q(v[i])}"
+            for (s, _, k), v in fixed.items()) + " END"
+    sec = "CASE " + " ".join(f"WHEN section = {_q(s)} THEN {n}" for s, n in section_no.items()) + " END"
+    is_item = "kind IN ('customer', 'sub', 'direct')"
+    periods = params.period_labels()
+    piv = ", ".join(f"SUM(CASE WHEN period = {_q(p)} THEN amount END) AS \"{p}\"" for p in periods)
+    nulls = ", ".join(f"CAST(NULL AS DOUBLE) AS \"{p}\"" for p in periods)
+    heads = " UNION ALL ".join(
+        f"SELECT {s} AS section_no, {b} AS block, CAST(NULL AS VARCHAR) AS group_key, 0 AS direct_last, "
+        f"'' AS sort_name, {_q(lbl)} AS item, 'is_header' AS role, {nulls}" for s, b, lbl in headers)
+    subs = ""
+    if subheaders:
+        subs = (f" UNION ALL SELECT DISTINCT section_no, block, group_key, -1, '', '  ' || group_key, "
+                f"'is_subheader', {nulls} FROM st_wide WHERE group_key IS NOT NULL")
+    if as_text:
+        vals = ", ".join(f"COALESCE(format('{{:,.2f}}', \"{p}\"), '') AS \"{p}\"" for p in periods)
+    else:
+        vals = ", ".join(f"\"{p}\"" for p in periods)
+    roles = ", ".join(f"role = '{r}' AS {r}" for r in ("is_header", "is_subheader", "is_subitem", "is_total", "is_final"))
+    return report_ctes + f""",
+rep AS ({report_body}),
+st_lines AS (
+  SELECT CASE WHEN {is_item} THEN {sec} ELSE {fixed_case(0)} END AS section_no,
+         CASE WHEN {is_item} THEN 5 ELSE {fixed_case(1)} END AS block,
+         CASE WHEN kind IN ('sub', 'direct') THEN item END AS group_key,
+         CASE WHEN kind = 'direct' THEN 1 ELSE 0 END AS direct_last,
+         CASE WHEN kind = 'customer' THEN '  ' || item WHEN kind = 'sub' THEN '    ' || subitem
+              WHEN kind = 'direct' THEN '    Direct' ELSE {fixed_case(2)} END AS item,
+         CASE WHEN {is_item} THEN 'is_subitem' ELSE {fixed_case(3)} END AS role,
+         COALESCE(subitem, item) AS sort_name, period, amount
+  FROM rep
+),
+st_wide AS (
+  SELECT section_no, block, group_key, direct_last, sort_name, item, role, {piv}
+  FROM st_lines WHERE section_no IS NOT NULL
+  GROUP BY section_no, block, group_key, direct_last, sort_name, item, role
+),
+st_all AS (SELECT * FROM st_wide{subs} UNION ALL {heads})
+SELECT CAST(section_no AS INTEGER) AS section_no, CAST(block AS INTEGER) AS block, group_key,
+       CAST(direct_last AS INTEGER) AS direct_last, sort_name, item, {roles}, {vals}
+FROM st_all"""
+
+
+def pnl_statement_sql(params: ReportParams, as_text: bool = False) -> str:
+    from .statement import PNL_FIXED, PNL_HEADERS, PNL_SECTION_NO
+    body = "\nUNION ALL ".join(PNL_PART_SELECTS[p]() for p in ("revenue", "expenses", "totals", "metrics"))
+    return statement_sql(pnl_ctes(params).rstrip().rstrip(","), body, params, PNL_FIXED, PNL_HEADERS,
+                         PNL_SECTION_NO, True, as_text)
+
+
+def cashflow_statement_sql(params: ReportParams, opening: str) -> str:
+    from .statement import CF_FIXED, CF_HEADERS, CF_SECTION_NO
+    body = "\nUNION ALL ".join([long_select("exp_lines"), long_select("totals", "'total'", True),
+                                long_select("metrics", "'metric'", True)])
+    return statement_sql(cashflow_ctes(params, opening), body, params, CF_FIXED, CF_HEADERS,
+                         CF_SECTION_NO, False)
+
+
+def pending_cte() -> str:
+    price = "CAST(p_retailprice AS DECIMAL(14,2))"
+    return f"""WITH pending AS (
+  SELECT 'CAPEX-' || CAST(p_partkey AS VARCHAR) AS ref_code, p_name AS description,
+         CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 'THB' END AS currency,
+         CAST(ROUND({price} * p_size, 2) AS DECIMAL(14,2)) AS estimated_cost,
+         CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE CAST(ROUND({price} * (p_size % 10), 2) AS DECIMAL(14,2)) END
+           AS committed_amount,
+         CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE 'High' END AS priority,
+         CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE 'Approved' END AS status,
+         p_brand AS location
+  FROM part
+)"""
