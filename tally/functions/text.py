@@ -11,11 +11,6 @@ from pyspark.sql import functions as F
 # 0x1C-0x1F, space, NEL, NBSP and the Unicode space separators).
 _WS = "[\\s\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
-# A run of cased letters, or a run of anything else (Python title() boundaries).
-_CASED = "\\p{Lu}\\p{Ll}\\p{Lt}"
-_TITLE_RUNS = f"([{_CASED}]+|[^{_CASED}]+)"
-
-
 def py_strip(c: Column) -> Column:
     """``str.strip()``: remove leading and trailing whitespace of every kind."""
     return F.regexp_replace(c, f"^{_WS}+|{_WS}+$", "")
@@ -26,12 +21,20 @@ def is_blank(c: Column) -> Column:
     return c.isNull() | (py_strip(c) == "")
 
 
+# Cased letters (Python title() starts a word at a cased letter that follows
+# anything that is not a cased letter).
+_CASED = "\\p{Lu}\\p{Ll}\\p{Lt}"
+_WORD_START = f"(?<=[^{_CASED}])(?=[{_CASED}])"
+_MARK = "\ue000 "  # private-use character + space, removed again below
+
+
 def py_title(c: Column) -> Column:
     """``str.title()``: upper-case the first letter of each run of cased
-    letters, lower-case the rest. ``initcap`` splits on spaces only, so
-    ``bkk-2a o'neil`` must become ``Bkk-2A O'Neil`` through runs instead.
+    letters, lower-case the rest. ``initcap`` alone starts words after a space
+    only, so ``bkk-2a o'neil`` would become ``Bkk-2a O'neil``; a mark + space
+    is put before every letter run that follows a non-letter, ``initcap``
+    runs, and the marks are taken out. All three are codegen'd built-ins.
     Null stays null.
     """
-    runs = F.regexp_extract_all(c, F.lit(_TITLE_RUNS), 0)
-    titled = F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, 2, 1 << 30))))
-    return F.when(c.isNull(), F.lit(None).cast("string")).otherwise(F.array_join(titled, ""))
+    marked = F.regexp_replace(c, _WORD_START, _MARK)
+    return F.regexp_replace(F.initcap(marked), _MARK, "")

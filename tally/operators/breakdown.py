@@ -51,3 +51,24 @@ def section_totals(parts: list[DataFrame], zeros: DataFrame) -> DataFrame:
     for p in parts:
         u = u.unionByName(p.select("section", "period_idx", "amount"))
     return u.groupBy("section", "period_idx").agg(F.sum("amount").alias("amount"))
+
+
+def period_table(parts: list[DataFrame], zeros: DataFrame, sections: list[str]) -> DataFrame:
+    """One row per period with one total column per section, in a single
+    aggregate over the (already aggregated) parts; ``zeros`` makes every
+    period present. Section totals and report metrics are both read off
+    this table, so they share one exchange."""
+    u = zeros
+    for p in parts:
+        u = u.unionByName(p.select("section", "period_idx", "amount"))
+    return u.groupBy("period_idx").agg(*[
+        F.sum(F.when(F.col("section") == s, F.col("amount"))).alias(s) for s in sections])
+
+
+def unpivot(table: DataFrame, columns: list[str], kind: str, cast: str) -> DataFrame:
+    """(period_idx, c1, c2, …) → long rows (section, item, subitem, kind, period_idx, amount)."""
+    none = F.lit(None).cast("string")
+    return (table.select("period_idx", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("section"), F.col(c).cast(cast).alias("amount")) for c in columns])).alias("m"))
+        .select("m.section", none.alias("item"), none.alias("subitem"), F.lit(kind).alias("kind"),
+                "period_idx", "m.amount"))

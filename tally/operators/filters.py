@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..params import as_date
+from .periods import month_partition_filter
 
 INCOME_DISPLAY = ("doc_no", "doc_date", "customer", "location", "amount", "vat", "grand_total", "status")
 EXPENSE_DISPLAY = ("doc_no", "doc_date", "supplier", "type", "location", "amount", "vat", "grand_total", "status")
@@ -18,6 +19,7 @@ def ledger_filter(df: DataFrame, start: str | dt.date | None = None, end: str |
                   location: str | None = None) -> DataFrame:
     """AND of the given filters; lists take ``location`` literally (no ``All``)."""
     s, e = as_date(start), as_date(end)
+    df = month_partition_filter(df, s, e)
     if s is not None:
         df = df.filter(F.col("doc_date") >= F.lit(s))
     if e is not None:

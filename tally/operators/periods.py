@@ -39,9 +39,23 @@ def n_periods(params: ReportParams) -> int:
     return len(params.period_labels())
 
 
+def month_partition_filter(df: DataFrame, start, end) -> DataFrame:
+    """On a month-partitioned snapshot, the same range on ``doc_month`` so
+    the scan lists and reads only the months in range (Catalyst does not
+    derive a partition filter from a ``doc_date`` filter)."""
+    if "doc_month" not in df.columns:
+        return df
+    if start is not None:
+        df = df.filter(F.col("doc_month") >= F.lit(start.replace(day=1)))
+    if end is not None:
+        df = df.filter(F.col("doc_month") <= F.lit(end.replace(day=1)))
+    return df
+
+
 def range_filter(df: DataFrame, params: ReportParams, date_col: str = "doc_date") -> DataFrame:
     """Inclusive date range and optional exact location."""
-    out = df.filter(F.col(date_col).between(F.lit(params.start), F.lit(params.end)))
+    out = month_partition_filter(df, params.start, params.end)
+    out = out.filter(F.col(date_col).between(F.lit(params.start), F.lit(params.end)))
     loc = params.location_filter
     if loc is not None:
         out = out.filter(F.col("location") == F.lit(loc))

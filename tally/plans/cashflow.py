@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators.breakdown import breakdown, section_totals
+from ..operators.breakdown import breakdown, period_table, unpivot
 from ..operators.periods import explode_periods, period_sums, range_filter, to_long, zero_rows
 from ..params import ReportParams
 
@@ -49,27 +49,18 @@ def cashflow_parts(spark: SparkSession, income: DataFrame, expenses: DataFrame,
                    params: ReportParams, opening: Decimal = Decimal("0")) -> dict[str, DataFrame]:
     sales = sales_inflows(income, params)
     br = breakdown(expenses, dim, "grand_total", CF_SECTIONS, params)
-    totals = section_totals([sales, br.matched], zero_rows(spark, ["sales_income", *CF_SECTIONS.values()], params))
-
-    def pick(name):
-        return F.sum(F.when(F.col("section") == name, F.col("amount")))
-    wide = totals.groupBy("period_idx").agg(
-        pick("sales_income").alias("sales_income"), pick("cogs").alias("cogs"),
-        pick("opex").alias("opex"), pick("capex").alias("capex"))
+    sections = ["sales_income", *CF_SECTIONS.values()]
+    wide = period_table([sales, br.matched], zero_rows(spark, sections, params), sections)
     zero = F.lit(0).cast("decimal(12,2)")
     wide = (wide.withColumn("fundings", zero).withColumn("other_income", zero)
                 .withColumn("total_inflows", F.col("sales_income") + F.col("fundings") + F.col("other_income"))
                 .withColumn("total_outflows", F.col("cogs") + F.col("opex") + F.col("capex"))
                 .withColumn("net_cashflow", F.col("total_inflows") - F.col("total_outflows")))
     wide = balances(wide, params, opening)
-    none = F.lit(None).cast("string")
-    metric_rows = wide.select("period_idx", F.explode(F.array(*[
-        F.struct(F.lit(m).alias("section"), F.col(m).cast("decimal(38,2)").alias("amount")) for m in CF_METRICS
-    ])).alias("m")).select("m.section", none.alias("item"), none.alias("subitem"),
-                           F.lit("metric").alias("kind"), "period_idx", "m.amount")
-    total_rows = totals.select("section", none.alias("item"), none.alias("subitem"),
-                               F.lit("total").alias("kind"), "period_idx", "amount")
-    return {"outflow_lines": br.lines, "totals": total_rows, "metrics": metric_rows, "wide": wide}
+    return {"outflow_lines": br.lines,
+            "totals": unpivot(wide, sections, "total", "decimal(38,2)"),
+            "metrics": unpivot(wide, list(CF_METRICS), "metric", "decimal(38,2)"),
+            "wide": wide}
 
 
 def cashflow_report(spark: SparkSession, income: DataFrame, expenses: DataFrame, dim: DataFrame,

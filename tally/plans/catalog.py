@@ -249,9 +249,10 @@ def _expense_type_summary(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 def _sync(spark: SparkSession, sf_dir: str, dirty: bool = False):
+    lines = FX.expense_batch_lines(spark, sf_dir)
     return sync_frames(
-        FX.raw_income_batch(spark, sf_dir), FX.raw_expense_batch(spark, sf_dir, dirty),
-        FX.income_snapshot(spark, sf_dir), FX.expense_snapshot(spark, sf_dir),
+        FX.raw_income_batch(spark, sf_dir), FX.raw_expense_batch(spark, sf_dir, dirty, lines),
+        FX.income_snapshot(spark, sf_dir), FX.expense_snapshot(spark, sf_dir, lines),
         FX.parent_dimension(spark, sf_dir), FX.SYNC_AS_OF, FX.SYNC_AS_OF_DATE, FX.TEST_RECURRING)
 
 

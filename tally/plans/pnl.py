@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..operators.breakdown import breakdown, section_totals
+from ..operators.breakdown import breakdown, period_table, unpivot
 from ..operators.periods import explode_periods, period_sums, range_filter, to_long, zero_rows
 from ..params import ReportParams
 
@@ -30,34 +30,25 @@ def revenue_lines(income: DataFrame, params: ReportParams) -> DataFrame:
                     "period_idx", "period", "amount"))
 
 
-def metrics_from_totals(totals: DataFrame) -> DataFrame:
-    """P10-P13 from (section, period_idx, amount) totals, exact decimals."""
-    def pick(name):
-        return F.sum(F.when(F.col("section") == name, F.col("amount")))
-    wide = totals.groupBy("period_idx").agg(
-        pick("revenue").alias("rev"), pick("cogs").alias("cogs"), pick("operating_expenses").alias("opex"))
-    gross = F.col("rev") - F.col("cogs")
-    ebit = gross - F.col("opex")
-    tax = F.greatest(F.lit(0).cast("decimal(3,2)"), ebit * F.lit(S.TAX_RATE).cast("decimal(3,2)"))
-    wide = (wide.withColumn("gross_profit", gross).withColumn("ebit", ebit)
-                .withColumn("income_tax", tax).withColumn("net_earnings", F.col("ebit") - F.col("income_tax")))
-    return wide.select("period_idx", F.explode(F.array(*[
-        F.struct(F.lit(m).alias("section"), F.col(m).cast("decimal(38,4)").alias("amount")) for m in METRICS
-    ])).alias("m")).select("m.section", "period_idx", "m.amount")
+def add_metrics(table: DataFrame) -> DataFrame:
+    """P10-P13 on the per-period table (revenue, cogs, operating_expenses),
+    exact decimals."""
+    gross = F.col("revenue") - F.col("cogs")
+    ebit = F.col("gross_profit") - F.col("operating_expenses")
+    tax = F.greatest(F.lit(0).cast("decimal(3,2)"), F.col("ebit") * F.lit(S.TAX_RATE).cast("decimal(3,2)"))
+    return (table.withColumn("gross_profit", gross).withColumn("ebit", ebit)
+                 .withColumn("income_tax", tax).withColumn("net_earnings", F.col("ebit") - F.col("income_tax")))
 
 
 def pnl_parts(spark: SparkSession, income: DataFrame, expenses: DataFrame, dim: DataFrame,
               params: ReportParams) -> dict[str, DataFrame]:
     rev = revenue_lines(income, params)
     br = breakdown(expenses, dim, "amount", PNL_SECTIONS, params)
-    totals = section_totals([rev, br.matched], zero_rows(spark, ["revenue", *PNL_SECTIONS.values()], params))
-    metrics = metrics_from_totals(totals)
-    none = F.lit(None).cast("string")
-    total_rows = totals.select("section", none.alias("item"), none.alias("subitem"),
-                               F.lit("total").alias("kind"), "period_idx", "amount")
-    metric_rows = metrics.select("section", none.alias("item"), none.alias("subitem"),
-                                 F.lit("metric").alias("kind"), "period_idx", "amount")
-    return {"revenue": rev, "expenses": br.lines, "totals": total_rows, "metrics": metric_rows}
+    sections = ["revenue", *PNL_SECTIONS.values()]
+    table = add_metrics(period_table([rev, br.matched], zero_rows(spark, sections, params), sections))
+    return {"revenue": rev, "expenses": br.lines,
+            "totals": unpivot(table, sections, "total", "decimal(38,2)"),
+            "metrics": unpivot(table, list(METRICS), "metric", "decimal(38,4)")}
 
 
 def pnl_report(spark: SparkSession, income: DataFrame, expenses: DataFrame, dim: DataFrame,

@@ -49,9 +49,12 @@ def _dec(c: Column, p: int = 12, s: int = 2) -> Column:
 
 
 def _region_of_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nation → region name and its title-cased location, computed on the
+    dimension side (one row per nation) rather than once per ledger line."""
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     region = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    return nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_nationkey", "r_name")
+    return (nation.join(region, nation.n_regionkey == region.r_regionkey)
+            .select("n_nationkey", "r_name", py_title(F.col("r_name")).alias("r_location")))
 
 
 # ---------------------------------------------------------------------------
@@ -79,7 +82,7 @@ def income_ledger(spark: SparkSession, sf_dir: str, with_audit: bool = True) ->
         F.lit(S.DEFAULT_CURRENCY).alias("currency"),
         amount.alias("amount"),
         _map(F.col("o_orderstatus"), INCOME_STATUS).alias("status"),
-        py_title(F.col("r_name")).alias("location"),
+        F.col("r_location").alias("location"),
     ).withColumn("vat", to_money(F.col("amount") * F.lit(INCOME_VAT_RATE).cast("decimal(3,2)")))
      .withColumn("grand_total", to_money(F.col("amount") + F.col("vat"))))
     ts = F.lit(SNAPSHOT_CREATED).cast("timestamp_ntz")
@@ -119,7 +122,7 @@ def _expense_columns(recurring: tuple[str, ...]) -> list[Column]:
         to_money(amount * _dec(F.col("l_tax"), 4, 2)).alias("vat"),
         _map(F.col("l_linestatus"), EXPENSE_STATUS).alias("status"),
         _map(F.col("l_returnflag"), EXPENSE_TYPE).alias("type"),
-        py_title(F.col("r_name")).alias("location"),
+        F.col("r_location").alias("location"),
         F.col("p_type").alias("category"),
         sub.alias("subcategory"),
         F.concat_ws(S.CATEGORY_KEY_SEP, F.col("p_type"), sub).alias("category_key"),
@@ -231,7 +234,9 @@ def income_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("amount", F.when(k % 7 == 0, to_money(F.col("amount") + F.lit(1))).otherwise(F.col("amount"))))
 
 
-def _expense_batch_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def expense_batch_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expense lines in export order (``_pos``), the common input of the raw
+    expense batch and the prior expense snapshot."""
     src = expense_source(spark, sf_dir)
     cols = _expense_columns(TEST_RECURRING) + [
         F.col("l_orderkey").alias("_key"), F.col("r_name"), F.col("p_size"),
@@ -242,13 +247,15 @@ def _expense_batch_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   "l_extendedprice", "l_quantity"])
 
 
-def raw_expense_batch(spark: SparkSession, sf_dir: str, dirty: bool = False) -> DataFrame:
+def raw_expense_batch(spark: SparkSession, sf_dir: str, dirty: bool = False,
+                      lines: DataFrame | None = None) -> DataFrame:
     """Expense lines rendered as export text; row_id repeats kept, `_pos` is
     the export order. Blank doc_date where key % 19 = 0 (takes the as-of
     date). ``dirty`` adds rows that break constraints (for the reject check):
     unknown status (% 101), lower-case type (% 103), missing location (% 107),
-    an amount too large for DECIMAL(12,2) (% 109)."""
-    df = _expense_batch_lines(spark, sf_dir)
+    an amount too large for DECIMAL(12,2) (% 109). ``lines`` reuses
+    already numbered lines (see ``expense_batch_lines``)."""
+    df = lines if lines is not None else expense_batch_lines(spark, sf_dir)
     k = F.col("_key")
     out = df.select(
         F.col("_pos"),
@@ -276,10 +283,10 @@ def raw_expense_batch(spark: SparkSession, sf_dir: str, dirty: bool = False) ->
     return out.drop("_key")
 
 
-def expense_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+def expense_snapshot(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
     """Prior expense snapshot: one row per row_id (the last export line),
     keys % 5 = 0 missing, amount + 1.00 where key % 7 = 0."""
-    df = _expense_batch_lines(spark, sf_dir)
+    df = lines if lines is not None else expense_batch_lines(spark, sf_dir)
     last = (df.groupBy("row_id")
               .agg(F.max_by(F.struct(*[c for c in df.columns if c != "row_id"]), F.col("_pos")).alias("r"))
               .select("row_id", "r.*"))

@@ -163,3 +163,24 @@ def test_params_checks():
     with pytest.raises(ValueError):
         parse_ddmmyyyy("2025-12-31")
     assert ReportParams.of("1996-11-01", "1997-02-28", "monthly").period_labels() == ["nov-96", "dec-96", "jan-97", "feb-97"]
+
+
+def test_publish_counts_match_actions(spark):
+    """Counters observed during the publish equal a groupBy over the merge."""
+    import tempfile
+
+    from tally.plans.catalog import _sync
+    from tally.plans.sync import publish_sync
+    from tally.sources import fixtures as FX
+    from tally.sources.snapshot import SnapshotStore
+    f = _sync(spark, "/root/testdata/sf0.001")
+    expect = {}
+    for ledger, merged in (("income", f.income), ("expenses", f.expenses)):
+        for r in action_counts(merged, ledger).collect():
+            expect[f"{ledger}_{r['action']}"] = r["count"]
+    store = SnapshotStore(spark, tempfile.mkdtemp(prefix="tally-pub-"))
+    summary = publish_sync(store, f, FX.SYNC_AS_OF)
+    got = {k: v for k, v in summary.items() if k.startswith(("income_", "expenses_")) and v}
+    assert got == expect
+    assert store.read("expenses").count() == f.expenses.count()
+    assert summary["net_position"] == pytest.approx(summary["total_income"] - summary["total_expenses"], abs=0.01)
