@@ -14,7 +14,7 @@ def parse_money(c: Column) -> Column:
     Parsed at DECIMAL(18,2) so an oversize number is seen (and rejected by the
     constraint check) instead of silently becoming null.
     """
-    return F.regexp_replace(c, ",", "").try_cast(S.MONEY_PARSE)
+    return F.replace(c, F.lit(","), F.lit("")).try_cast(S.MONEY_PARSE)
 
 
 def fits_money(c: Column) -> Column:

@@ -75,8 +75,9 @@ def _money_columns(raw: DataFrame) -> dict[str, Column]:
 
 
 def _reasons(checks: list[tuple[Column, str]]) -> Column:
-    arr = F.array(*[F.when(cond, F.lit(reason)) for cond, reason in checks])
-    return F.filter(arr, lambda x: x.isNotNull())
+    """Comma-joined reasons, empty when the row is clean (``concat_ws`` skips
+    the nulls of checks that pass)."""
+    return F.concat_ws(",", *[F.when(cond, F.lit(reason)) for cond, reason in checks])
 
 
 def _money_checks(cols: list[str]) -> list[tuple[Column, str]]:
@@ -154,6 +155,5 @@ def clean_expenses(raw: DataFrame, as_of_date: str,
 
 
 def rejects(cleaned: DataFrame) -> DataFrame:
-    """Rows with at least one reason; reasons joined as text."""
-    return (cleaned.filter(F.size("_reasons") > 0)
-            .select("_pos", "row_id", F.array_join("_reasons", ",").alias("reasons")))
+    """Rows with at least one reason, reasons as comma-joined text."""
+    return cleaned.filter(F.col("_reasons") != "").select("_pos", "row_id", F.col("_reasons").alias("reasons"))

@@ -248,12 +248,15 @@ def _expense_type_summary(spark, sf_dir):
 # Cleaning (B1-B14), categories (C1-C4) and sync (U1-U6) on the export fixtures
 # ---------------------------------------------------------------------------
 
-def _sync(spark: SparkSession, sf_dir: str, dirty: bool = False):
+def _sync(spark: SparkSession, sf_dir: str, dirty: bool = False, staged: bool = False):
+    """Sync frames over the export fixtures. Lazy views (staged=False) for
+    the queries that only look at them; the publishing query stages the
+    cleaned batches (they are read several times there)."""
     lines = FX.expense_batch_lines(spark, sf_dir)
     return sync_frames(
         FX.raw_income_batch(spark, sf_dir), FX.raw_expense_batch(spark, sf_dir, dirty, lines),
         FX.income_snapshot(spark, sf_dir), FX.expense_snapshot(spark, sf_dir, lines),
-        FX.parent_dimension(spark, sf_dir), FX.SYNC_AS_OF, FX.SYNC_AS_OF_DATE, FX.TEST_RECURRING)
+        FX.parent_dimension(spark, sf_dir), FX.SYNC_AS_OF, FX.SYNC_AS_OF_DATE, FX.TEST_RECURRING, staged)
 
 
 def _sync_sql(select: str, dirty: bool = False) -> str:
@@ -506,7 +509,7 @@ def _sync_snapshot(spark, sf_dir):
     nothing) and return the published expense snapshot."""
     import uuid
     store = SnapshotStore(spark, shared_path(spark, "tally-store", uuid.uuid4().hex))
-    f = _sync(spark, sf_dir)
+    f = _sync(spark, sf_dir, staged=True)
     publish_sync(store, f, FX.SYNC_AS_OF)
     return store.read("expenses")
 

@@ -177,15 +177,13 @@ def global_row_number(df: DataFrame, order: list[str], name: str = "_pos") -> Da
     """Dense 1-based row number in a total order, without a one-task window.
 
     Range-partitioned by the order (sampled bounds split hot keys), each row
-    tagged with its partition, then checkpointed to the shared checkpoint
-    folder so the partition tags are fixed. Per-partition counts give
+    tagged with its partition, then staged as a table in the shared
+    checkpoint folder so the partition tags are fixed. Per-partition counts give
     running offsets (one row per partition, the only broadcast), and a
     row number inside each partition completes the number.
     """
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    tagged = (df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-              .checkpoint(eager=True))
+    from .staging import stage_table
+    tagged = stage_table(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "export-order")
     counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
