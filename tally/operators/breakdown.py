@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from ..params import ReportParams
 from .categories import resolve
-from .periods import explode_periods, period_sums, range_filter
+from .periods import period_sums, range_predicate
 
 
 @dataclass
 class Breakdown:
-    lines: DataFrame    # section, item, subitem, kind ('sub' | 'direct'), period_idx, period, amount
+    lines: DataFrame    # section, item, subitem, kind ('sub' | 'direct'), period_idx, amount
     matched: DataFrame  # section, period_idx, amount: every row that joined the dimension
 
 
@@ -27,19 +27,18 @@ def breakdown(expenses: DataFrame, dim: DataFrame, measure: str, sections: dict[
     ``{"COGS": "cogs", "OPEX": "operating_expenses"}``; other types are
     filtered out at the scan."""
     types = list(sections)
-    rows = (range_filter(expenses, params)
-            .filter(F.col("type").isin(*types))
-            .select("type", "category_key", "doc_date", measure))
+    rows = expenses.filter(range_predicate(expenses, params) & F.col("type").isin(*types)) \
+                   .select("type", "category_key", "doc_date", measure)
     sums = period_sums(rows, ["type", "category_key"], measure, params)
     resolved = resolve(sums, dim)
     section = None
     for t, name in sections.items():
         section = F.when(F.col("type") == t, name) if section is None else section.when(F.col("type") == t, name)
-    long = (explode_periods(resolved, params, ["type", "category", "subcategory", "kind"])
-            .withColumn("section", section))
+    long = resolved.select(section.alias("section"), "category", "subcategory", "kind",
+                           F.posexplode("amounts").alias("period_idx", "amount"))
     lines = long.filter(F.col("category").isNotNull()).select(
         "section", F.col("category").alias("item"), F.col("subcategory").alias("subitem"), "kind",
-        "period_idx", "period", "amount")
+        "period_idx", "amount")
     matched = long.select("section", "period_idx", "amount")
     return Breakdown(lines, matched)
 

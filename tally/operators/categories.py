@@ -58,7 +58,8 @@ def resolve(df: DataFrame, dim: DataFrame) -> DataFrame:
     parent = dim.select(F.col("category_key").alias("parent_key"), F.col("name").alias("parent_name"))
     out = df.join(own, "category_key", "inner").join(parent, "parent_key", "left")
     is_sub = F.col("parent_key").isNotNull()
-    return (out.withColumn("is_subcategory", is_sub)
-               .withColumn("category", F.when(is_sub, F.col("parent_name")).otherwise(F.col("own_name")))
-               .withColumn("subcategory", F.when(is_sub, F.col("own_name")))
-               .withColumn("kind", F.when(is_sub, F.lit("sub")).otherwise(F.lit("direct"))))
+    return out.select(
+        "*", is_sub.alias("is_subcategory"),
+        F.when(is_sub, F.col("parent_name")).otherwise(F.col("own_name")).alias("category"),
+        F.when(is_sub, F.col("own_name")).alias("subcategory"),
+        F.when(is_sub, F.lit("sub")).otherwise(F.lit("direct")).alias("kind"))

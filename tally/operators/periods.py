@@ -39,29 +39,46 @@ def n_periods(params: ReportParams) -> int:
     return len(params.period_labels())
 
 
-def month_partition_filter(df: DataFrame, start, end) -> DataFrame:
+def month_partition_predicate(df: DataFrame, start, end):
     """On a month-partitioned snapshot, the same range on ``doc_month`` so
     the scan lists and reads only the months in range (Catalyst does not
-    derive a partition filter from a ``doc_date`` filter)."""
+    derive a partition filter from a ``doc_date`` filter). None otherwise."""
     if "doc_month" not in df.columns:
-        return df
+        return None
+    conds = []
     if start is not None:
-        df = df.filter(F.col("doc_month") >= F.lit(start.replace(day=1)))
+        conds.append(F.col("doc_month") >= F.lit(start.replace(day=1)))
     if end is not None:
-        df = df.filter(F.col("doc_month") <= F.lit(end.replace(day=1)))
-    return df
+        conds.append(F.col("doc_month") <= F.lit(end.replace(day=1)))
+    return _and(conds)
 
 
-def range_filter(df: DataFrame, params: ReportParams, date_col: str = "doc_date") -> DataFrame:
-    """Inclusive date range and optional exact location."""
-    out = month_partition_filter(df, params.start, params.end)
-    out = out.filter(F.col(date_col).between(F.lit(params.start), F.lit(params.end)))
-    loc = params.location_filter
-    if loc is not None:
-        out = out.filter(F.col("location") == F.lit(loc))
+def _and(conds):
+    out = None
+    for c in conds:
+        out = c if out is None else (out & c)
     return out
 
 
+def month_partition_filter(df: DataFrame, start, end) -> DataFrame:
+    pred = month_partition_predicate(df, start, end)
+    return df if pred is None else df.filter(pred)
+
+
+def range_predicate(df: DataFrame, params: ReportParams, date_col: str = "doc_date") -> Column:
+    """Inclusive date range (+ month partitions) and optional exact location."""
+    conds = [month_partition_predicate(df, params.start, params.end),
+             F.col(date_col).between(F.lit(params.start), F.lit(params.end))]
+    if params.location_filter is not None:
+        conds.append(F.col("location") == F.lit(params.location_filter))
+    return _and([c for c in conds if c is not None])
+
+
+def range_filter(df: DataFrame, params: ReportParams, date_col: str = "doc_date") -> DataFrame:
+    """Inclusive date range and optional exact location (one filter)."""
+    return df.filter(range_predicate(df, params, date_col))
+
+
 def period_sums(df: DataFrame, keys: list[str], measure: str, params: ReportParams) -> DataFrame:
     """``keys`` + ``amounts``: array of exact per-period sums, 0 where empty.
 
@@ -80,9 +97,9 @@ def period_sums(df: DataFrame, keys: list[str], measure: str, params: ReportPara
 
 
 def explode_periods(df: DataFrame, params: ReportParams, keep: list[str]) -> DataFrame:
-    """Array of period sums → one row per period with its label."""
-    exploded = df.select(*keep, F.posexplode("amounts").alias("period_idx", "amount"))
-    return exploded.withColumn("period", period_label(params, F.col("period_idx")))
+    """Array of period sums → one row per period (labels are added at the
+    output edge by ``to_long``)."""
+    return df.select(*keep, F.posexplode("amounts").alias("period_idx", "amount"))
 
 
 def zero_rows(spark, sections: list[str], params: ReportParams) -> DataFrame:
@@ -90,18 +107,17 @@ def zero_rows(spark, sections: list[str], params: ReportParams) -> DataFrame:
     parameter-sized frame (≤ 13 × sections rows) that guarantees every total
     exists even when no ledger row falls in the range."""
     n = n_periods(params)
-    return (spark.range(n).select(F.col("id").cast("int").alias("period_idx"))
-            .select(F.explode(F.array(*[F.lit(s) for s in sections])).alias("section"), "period_idx")
-            .withColumn("amount", F.lit(0).cast(S.MONEY)))
+    return spark.range(n).select(F.explode(F.array(*[F.lit(s) for s in sections])).alias("section"),
+                                 F.col("id").cast("int").alias("period_idx"),
+                                 F.lit(0).cast(S.MONEY).alias("amount"))
 
 
 def to_long(df: DataFrame, params: ReportParams) -> DataFrame:
     """Final long form: labels added, amounts as double at the output edge."""
-    if "period" not in df.columns:
-        df = df.withColumn("period", period_label(params, F.col("period_idx")))
     return df.select(
         F.col("section"), F.col("item"), F.col("subitem"), F.col("kind"),
-        F.col("period_idx").cast("int").alias("period_idx"), F.col("period"),
+        F.col("period_idx").cast("int").alias("period_idx"),
+        period_label(params, F.col("period_idx")).alias("period"),
         F.col("amount").cast("double").alias("amount"))
 
 

@@ -29,7 +29,7 @@ def sales_inflows(income: DataFrame, params: ReportParams) -> DataFrame:
     present (0) even when no income row falls in the range."""
     rows = range_filter(income, params).select("doc_date", "grand_total")
     sums = period_sums(rows, [], "grand_total", params)
-    return explode_periods(sums, params, []).select(F.lit("sales_income").alias("section"), "period_idx", "amount")
+    return sums.select(F.lit("sales_income").alias("section"), F.posexplode("amounts").alias("period_idx", "amount"))
 
 
 def balances(wide: DataFrame, params: ReportParams, opening: Decimal) -> DataFrame:
@@ -40,9 +40,9 @@ def balances(wide: DataFrame, params: ReportParams, opening: Decimal) -> DataFra
     """
     seed = F.lit(str(opening)).cast(BALANCE_TYPE)
     run = Window.orderBy("period_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    closing = seed + F.sum("net_cashflow").over(run)
-    return (wide.withColumn("closing_balance", closing.cast(BALANCE_TYPE))
-                .withColumn("opening_balance", (F.col("closing_balance") - F.col("net_cashflow")).cast(BALANCE_TYPE)))
+    closing = (seed + F.sum("net_cashflow").over(run)).cast(BALANCE_TYPE)
+    return wide.select("*", closing.alias("closing_balance"),
+                       (closing - F.col("net_cashflow")).cast(BALANCE_TYPE).alias("opening_balance"))
 
 
 def cashflow_parts(spark: SparkSession, income: DataFrame, expenses: DataFrame, dim: DataFrame,
@@ -52,10 +52,10 @@ def cashflow_parts(spark: SparkSession, income: DataFrame, expenses: DataFrame,
     sections = ["sales_income", *CF_SECTIONS.values()]
     wide = period_table([sales, br.matched], zero_rows(spark, sections, params), sections)
     zero = F.lit(0).cast("decimal(12,2)")
-    wide = (wide.withColumn("fundings", zero).withColumn("other_income", zero)
-                .withColumn("total_inflows", F.col("sales_income") + F.col("fundings") + F.col("other_income"))
-                .withColumn("total_outflows", F.col("cogs") + F.col("opex") + F.col("capex"))
-                .withColumn("net_cashflow", F.col("total_inflows") - F.col("total_outflows")))
+    inflows = F.col("sales_income") + zero + zero
+    outflows = F.col("cogs") + F.col("opex") + F.col("capex")
+    wide = wide.select("*", zero.alias("fundings"), zero.alias("other_income"), inflows.alias("total_inflows"),
+                       outflows.alias("total_outflows"), (inflows - outflows).alias("net_cashflow"))
     wide = balances(wide, params, opening)
     return {"outflow_lines": br.lines,
             "totals": unpivot(wide, sections, "total", "decimal(38,2)"),

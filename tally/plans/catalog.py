@@ -28,7 +28,7 @@ from .pnl import PNL_SECTIONS, pnl_parts, pnl_report, revenue_lines
 from .statement import as_text, cashflow_statement_wide, pnl_statement_wide
 from .sync import publish_sync, sync_frames
 from ..operators.pending import pending_defaults, remaining_to_fund
-from ..operators.periods import explode_periods, nested_json, period_sums, range_filter
+from ..operators.periods import explode_periods, nested_json, period_label, period_sums, range_filter
 from ..session import shared_path
 from ..sources.raw import read_raw_ledger, write_raw_ledger
 from ..sources.snapshot import SnapshotStore
@@ -485,7 +485,8 @@ def _period_spine(spark, sf_dir):
     def counts(df, name):
         rows = range_filter(df, p).select("doc_date").withColumn("_one", one)
         return explode_periods(period_sums(rows, [], "_one", p), p, []).select(
-            "period_idx", "period", F.col("amount").cast("long").alias(name))
+            F.col("period_idx").cast("int").alias("period_idx"), period_label(p, F.col("period_idx")).alias("period"),
+            F.col("amount").cast("long").alias(name))
     return counts(led.income, "income_lines").join(counts(led.expenses, "expense_lines"), ["period_idx", "period"])
 
 

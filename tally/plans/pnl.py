@@ -24,20 +24,19 @@ def revenue_lines(income: DataFrame, params: ReportParams) -> DataFrame:
     """Revenue by customer × period, zero-filled."""
     rows = range_filter(income, params).select("customer", "doc_date", "amount")
     sums = period_sums(rows, ["customer"], "amount", params)
-    return (explode_periods(sums, params, ["customer"])
-            .select(F.lit("revenue").alias("section"), F.col("customer").alias("item"),
-                    F.lit(None).cast("string").alias("subitem"), F.lit("customer").alias("kind"),
-                    "period_idx", "period", "amount"))
+    return sums.select(F.lit("revenue").alias("section"), F.col("customer").alias("item"),
+                       F.lit(None).cast("string").alias("subitem"), F.lit("customer").alias("kind"),
+                       F.posexplode("amounts").alias("period_idx", "amount"))
 
 
 def add_metrics(table: DataFrame) -> DataFrame:
     """P10-P13 on the per-period table (revenue, cogs, operating_expenses),
     exact decimals."""
     gross = F.col("revenue") - F.col("cogs")
-    ebit = F.col("gross_profit") - F.col("operating_expenses")
-    tax = F.greatest(F.lit(0).cast("decimal(3,2)"), F.col("ebit") * F.lit(S.TAX_RATE).cast("decimal(3,2)"))
-    return (table.withColumn("gross_profit", gross).withColumn("ebit", ebit)
-                 .withColumn("income_tax", tax).withColumn("net_earnings", F.col("ebit") - F.col("income_tax")))
+    ebit = gross - F.col("operating_expenses")
+    tax = F.greatest(F.lit(0).cast("decimal(3,2)"), ebit * F.lit(S.TAX_RATE).cast("decimal(3,2)"))
+    return table.select("*", gross.alias("gross_profit"), ebit.alias("ebit"), tax.alias("income_tax"),
+                        (ebit - tax).alias("net_earnings"))
 
 
 def pnl_parts(spark: SparkSession, income: DataFrame, expenses: DataFrame, dim: DataFrame,

@@ -1,6 +1,7 @@
 """Statements as data (T1-T3): ordered rows with their roles and one column
-per period, built from the long report by a pivot with a fixed value list
-(no extra job, fixed column order). Header and blank rows come from a
+per period, built from the long report in one aggregate (a conditional sum
+per period label: fixed column order, no extra job). Category subheaders are
+emitted by the lines themselves; the few section headers come from a
 parameter-sized frame, never from ledger rows.
 """
 
@@ -55,23 +56,36 @@ def _fixed_expr(table: dict, idx: int) -> Column:
 
 def _line_rows(long: DataFrame, fixed: dict, section_no: dict[str, int], item_indent: str,
                sub_indent: str, with_subheaders: bool) -> DataFrame:
-    """Every long row gets (section_no, block, label, role, sort keys)."""
+    """Every long row becomes its statement line (section_no, block, sort
+    keys, label, role); with ``with_subheaders`` each category line also
+    yields its category's subheader row (amount null), so subheaders come
+    out of the same aggregate as the lines instead of a second pass."""
     sec_no = None
     for s, n in section_no.items():
         sec_no = F.when(F.col("section") == s, F.lit(n)) if sec_no is None else sec_no.when(F.col("section") == s, F.lit(n))
     is_item = F.col("kind").isin("customer", "sub", "direct")
+    in_group = F.col("kind").isin("sub", "direct")
     label_item = F.when(F.col("kind") == "customer", F.concat(F.lit(item_indent), F.col("item"))) \
                   .when(F.col("kind") == "sub", F.concat(F.lit(sub_indent), F.col("subitem"))) \
                   .otherwise(F.concat(F.lit(sub_indent), F.lit("Direct")))
-    return long.select(
-        F.when(is_item, sec_no).otherwise(_fixed_expr(fixed, 0)).alias("section_no"),
-        F.when(is_item, F.lit(5)).otherwise(_fixed_expr(fixed, 1)).alias("block"),
-        F.when(is_item & (F.col("kind") != "customer"), F.col("item")).alias("group_key"),
+    section_no_c = F.when(is_item, sec_no).otherwise(_fixed_expr(fixed, 0))
+    block = F.when(is_item, F.lit(5)).otherwise(_fixed_expr(fixed, 1))
+    group_key = F.when(in_group, F.col("item"))
+    line = F.struct(
+        section_no_c.alias("section_no"), block.alias("block"), group_key.alias("group_key"),
         F.when(F.col("kind") == "direct", F.lit(1)).otherwise(F.lit(0)).alias("direct_last"),
+        F.coalesce(F.col("subitem"), F.col("item")).alias("sort_name"),
         F.when(is_item, label_item).otherwise(_fixed_expr(fixed, 2)).alias("item_label"),
         F.when(is_item, F.lit("is_subitem")).otherwise(_fixed_expr(fixed, 3)).alias("role"),
-        F.coalesce(F.col("subitem"), F.col("item")).alias("sort_name"),
-        "period", "amount")
+        F.col("period"), F.col("amount"))
+    entries = [line]
+    if with_subheaders:
+        entries.append(F.when(in_group, F.struct(
+            section_no_c.alias("section_no"), block.alias("block"), group_key.alias("group_key"),
+            F.lit(-1).alias("direct_last"), F.lit("").alias("sort_name"),
+            F.concat(F.lit("  "), F.col("item")).alias("item_label"), F.lit("is_subheader").alias("role"),
+            F.lit(None).cast("string").alias("period"), F.lit(None).cast("double").alias("amount"))))
+    return long.select(F.explode(F.array(*entries)).alias("l")).filter(F.col("l").isNotNull()).select("l.*")
 
 
 def _statement(long: DataFrame, params: ReportParams, fixed, headers, section_no, item_indent, sub_indent,
@@ -80,22 +94,14 @@ def _statement(long: DataFrame, params: ReportParams, fixed, headers, section_no
     lines = lines.filter(F.col("section_no").isNotNull())
     periods = params.period_labels()
     keys = ["section_no", "block", "group_key", "direct_last", "sort_name", "item_label", "role"]
-    wide = lines.groupBy(*keys).pivot("period", periods).agg(F.sum("amount"))
-    # Category subheaders (one per category group with lines), from the aggregated lines.
-    if subheaders:
-        sub = (wide.filter(F.col("group_key").isNotNull())
-                   .select("section_no", "block", "group_key").distinct()
-                   .select("section_no", "block", "group_key", F.lit(-1).alias("direct_last"),
-                           F.lit("").alias("sort_name"), F.concat(F.lit("  "), F.col("group_key")).alias("item_label"),
-                           F.lit("is_subheader").alias("role"),
-                           *[F.lit(None).cast("double").alias(p) for p in periods]))
-        wide = wide.unionByName(sub)
+    # One aggregate: a conditional sum per period label (fixed, ≤ 13 columns).
+    wide = lines.groupBy(*keys).agg(*[
+        F.sum(F.when(F.col("period") == p, F.col("amount"))).alias(p) for p in periods])
     spark = long.sparkSession
     head = spark.createDataFrame(
         [(s, b, None, 0, "", label, "is_header") for s, b, label in headers],
         "section_no int, block int, group_key string, direct_last int, sort_name string, item_label string, role string")
-    for p in periods:
-        head = head.withColumn(p, F.lit(None).cast("double"))
+    head = head.select("*", *[F.lit(None).cast("double").alias(p) for p in periods])
     wide = wide.unionByName(head)
     roles = [(F.col("role") == r).alias(r) for r in ROLE_COLUMNS]
     return wide.select(
