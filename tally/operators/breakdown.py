@@ -31,11 +31,9 @@ def breakdown(expenses: DataFrame, dim: DataFrame, measure: str, sections: dict[
                    .select("type", "category_key", "doc_date", measure)
     sums = period_sums(rows, ["type", "category_key"], measure, params)
     resolved = resolve(sums, dim)
-    section = None
-    for t, name in sections.items():
-        section = F.when(F.col("type") == t, name) if section is None else section.when(F.col("type") == t, name)
-    long = resolved.select(section.alias("section"), "category", "subcategory", "kind",
-                           F.posexplode("amounts").alias("period_idx", "amount"))
+    section = "CASE type " + " ".join(f"WHEN '{t}' THEN '{name}'" for t, name in sections.items()) + " END"
+    long = resolved.selectExpr(f"{section} AS section", "category", "subcategory", "kind",
+                               "posexplode(amounts) AS (period_idx, amount)")
     lines = long.filter(F.col("category").isNotNull()).select(
         "section", F.col("category").alias("item"), F.col("subcategory").alias("subitem"), "kind",
         "period_idx", "amount")
@@ -61,13 +59,12 @@ def period_table(parts: list[DataFrame], zeros: DataFrame, sections: list[str])
     for p in parts:
         u = u.unionByName(p.select("section", "period_idx", "amount"))
     return u.groupBy("period_idx").agg(*[
-        F.sum(F.when(F.col("section") == s, F.col("amount"))).alias(s) for s in sections])
+        F.expr(f"sum(CASE WHEN section = '{s}' THEN amount END)").alias(s) for s in sections])
 
 
 def unpivot(table: DataFrame, columns: list[str], kind: str, cast: str) -> DataFrame:
     """(period_idx, c1, c2, …) → long rows (section, item, subitem, kind, period_idx, amount)."""
-    none = F.lit(None).cast("string")
-    return (table.select("period_idx", F.explode(F.array(*[
-        F.struct(F.lit(c).alias("section"), F.col(c).cast(cast).alias("amount")) for c in columns])).alias("m"))
-        .select("m.section", none.alias("item"), none.alias("subitem"), F.lit(kind).alias("kind"),
-                "period_idx", "m.amount"))
+    entries = ", ".join(f"named_struct('section', '{c}', 'amount', CAST(`{c}` AS {cast}))" for c in columns)
+    return (table.selectExpr("period_idx", f"explode(array({entries})) AS m")
+            .selectExpr("m.section AS section", "CAST(NULL AS STRING) AS item", "CAST(NULL AS STRING) AS subitem",
+                        f"'{kind}' AS kind", "period_idx", "m.amount AS amount"))

@@ -29,7 +29,7 @@ def sales_inflows(income: DataFrame, params: ReportParams) -> DataFrame:
     present (0) even when no income row falls in the range."""
     rows = range_filter(income, params).select("doc_date", "grand_total")
     sums = period_sums(rows, [], "grand_total", params)
-    return sums.select(F.lit("sales_income").alias("section"), F.posexplode("amounts").alias("period_idx", "amount"))
+    return sums.selectExpr("'sales_income' AS section", "posexplode(amounts) AS (period_idx, amount)")
 
 
 def balances(wide: DataFrame, params: ReportParams, opening: Decimal) -> DataFrame:
@@ -51,11 +51,11 @@ def cashflow_parts(spark: SparkSession, income: DataFrame, expenses: DataFrame,
     br = breakdown(expenses, dim, "grand_total", CF_SECTIONS, params)
     sections = ["sales_income", *CF_SECTIONS.values()]
     wide = period_table([sales, br.matched], zero_rows(spark, sections, params), sections)
-    zero = F.lit(0).cast("decimal(12,2)")
-    inflows = F.col("sales_income") + zero + zero
-    outflows = F.col("cogs") + F.col("opex") + F.col("capex")
-    wide = wide.select("*", zero.alias("fundings"), zero.alias("other_income"), inflows.alias("total_inflows"),
-                       outflows.alias("total_outflows"), (inflows - outflows).alias("net_cashflow"))
+    zero = "CAST(0 AS DECIMAL(12,2))"
+    inflows = f"(sales_income + {zero} + {zero})"
+    outflows = "(cogs + opex + capex)"
+    wide = wide.selectExpr("*", f"{zero} AS fundings", f"{zero} AS other_income", f"{inflows} AS total_inflows",
+                           f"{outflows} AS total_outflows", f"{inflows} - {outflows} AS net_cashflow")
     wide = balances(wide, params, opening)
     return {"outflow_lines": br.lines,
             "totals": unpivot(wide, sections, "total", "decimal(38,2)"),

@@ -24,19 +24,18 @@ def revenue_lines(income: DataFrame, params: ReportParams) -> DataFrame:
     """Revenue by customer × period, zero-filled."""
     rows = range_filter(income, params).select("customer", "doc_date", "amount")
     sums = period_sums(rows, ["customer"], "amount", params)
-    return sums.select(F.lit("revenue").alias("section"), F.col("customer").alias("item"),
-                       F.lit(None).cast("string").alias("subitem"), F.lit("customer").alias("kind"),
-                       F.posexplode("amounts").alias("period_idx", "amount"))
+    return sums.selectExpr("'revenue' AS section", "customer AS item", "CAST(NULL AS STRING) AS subitem",
+                           "'customer' AS kind", "posexplode(amounts) AS (period_idx, amount)")
 
 
 def add_metrics(table: DataFrame) -> DataFrame:
     """P10-P13 on the per-period table (revenue, cogs, operating_expenses),
     exact decimals."""
-    gross = F.col("revenue") - F.col("cogs")
-    ebit = gross - F.col("operating_expenses")
-    tax = F.greatest(F.lit(0).cast("decimal(3,2)"), ebit * F.lit(S.TAX_RATE).cast("decimal(3,2)"))
-    return table.select("*", gross.alias("gross_profit"), ebit.alias("ebit"), tax.alias("income_tax"),
-                        (ebit - tax).alias("net_earnings"))
+    gross = "(revenue - cogs)"
+    ebit = f"({gross} - operating_expenses)"
+    tax = f"greatest(CAST(0 AS DECIMAL(3,2)), {ebit} * CAST({S.TAX_RATE} AS DECIMAL(3,2)))"
+    return table.selectExpr("*", f"{gross} AS gross_profit", f"{ebit} AS ebit", f"{tax} AS income_tax",
+                            f"{ebit} - {tax} AS net_earnings")
 
 
 def pnl_parts(spark: SparkSession, income: DataFrame, expenses: DataFrame, dim: DataFrame,
