@@ -46,12 +46,15 @@ CF_HEADERS = [(1, 0, "CASH INFLOWS"), (2, 0, "  Cost of Goods Sold"), (3, 0, "
 CF_SECTION_NO = {"cogs": 2, "opex": 3, "capex": 4}
 
 
-def _fixed_expr(table: dict, idx: int) -> Column:
-    out = None
-    for (section, _, kind), v in table.items():
-        cond = (F.col("section") == section) & (F.col("kind") == kind)
-        out = F.when(cond, F.lit(v[idx])) if out is None else out.when(cond, F.lit(v[idx]))
-    return out
+def _sql_value(v) -> str:
+    return str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
+
+
+def _fixed_sql(table: dict, idx: int) -> str:
+    """CASE over (section, kind) for one field of the fixed lines."""
+    return "CASE " + " ".join(
+        f"WHEN section = '{section}' AND kind = '{kind}' THEN {_sql_value(v[idx])}"
+        for (section, _, kind), v in table.items()) + " END"
 
 
 def _line_rows(long: DataFrame, fixed: dict, section_no: dict[str, int], item_indent: str,
@@ -59,33 +62,31 @@ def _line_rows(long: DataFrame, fixed: dict, section_no: dict[str, int], item_in
     """Every long row becomes its statement line (section_no, block, sort
     keys, label, role); with ``with_subheaders`` each category line also
     yields its category's subheader row (amount null), so subheaders come
-    out of the same aggregate as the lines instead of a second pass."""
-    sec_no = None
-    for s, n in section_no.items():
-        sec_no = F.when(F.col("section") == s, F.lit(n)) if sec_no is None else sec_no.when(F.col("section") == s, F.lit(n))
-    is_item = F.col("kind").isin("customer", "sub", "direct")
-    in_group = F.col("kind").isin("sub", "direct")
-    label_item = F.when(F.col("kind") == "customer", F.concat(F.lit(item_indent), F.col("item"))) \
-                  .when(F.col("kind") == "sub", F.concat(F.lit(sub_indent), F.col("subitem"))) \
-                  .otherwise(F.concat(F.lit(sub_indent), F.lit("Direct")))
-    section_no_c = F.when(is_item, sec_no).otherwise(_fixed_expr(fixed, 0))
-    block = F.when(is_item, F.lit(5)).otherwise(_fixed_expr(fixed, 1))
-    group_key = F.when(in_group, F.col("item"))
-    line = F.struct(
-        section_no_c.alias("section_no"), block.alias("block"), group_key.alias("group_key"),
-        F.when(F.col("kind") == "direct", F.lit(1)).otherwise(F.lit(0)).alias("direct_last"),
-        F.coalesce(F.col("subitem"), F.col("item")).alias("sort_name"),
-        F.when(is_item, label_item).otherwise(_fixed_expr(fixed, 2)).alias("item_label"),
-        F.when(is_item, F.lit("is_subitem")).otherwise(_fixed_expr(fixed, 3)).alias("role"),
-        F.col("period"), F.col("amount"))
+    out of the same aggregate as the lines instead of a second pass.
+    Written as SQL expression text (one JVM parse each)."""
+    sec_no = "CASE " + " ".join(f"WHEN section = '{s}' THEN {n}" for s, n in section_no.items()) + " END"
+    is_item = "kind IN ('customer', 'sub', 'direct')"
+    in_group = "kind IN ('sub', 'direct')"
+    label_item = (f"CASE WHEN kind = 'customer' THEN concat('{item_indent}', item) "
+                  f"WHEN kind = 'sub' THEN concat('{sub_indent}', subitem) ELSE '{sub_indent}Direct' END")
+    section_no_c = f"CASE WHEN {is_item} THEN {sec_no} ELSE {_fixed_sql(fixed, 0)} END"
+    block = f"CASE WHEN {is_item} THEN 5 ELSE {_fixed_sql(fixed, 1)} END"
+    group_key = f"CASE WHEN {in_group} THEN item END"
+    line = (f"named_struct('section_no', {section_no_c}, 'block', {block}, 'group_key', {group_key}, "
+            f"'direct_last', CASE WHEN kind = 'direct' THEN 1 ELSE 0 END, "
+            f"'sort_name', coalesce(subitem, item), "
+            f"'item_label', CASE WHEN {is_item} THEN {label_item} ELSE {_fixed_sql(fixed, 2)} END, "
+            f"'role', CASE WHEN {is_item} THEN 'is_subitem' ELSE {_fixed_sql(fixed, 3)} END, "
+            f"'period', period, 'amount', amount)")
     entries = [line]
     if with_subheaders:
-        entries.append(F.when(in_group, F.struct(
-            section_no_c.alias("section_no"), block.alias("block"), group_key.alias("group_key"),
-            F.lit(-1).alias("direct_last"), F.lit("").alias("sort_name"),
-            F.concat(F.lit("  "), F.col("item")).alias("item_label"), F.lit("is_subheader").alias("role"),
-            F.lit(None).cast("string").alias("period"), F.lit(None).cast("double").alias("amount"))))
-    return long.select(F.explode(F.array(*entries)).alias("l")).filter(F.col("l").isNotNull()).select("l.*")
+        entries.append(
+            f"CASE WHEN {in_group} THEN named_struct('section_no', {section_no_c}, 'block', {block}, "
+            f"'group_key', {group_key}, 'direct_last', -1, 'sort_name', '', "
+            f"'item_label', concat('  ', item), 'role', 'is_subheader', "
+            f"'period', CAST(NULL AS STRING), 'amount', CAST(NULL AS DOUBLE)) END")
+    return (long.selectExpr(f"explode(array({', '.join(entries)})) AS l")
+                .filter("l IS NOT NULL").selectExpr("l.*"))
 
 
 def _statement(long: DataFrame, params: ReportParams, fixed, headers, section_no, item_indent, sub_indent,
@@ -96,7 +97,7 @@ def _statement(long: DataFrame, params: ReportParams, fixed, headers, section_no
     keys = ["section_no", "block", "group_key", "direct_last", "sort_name", "item_label", "role"]
     # One aggregate: a conditional sum per period label (fixed, ≤ 13 columns).
     wide = lines.groupBy(*keys).agg(*[
-        F.sum(F.when(F.col("period") == p, F.col("amount"))).alias(p) for p in periods])
+        F.expr(f"sum(CASE WHEN period = '{p}' THEN amount END)").alias(p) for p in periods])
     spark = long.sparkSession
     head = spark.createDataFrame(
         [(s, b, None, 0, "", label, "is_header") for s, b, label in headers],
