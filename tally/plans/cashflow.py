@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.breakdown import breakdown, period_table, unpivot
-from ..operators.periods import explode_periods, period_sums, range_filter, to_long, zero_rows
+from ..operators.periods import period_sums, range_filter, to_long, zero_rows
 from ..params import ReportParams
 
 CF_SECTIONS = {"COGS": "cogs", "OPEX": "opex", "CAPEX": "capex"}

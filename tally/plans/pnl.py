@@ -9,11 +9,10 @@ aggregated rows; everything after the two aggregates is report-sized.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..operators.breakdown import breakdown, period_table, unpivot
-from ..operators.periods import explode_periods, period_sums, range_filter, to_long, zero_rows
+from ..operators.periods import period_sums, range_filter, to_long, zero_rows
 from ..params import ReportParams
 
 PNL_SECTIONS = {"COGS": "cogs", "OPEX": "operating_expenses"}
