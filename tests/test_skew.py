@@ -36,3 +36,15 @@ def test_hot_customer_is_preaggregated(spark):
     assert "partial_sum" in _plan(lines)
     big = {r["period_idx"]: r["amount"] for r in lines.filter("item = 'BIG'").collect()}
     assert len(big) == 12 and sum(big.values()) == Decimal(1000)
+
+
+def test_losers_of_a_hot_row_id_are_reported(spark):
+    from tally.operators.sync import batch_losers
+    n = 3000
+    batch = spark.range(n).select(F.col("id").alias("_pos"),
+                                  F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(F.col("id").cast("string"))
+                                  .alias("row_id"))
+    losers = batch_losers(batch, dedupe_batch(batch))
+    assert losers.count() == n // 3 - 1
+    assert losers.filter("row_id != 'HOT'").count() == 0
+    assert losers.agg(F.max("_pos")).collect()[0][0] < 2997
