@@ -520,3 +520,16 @@ def _pnl_nested_json(spark, sf_dir):
     """A5: the report in nested form, one JSON document per line:
     ``{period: amount}`` maps built with collect over ≤ 13 periods each."""
     return nested_json(_pnl(YEAR_MONTHLY)(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# More report windows (FIXTURES.md §3): partial months, a year end, no data
+# ---------------------------------------------------------------------------
+
+PARTIAL_MONTHLY = ReportParams.of(PARTIAL[0], PARTIAL[1], "monthly")
+CROSS_YEAR_PNL = ReportParams.of("1996-11-01", "1997-02-28", "monthly", "Europe")
+BEFORE_DATA = ReportParams.of("1990-01-01", "1990-03-31", "monthly")
+
+register("pnl_partial_window", O.pnl_sql(PARTIAL_MONTHLY))(_pnl(PARTIAL_MONTHLY))
+register("pnl_cross_year_location", O.pnl_sql(CROSS_YEAR_PNL))(_pnl(CROSS_YEAR_PNL))
+register("cashflow_before_data", O.cashflow_sql(BEFORE_DATA, "5000"))(_cashflow(BEFORE_DATA, "5000"))
