@@ -28,6 +28,7 @@ from decimal import Decimal
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 
+from tally.operators.categories import with_parent_names  # noqa: E402
 from tally.operators.filters import ledger_list, list_total  # noqa: E402
 from tally.operators.sync import net_position  # noqa: E402
 from tally.params import ReportParams  # noqa: E402
@@ -76,7 +77,7 @@ def main() -> None:
         led = FX.ledgers(spark, sf_dir)
         reports.publish("income", led.income, partition_by_month=True)
         reports.publish("expenses", led.expenses, partition_by_month=True)
-        reports.publish("categories", led.categories)
+        reports.publish("categories", with_parent_names(led.categories))
         lines = FX.expense_batch_lines(spark, sf_dir)
         FX.raw_income_batch(spark, sf_dir).write.parquet(f"{exports}/income")
         FX.raw_expense_batch(spark, sf_dir, lines=lines).write.parquet(f"{exports}/expenses")

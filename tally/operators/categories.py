@@ -42,6 +42,15 @@ def merge_dimension(existing: DataFrame, lines: DataFrame) -> DataFrame:
     return existing.select(*S.column_names(S.CATEGORY_SCHEMA)).unionByName(new)
 
 
+def with_parent_names(dim: DataFrame) -> DataFrame:
+    """The dimension plus each entry's parent name (null for parents and for
+    a child whose parent is missing). Published with the dimension, so
+    readers resolve names with a single join."""
+    parent = dim.select(F.col("category_key").alias("parent_key"), F.col("name").alias("parent_name"))
+    return dim.select(*S.column_names(S.CATEGORY_SCHEMA)).join(parent, "parent_key", "left").select(
+        *S.column_names(S.CATEGORY_SCHEMA), "parent_name")
+
+
 def resolve(df: DataFrame, dim: DataFrame) -> DataFrame:
     """Inner join to the dimension (unmatched keys drop out, as in the
     reports), then the parent's name through a left self join.
@@ -54,9 +63,14 @@ def resolve(df: DataFrame, dim: DataFrame) -> DataFrame:
     Call it on aggregated rows (one per category key), not on ledger lines:
     the join then moves a few rows whatever the ledger size.
     """
-    own = dim.select("category_key", F.col("name").alias("own_name"), "parent_key")
-    parent = dim.select(F.col("category_key").alias("parent_key"), F.col("name").alias("parent_name"))
-    out = df.join(own, "category_key", "inner").join(parent, "parent_key", "left")
+    if "parent_name" in dim.columns:
+        # Published dimension: parent names already resolved, one join.
+        own = dim.select("category_key", F.col("name").alias("own_name"), "parent_key", "parent_name")
+        out = df.join(own, "category_key", "inner")
+    else:
+        own = dim.select("category_key", F.col("name").alias("own_name"), "parent_key")
+        parent = dim.select(F.col("category_key").alias("parent_key"), F.col("name").alias("parent_name"))
+        out = df.join(own, "category_key", "inner").join(parent, "parent_key", "left")
     is_sub = F.col("parent_key").isNotNull()
     return out.select(
         "*", is_sub.alias("is_subcategory"),

@@ -145,10 +145,23 @@ def test_dimension_same_subname_under_two_parents(spark):
 
 
 def test_missing_parent_counts_in_total_only(spark):
+    from tally.operators.categories import with_parent_names
     dim = spark.createDataFrame([("P" + S.CATEGORY_KEY_SEP + "c", "c", "P")], "category_key string, name string, parent_key string")
     agg = spark.createDataFrame([("P" + S.CATEGORY_KEY_SEP + "c",)], "category_key string")
-    r = resolve(agg, dim).collect()[0]
-    assert r["category"] is None and r["is_subcategory"] is True
+    for d in (dim, with_parent_names(dim)):
+        r = resolve(agg, d).collect()[0]
+        assert r["category"] is None and r["is_subcategory"] is True
+
+
+def test_resolve_same_with_published_parent_names(spark):
+    from tally.operators.categories import with_parent_names
+    from tally.sources import fixtures as FX
+    dim = FX.category_dimension(spark, "/root/testdata/sf0.001")
+    keys = dim.select("category_key").union(spark.createDataFrame([("Ghost",)], "category_key string"))
+    cols = ["category_key", "category", "subcategory", "kind", "is_subcategory"]
+    a = resolve(keys, dim).select(*cols)
+    b = resolve(keys, with_parent_names(dim)).select(*cols)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0 and a.count() == dim.count()
 
 
 def test_params_checks():

@@ -146,8 +146,10 @@ def test_reports_on_snapshots_prune_months(spark):
     store = SnapshotStore(spark, tempfile.mkdtemp(prefix="tally-prune-"))
     store.publish("income", led.income, partition_by_month=True)
     store.publish("expenses", led.expenses, partition_by_month=True)
-    store.publish("categories", led.categories)
+    from tally.operators.categories import with_parent_names
+    store.publish("categories", with_parent_names(led.categories))
     inc, exp, dim = store.read_many(["income", "expenses", "categories"])
+    assert "parent_name" in dim.columns
     p = ReportParams.of("1996-01-01", "1996-12-31", "monthly")
     rep = pnl_report(spark, inc, exp, dim, p)
     plan = _plan(rep)
