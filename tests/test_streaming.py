@@ -32,3 +32,27 @@ def test_stream_sync_income(spark):
     second = store.read("income")
     assert second.count() == gated
     assert second.filter(F.col("amount") == 1).count() > 0
+
+
+def test_stream_sync_expenses_creates_categories(spark):
+    from tally.params import ReportParams
+    from tally.plans.pnl import pnl_report
+    root = tempfile.mkdtemp(prefix="tally-stream-exp-")
+    raw = FX.raw_expense_batch(spark, SF)
+    write_raw_ledger(raw.coalesce(1), f"{root}/exports", "csv")
+    store = SnapshotStore(spark, f"{root}/store")
+    q = start_sync_stream(spark, "expenses", f"{root}/exports", store, f"{root}/ckpt", available_now=True,
+                          recurring=FX.TEST_RECURRING)
+    q.awaitTermination(300)
+    exp, dim = store.read_many(["expenses", "categories"])
+    # Every synced expense's category key is in the published dimension ...
+    assert exp.join(dim, "category_key", "left_anti").count() == 0
+    # ... so a report sees every synced line of the range.
+    p = ReportParams.of("1996-01-01", "1996-12-31", "yearly")
+    rep = pnl_report(spark, spark.createDataFrame([], "customer string, doc_date date, amount decimal(12,2), "
+                                                       "grand_total decimal(12,2), location string"), exp, dim, p)
+    total = {r["section"]: r["amount"] for r in rep.filter("kind = 'total'").collect()}
+    in_range = exp.filter("doc_date between '1996-01-01' and '1996-12-31'")
+    want = {t: in_range.filter(f"type = '{t}'").agg(F.sum("amount")).collect()[0][0] for t in ("COGS", "OPEX")}
+    assert abs(total["cogs"] - float(want["COGS"] or 0)) < 0.005
+    assert abs(total["operating_expenses"] - float(want["OPEX"] or 0)) < 0.005
