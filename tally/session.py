@@ -33,18 +33,19 @@ def local_session(cpus: int | str = "*", app: str = "tally") -> SparkSession:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    On a cluster this setting names a shared folder and is used as is. Only
-    when it is unset (local tests) is a scratch folder created and set.
+    On a cluster this setting names a shared folder and is used as is. Where
+    it is unset, a local master (tests, bench) gets a scratch folder; any
+    other master is an error, since a machine-local folder would be lost.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if current:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(current)
-        return current
-    path = tempfile.mkdtemp(prefix="tally-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    context = spark.sparkContext
+    current = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not current:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        current = tempfile.mkdtemp(prefix="tally-ckpt-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(current)
+    return current
 
 
 def shared_path(spark: SparkSession, *parts: str) -> str:
