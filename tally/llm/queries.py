@@ -8,16 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
 from .exact_dedup import exact_groups
+from .packing import pack
 from .simhash import simhash_components
+from .token_counts import token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_token_counts": lambda spark, d: token_counts(_documents(spark, d), _tokenizer("byte_bpe_50k.json")),
     "op8_simhash_near_dedup": lambda spark, d: simhash_components(_documents(spark, d)),
     "op9_exact_dedup": lambda spark, d: exact_groups(_documents(spark, d)),
+    "op10_best_fit_packing": lambda spark, d: pack(_documents(spark, d), _tokenizer("word_bpe_49k.json")),
 }
 
 SQL: dict[str, str] = {
