@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.tables import read_table
 from .exact_dedup import exact_groups
 from .packing import pack
+from .quality import importance_weights
 from .simhash import simhash_components
 from .token_counts import token_counts
 
@@ -24,6 +25,7 @@ def _tokenizer(name: str) -> str:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": lambda spark, d: token_counts(_documents(spark, d), _tokenizer("byte_bpe_50k.json")),
+    "op7_quality_classifier": lambda spark, d: importance_weights(_documents(spark, d), read_table(spark, d, "labels")),
     "op8_simhash_near_dedup": lambda spark, d: simhash_components(_documents(spark, d)),
     "op9_exact_dedup": lambda spark, d: exact_groups(_documents(spark, d)),
     "op10_best_fit_packing": lambda spark, d: pack(_documents(spark, d), _tokenizer("word_bpe_49k.json")),
