@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
 from .exact_dedup import exact_groups
+from .mixing import mix_sources
 from .packing import pack
 from .quality import importance_weights
+from .sharding import shard
 from .simhash import simhash_components
 from .token_counts import token_counts
+from .urls import judge_urls
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +27,9 @@ def _tokenizer(name: str) -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_url_filter": lambda spark, d: judge_urls(read_table(spark, d, "pages")),
+    "op3_mix_sources": lambda spark, d: mix_sources(_documents(spark, d)),
+    "op5_sharding": lambda spark, d: shard(_documents(spark, d)),
     "op6_token_counts": lambda spark, d: token_counts(_documents(spark, d), _tokenizer("byte_bpe_50k.json")),
     "op7_quality_classifier": lambda spark, d: importance_weights(_documents(spark, d), read_table(spark, d, "labels")),
     "op8_simhash_near_dedup": lambda spark, d: simhash_components(_documents(spark, d)),
@@ -32,6 +38,57 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op2_url_filter": """
+WITH u AS (
+  SELECT page_id,
+         translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), r AS (
+  SELECT page_id, host, path,
+         CASE WHEN (host = 'example.org' OR suffix(host, '.example.org')) AND prefix(path, '/es/') THEN 'example.org/es/'
+              WHEN (host = 'example.org' OR suffix(host, '.example.org')) AND prefix(path, '/en/1') THEN 'example.org/en/1'
+              WHEN (host = 'org' OR suffix(host, '.org')) AND prefix(path, '/') THEN 'org/'
+              WHEN (host = 'com' OR suffix(host, '.com')) AND prefix(path, '/fr/') THEN 'com/fr/'
+              WHEN (host = 'com' OR suffix(host, '.com')) AND prefix(path, '/de/') THEN 'com/de/'
+         END AS rule
+  FROM u
+)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('example.org/es/', 'example.org/en/1', 'com/de/') THEN 'block' ELSE 'allow' END AS verdict
+FROM r
+""",
+    "op3_mix_sources": """
+WITH RECURSIVE sizes AS (
+  SELECT source, sum(coalesce(length(text), 0) + 1) AS volume FROM documents GROUP BY source
+), rates AS (
+  SELECT source, CAST(1.0 AS DOUBLE) * 1.0 / (SELECT count(*) FROM sizes) * (SELECT sum(volume) FROM sizes) / volume AS rate
+  FROM sizes
+), parts AS (
+  SELECT source, rate, greatest(1, CAST(ceil(rate / 16.0) AS INTEGER)) AS parts FROM rates
+), cdf AS (
+  SELECT source, 0 AS k, exp(-rate / parts) AS p, exp(-rate / parts) AS c FROM parts
+  UNION ALL
+  SELECT cdf.source, k + 1, p * (rate / parts) / (k + 1), c + p * (rate / parts) / (k + 1)
+  FROM cdf JOIN parts ON parts.source IS NOT DISTINCT FROM cdf.source WHERE k < 96
+), numbers AS (
+  SELECT d.rowid AS row, d.doc_id, d.source, i AS part,
+         CAST('0x' || substr(md5('5:' || coalesce(CAST(d.doc_id AS VARCHAR), '') || ':' || i), 1, 13) AS BIGINT)
+           / 4503599627370496.0 AS u
+  FROM (SELECT row_number() OVER () AS rowid, doc_id, source FROM documents) d
+  JOIN parts ON parts.source IS NOT DISTINCT FROM d.source, generate_series(1, parts.parts) AS g(i)
+), copies AS (
+  SELECT row, doc_id, count(c.k) AS copies
+  FROM numbers n LEFT JOIN cdf c ON c.source IS NOT DISTINCT FROM n.source AND c.c <= n.u
+  GROUP BY row, doc_id
+)
+SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, CAST(g.i AS INTEGER) AS copy, CAST(n.copies AS INTEGER) AS copies, r.rate
+FROM (SELECT row_number() OVER () AS row, * FROM documents) d
+JOIN copies n ON n.row = d.row
+JOIN rates r ON r.source IS NOT DISTINCT FROM d.source, generate_series(0, n.copies - 1) AS g(i)
+WHERE n.copies > 0
+""",
     "op9_exact_dedup": """
 SELECT doc_id,
        max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
