@@ -4,7 +4,7 @@ Fingerprint: texts are lower-cased (A-Z), cut into words at ASCII white
 space and into shingles of ``words`` words; each shingle is hashed with XXH64
 (seed 42) and a bit is 1 if it is set in over half the hashes.
 
-Search: a fingerprint is cut into segments of four bits; its bit counts per
+Search: a fingerprint is cut into segments of three bits; its bit counts per
 segment form a vector. The Manhattan distance of two vectors is a lower
 bound of the bit distance of the fingerprints. On the integer grid, two
 vectors at most ``max_bits`` apart have a common grid point at most half as
@@ -40,7 +40,9 @@ from .common import Staging, components, keep_rows, with_row_ids
 SHINGLE_WORDS = 3
 MAX_BITS = 2
 SEED = 42
-SEGMENTS, SEGMENT_BITS = 16, 4
+SEGMENT_BITS = 3
+SEGMENTS = -(-64 // SEGMENT_BITS)
+BASE = SEGMENT_BITS + 3  # a count, one step beyond either end: digits of a packed vector
 PIECE_BYTES = 1 << 20  # a long text is hashed in pieces, words kept whole
 
 
@@ -104,7 +106,7 @@ def _fingerprints(docs: DataFrame, rid: str, size: int) -> DataFrame:
 
 def _around(radius: int) -> list[int]:
     """Packed steps to all grid points at Manhattan distance <= radius."""
-    unit = [sign << (3 * i) for i in range(SEGMENTS) for sign in (1, -1)]
+    unit = [sign * BASE ** i for i in range(SEGMENTS) for sign in (1, -1)]
     steps = {0}
     for _ in range(radius):
         steps |= {a + b for a, b in itertools.product(steps, unit)}
@@ -122,12 +124,14 @@ def near_edges(prints: DataFrame, max_bits: int) -> DataFrame:
     if max_bits not in (0, 2):
         raise ValueError("max_bits: 0 or 2")
     radius = max_bits // 2
-    counts = " + ".join(f"shiftleft(cast(bit_count(shiftright(fp, {SEGMENT_BITS * i}) & {(1 << SEGMENT_BITS) - 1}) "
-                        f"+ 1 AS BIGINT), {3 * i})" for i in range(SEGMENTS))
+    low = (1 << SEGMENT_BITS) - 1
+    vector = " + ".join(f"(bit_count(shiftrightunsigned(fp, {SEGMENT_BITS * i}) & {low}) + 1) * {BASE ** i}L"
+                        for i in range(SEGMENTS))
     steps = F.array(*[F.lit(s).cast("long") for s in _around(radius)])
-    cells = (prints.select("fp", F.expr(counts).alias("vec")).select("fp", F.explode(steps).alias("step"), "vec")
+    cells = (prints.select("fp", F.expr(vector).alias("vec")).select("fp", F.explode(steps).alias("step"), "vec")
              .select("fp", (F.col("vec") + F.col("step")).alias("cell")))
-    shared = cells.groupBy("cell").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a <> b").select("cell")
+    # The merge join keeps a cell with many fingerprints splittable.
+    shared = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("cell").hint("merge")
     near = cells.join(shared, "cell", "left_semi").select("fp").distinct()
     masks = F.array(*[F.lit(m).cast("long") for m in _masks(radius)])
     meet = near.select("fp", F.explode(masks).alias("mask")).selectExpr("fp", "fp ^ mask AS point")
