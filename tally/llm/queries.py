@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
+from .embedding_dedup import embedding_components
 from .exact_dedup import exact_groups
 from .mixing import mix_sources
 from .packing import pack
@@ -27,6 +28,7 @@ def _tokenizer(name: str) -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_near_dedup": lambda spark, d: embedding_components(read_table(spark, d, "embeddings")),
     "op2_url_filter": lambda spark, d: judge_urls(read_table(spark, d, "pages")),
     "op3_mix_sources": lambda spark, d: mix_sources(_documents(spark, d)),
     "op5_sharding": lambda spark, d: shard(_documents(spark, d)),
