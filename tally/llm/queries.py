@@ -11,6 +11,7 @@ from .embedding_dedup import embedding_components
 from .exact_dedup import exact_groups
 from .mixing import mix_sources
 from .packing import pack
+from .pii import personal_data
 from .quality import importance_weights
 from .sharding import shard
 from .simhash import simhash_components
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": lambda spark, d: embedding_components(read_table(spark, d, "embeddings")),
     "op2_url_filter": lambda spark, d: judge_urls(read_table(spark, d, "pages")),
     "op3_mix_sources": lambda spark, d: mix_sources(_documents(spark, d)),
+    "op4_pii": lambda spark, d: personal_data(_documents(spark, d)),
     "op5_sharding": lambda spark, d: shard(_documents(spark, d)),
     "op6_token_counts": lambda spark, d: token_counts(_documents(spark, d), _tokenizer("byte_bpe_50k.json")),
     "op7_quality_classifier": lambda spark, d: importance_weights(_documents(spark, d), read_table(spark, d, "labels")),
