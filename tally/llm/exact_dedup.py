@@ -115,8 +115,10 @@ def _identities(rows: DataFrame, rid: str, staging: Staging, size: int) -> DataF
 def _decide(rows: DataFrame, rid: str, staging: Staging, size: int) -> DataFrame:
     """rid, doc_id, keep_id, group_size, kept, text_sha256 for each row."""
     named = staging.write(_identities(rows, rid, staging, size), "named")
-    groups = named.groupBy("level", "name").agg(F.count(F.lit(1)).alias("group_size"),
-                                                F.max(F.struct("doc_id", "rid")).alias("best"))
+    # Written first, so that the join below has shuffles of its own and a hot group's is split.
+    groups = staging.write(
+        named.groupBy("level", "name").agg(F.count(F.lit(1)).alias("group_size"),
+                                           F.max(F.struct("doc_id", "rid")).alias("best")), "groups")
     return staging.write(
         named.join(groups, ["level", "name"])
         .select("rid", "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size",
