@@ -1,14 +1,66 @@
-"""Corpus pipeline over ``documents``."""
+"""Corpus pipeline over ``documents``: quality, exact copies, near copies,
+source mix, packing.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
+written as Parquet and read again as the next stage's docs. All but the last
+return the columns of documents; the last returns one row per packed piece.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from tally.llm.common import Staging
 from tally.llm.exact_dedup import drop_exact_copies
+from tally.llm.mixing import mix_sources
+from tally.llm.packing import pack
+from tally.llm.quality import keep_resampled
+from tally.llm.queries import tokenizer
 from tally.llm.simhash import drop_near_copies
+from tally.sources.tables import read_table
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling keeps; those it rejects go."""
+    return keep_resampled(docs, read_table(spark, sf_dir, "labels"))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts (the largest doc_id)."""
+    return drop_exact_copies(docs)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (the smallest doc_id)."""
+    return drop_near_copies(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated so that all sources get the same share of the text."""
+    return mix_sources(docs, keep_extra=False)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences of at most 2048 ids, by sequence and offset."""
+    return pack(docs, tokenizer("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("exact_dedup", exact_dedup),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("source_mix", source_mix),
+    ("best_fit_packing", packing),
+]
 
-STAGES = [("exact_dedup", lambda spark, docs, sf_dir: drop_exact_copies(docs)),
-          ("simhash_near_dedup", lambda spark, docs, sf_dir: drop_near_copies(docs))]
+#: SQL can express neither the fingerprints nor the packing.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole documents table."""
+    staging = Staging(spark, "pipeline")
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staging.write(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

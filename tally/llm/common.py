@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +46,15 @@ class Staging:
                 target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def per_worker(key: tuple, make):
+    """``make()``, once per Python worker process and kept between its tasks."""
+    store = sys.modules.setdefault("tally_worker_store", types.ModuleType("tally_worker_store")).__dict__
+    name = repr(key)
+    if name not in store:
+        store[name] = make()
+    return store[name]
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it (in any case)."""
     taken = {c.lower() for c in df.columns}

@@ -35,14 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .common import PARTITION_BITS, Staging, gapless_rank
+from .common import PARTITION_BITS, Staging, gapless_rank, per_worker
 from .token_counts import groups_of
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 1_000_000
 CACHED_CHARS = 64
 CALL_WORDS = 500
+TAILS = frozenset(".,:;!?")
 GROUP_CHARS = 1 << 21
 RANK_BITS = 44  # of a placement key: length << RANK_BITS | rank
 
@@ -67,25 +68,45 @@ class WordIds:
         self.between, self.cut = special[1].content, np.array([special[0]], "<u4").tobytes()
         self.table: dict[str, bytes] = {"": b""}
 
-    def _learn(self, new: list[str]) -> None:
-        for at in range(0, len(new), CALL_WORDS):
-            call = new[at:at + CALL_WORDS]
+    def _learn(self, new: set[str]) -> None:
+        # A mark after a letter is a pre-token of its own, so ids of a word with one are those of both.
+        marked = [w for w in new if w[-1] in TAILS and w[-2:-1].isalpha()]
+        plain = new.difference(marked)
+        plain.update(w[:-1] for w in marked if w[:-1] not in self.table)
+        plain.update(t for t in TAILS if t not in self.table)
+        ask = list(plain)
+        for at in range(0, len(ask), CALL_WORDS):
+            call = ask[at:at + CALL_WORDS]
             ids = self.words.encode_batch_fast([self.between.join(call)], add_special_tokens=False)[0].ids
             # Ids are below 2**16, so the special id's bytes occur only where that id is.
             self.table.update(zip(call, np.array(ids, "<u4").tobytes().split(self.cut)))
+        for w in marked:
+            self.table[w] = self.table[w[:-1]] + self.table[w[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [unicodedata.is_normalized("NFC", t) and "\u03a3" not in t and "<|" not in t for t in texts]
-        words = [t.lower().replace("\n", " ").split(" ") if p else [] for t, p in zip(texts, plain)]
-        new = list(set().union(*words).difference(self.table))
-        self._learn(new)
-        out = [b"".join(map(self.table.__getitem__, w)) if p else self._whole(t)
-               for t, p, w in zip(texts, plain, words)]
-        for word in new:
-            if len(word) > CACHED_CHARS:
-                del self.table[word]
+        flat: list[str] = []
+        ends = []
+        for text, p in zip(texts, plain):
+            if p:
+                flat += text.lower().replace("\n", " ").split(" ")
+            ends.append(len(flat))
+        ids = list(map(self.table.get, flat))
+        missing = [i for i, v in enumerate(ids) if v is None]
+        new = {flat[i] for i in missing}
+        if new:
+            self._learn(new)
+        for i in missing:
+            ids[i] = self.table[flat[i]]
+        out = [b"".join(ids[a:b]) if p else self._whole(t)
+               for t, p, a, b in zip(texts, plain, [0, *ends], ends)]
         if len(self.table) > CACHE_ENTRIES:
             self.table = {"": b""}
+        else:
+            for word in new:
+                if len(word) > CACHED_CHARS:
+                    self.table.pop(word, None)
+                    self.table.pop(word[:-1], None)
         return out
 
     def _whole(self, text: str) -> bytes:
@@ -102,7 +123,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches):
-        words, key = WordIds(tokenizer_path), TaskContext.get().partitionId() << PARTITION_BITS
+        words = per_worker(("word ids", tokenizer_path), lambda: WordIds(tokenizer_path))
+        key = TaskContext.get().partitionId() << PARTITION_BITS
         for batch in batches:
             rows, piece, start, length, crc = [], [], [], [], []
             row = 0

@@ -23,7 +23,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
     return public_tokenizers.path(name)
 
@@ -34,11 +34,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix_sources": lambda spark, d: mix_sources(_documents(spark, d)),
     "op4_pii": lambda spark, d: personal_data(_documents(spark, d)),
     "op5_sharding": lambda spark, d: shard(_documents(spark, d)),
-    "op6_token_counts": lambda spark, d: token_counts(_documents(spark, d), _tokenizer("byte_bpe_50k.json")),
+    "op6_token_counts": lambda spark, d: token_counts(_documents(spark, d), tokenizer("byte_bpe_50k.json")),
     "op7_quality_classifier": lambda spark, d: importance_weights(_documents(spark, d), read_table(spark, d, "labels")),
     "op8_simhash_near_dedup": lambda spark, d: simhash_components(_documents(spark, d)),
     "op9_exact_dedup": lambda spark, d: exact_groups(_documents(spark, d)),
-    "op10_best_fit_packing": lambda spark, d: pack(_documents(spark, d), _tokenizer("word_bpe_49k.json")),
+    "op10_best_fit_packing": lambda spark, d: pack(_documents(spark, d), tokenizer("word_bpe_49k.json")),
 }
 
 SQL: dict[str, str] = {
