@@ -4,14 +4,15 @@ Two generative models of hashed n-grams are counted: the target's over
 labelled good documents, the raw one over all documents. A document's log
 weight is the sum over its n-grams of log(target / raw), and documents are
 sampled without replacement by Gumbel top-k: the k largest sums of log weight
-and a hash-seeded Gumbel number.
+(over a temperature) and a hash-seeded Gumbel number.
 
 N-grams: words and punctuation runs (one-grams), and pairs of adjacent word
 classes (two-grams); a class is the case or kind of a word, or the punctuation
 run itself, and whether the word repeats the one before it.
 
 The target model and the cut are fitted on at most ``fit_rows`` labelled rows,
-those with the smallest hashes of doc_id; that is the only sample. Raw counts,
+those with the smallest hashes of doc_id (three of four for the model, the
+rest for the cut); that is the only sample. Raw counts,
 weights, k and the selection cover every document. Unless given, k is the
 number of documents whose log weight is above the cut that tells good from bad
 labelled rows best.
@@ -35,12 +36,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import Staging, keep_rows, with_row_ids
+from .common import Staging, keep_rows, per_worker, with_row_ids
 from .token_counts import groups_of
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 12  # for words, and as many for pairs of classes
 FIT_ROWS = 20_000
+PRIOR = 100_000.0  # n-grams of the raw model mixed into the target model
 SEED = 11
+TEMPERATURE = 0.1  # weights count to the power 1 / temperature
 GROUP_CHARS = 1 << 21
 CACHE_ENTRIES = 500_000
 CUT_STEPS = 64  # of the cut's grid, per unit of log(1 + |weight|)
@@ -81,21 +84,21 @@ class Features(dict):
         inner = owner[1:] == owner[:-1]
         kind[1:] += inner & (word[1:] == word[:-1])
         pair = (kind[:-1] * 7919 + kind[1:] + 17) * 2654435761 % 4294967291
-        return (np.concatenate([word % buckets, pair[inner] % buckets]),
+        return (np.concatenate([word % buckets, buckets + pair[inner] % buckets]),
                 np.concatenate([owner, owner[1:][inner]]))
 
 
 def _counts(texts: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Raw and target counts by bucket; ``texts`` has text and good (0/1)."""
     def run(batches):
-        features, totals = Features(), np.zeros((2, buckets), np.int64)
+        features, totals = per_worker(("features",), Features), np.zeros((2, 2 * buckets), np.int64)
         for batch in batches:
             texts, good = [t or "" for t in batch.column(0).to_pylist()], np.array(batch.column(1).to_pylist(), bool)
             at = 0
             for group in groups_of(texts, GROUP_CHARS):
                 grams, owner = features.grams(group, buckets)
-                totals[0] += np.bincount(grams, minlength=buckets)
-                totals[1] += np.bincount(grams[good[at:at + len(group)][owner]], minlength=buckets)
+                totals[0] += np.bincount(grams, minlength=2 * buckets)
+                totals[1] += np.bincount(grams[good[at:at + len(group)][owner]], minlength=2 * buckets)
                 at += len(group)
         seen = np.flatnonzero(totals[0])
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(totals[0][seen]), pa.array(totals[1][seen])],
@@ -103,7 +106,7 @@ def _counts(texts: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
     rows = (texts.mapInArrow(run, "bucket long, raw long, target long")
             .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))).collect()
-    totals = np.zeros((2, buckets), np.int64)  # at most one row per bucket came back
+    totals = np.zeros((2, 2 * buckets), np.int64)  # at most one row per bucket came back
     for r in rows:
         totals[:, r["bucket"]] = r["raw"], r["target"]
     return totals[0], totals[1]
@@ -114,11 +117,11 @@ def _scores(texts: DataFrame, ratio: np.ndarray) -> DataFrame:
     schema = StructType([*texts.schema.fields[1:], StructField("log_weight", DoubleType())])
 
     def run(batches):
-        features, ratio = Features(), table.value
+        features, ratio = per_worker(("features",), Features), table.value
         for batch in batches:
             weights = []
             for group in groups_of([t or "" for t in batch.column(0).to_pylist()], GROUP_CHARS):
-                grams, owner = features.grams(group, len(ratio))
+                grams, owner = features.grams(group, len(ratio) // 2)
                 weights.append(np.bincount(owner, weights=ratio[grams], minlength=len(group)))
             values = np.concatenate(weights) if weights else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(values)], names=schema.names)
@@ -128,11 +131,14 @@ def _scores(texts: DataFrame, ratio: np.ndarray) -> DataFrame:
 def _best_cut(scored: DataFrame) -> float:
     """The cut with the fewest errors on labelled rows; of equal ones the
     middle of the widest span. Rows are counted on a grid first."""
+    scored = scored.filter("good IS NOT NULL AND NOT fits")
     step = F.round(F.signum("log_weight") * F.log1p(F.abs("log_weight")) * CUT_STEPS).cast("int")
-    rows = (scored.filter("good IS NOT NULL").groupBy(step.alias("step"))
+    rows = (scored.groupBy(step.alias("step"))
             .agg(F.sum("good").alias("good"), F.count(F.lit(1)).alias("n")).collect())
     steps = sorted((r["step"], r["good"], r["n"] - r["good"]) for r in rows)
     errors = sum(bad for _, _, bad in steps)
+    if not errors:
+        return -np.inf
     cuts = []  # (errors, span, lower step, upper step) with the cut between two steps
     for (a, good, bad), (b, _, _) in zip(steps, steps[1:]):
         errors += good - bad
@@ -187,17 +193,19 @@ def _judge(rows: DataFrame, rid: str, labels: DataFrame, staging: Staging, k: in
              .agg(F.min(F.col("quality").cast("int")).alias("good"), F.max(F.col("quality").cast("int")).alias("most"))
              .filter("good = most").select("doc_id", "good"))
     # At most fit_rows rows of two numbers, so this side is broadcast.
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    sample = (known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+              .withColumn("fits", F.pmod(F.xxhash64(F.lit("half"), F.col("doc_id")), F.lit(4)) > 0))
     texts = rows.select(F.col("text").cast("string").alias("text"), F.col(rid).alias("rid"), "doc_id")
-    labelled = texts.join(F.broadcast(sample), "doc_id", "left").select("text", "rid", "doc_id", "good")
-    raw, target = _counts(labelled.select("text", F.coalesce(F.col("good"), F.lit(0)).alias("good")), buckets)
-    ratio = (np.log(target + 1.0) - np.log(target.sum() + buckets)) - (np.log(raw + 1.0) - np.log(raw.sum() + buckets))
+    labelled = texts.join(F.broadcast(sample), "doc_id", "left").select("text", "rid", "doc_id", "good", "fits")
+    good = F.coalesce((F.col("good") == 1) & F.col("fits"), F.lit(False))
+    raw, target = _counts(labelled.select("text", good.cast("int").alias("good")), buckets)
+    share = (raw + 1.0) / (raw.sum() + len(raw))
+    ratio = np.log((target + PRIOR * share) / (target.sum() + PRIOR)) - np.log(share)
     uniform = (F.expr(f"shiftrightunsigned(xxhash64({seed}, doc_id), 11)").cast("double") + 0.5) / F.lit(2.0 ** 53)
-    scored = staging.write(_scores(labelled, ratio)
-                           .withColumn("key", F.col("log_weight") - F.log(-F.log(uniform))), "scored")
+    scored = staging.write(_scores(labelled.select("text", "rid", "doc_id", "good", "fits"), ratio)
+                           .withColumn("key", F.col("log_weight") / TEMPERATURE - F.log(-F.log(uniform))), "scored")
     if k is None:
-        both = scored.agg(F.min("good"), F.max("good")).first()
-        cut = _best_cut(scored) if tuple(both) == (0, 1) else -np.inf
+        cut = _best_cut(scored) if target.any() else -np.inf
         k = scored.filter(F.col("log_weight") > F.lit(cut)).count()
     return scored.select("rid", "doc_id", "log_weight", "key", top_k(scored, k, "key", "rid").alias("kept"))
 

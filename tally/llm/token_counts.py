@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
+from .common import per_worker
+
 LIMIT = 512
 CACHE_ENTRIES = 500_000
 CACHED_CHARS = 64     # longer chunks are counted each time
@@ -163,7 +165,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> Da
                          StructField("n_tokens", LongType()), StructField("over_limit", BooleanType())])
 
     def run(batches):
-        merger = Merger(tokenizer_path)
+        merger = per_worker(("merger", tokenizer_path), lambda: Merger(tokenizer_path))
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             counts: list[int] = []
