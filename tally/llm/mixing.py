@@ -41,7 +41,7 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
     if weights is None:
         weighted = sizes.withColumn("weight", F.lit(1.0))
     else:
-        given = docs.sparkSession.createDataFrame(list(weights.items()), "s string, weight double")
+        given = docs.sparkSession.createDataFrame([(s, float(w)) for s, w in weights.items()], "s string, weight double")
         weighted = (sizes.join(given, sizes["source"].cast("string").eqNullSafe(given["s"]), "left")
                     .select("source", "volume", F.coalesce("weight", F.lit(0.0)).alias("weight")))
     total = weighted.agg(F.sum("volume").alias("all_volume"), F.sum("weight").alias("all_weight"))

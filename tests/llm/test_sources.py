@@ -1,0 +1,196 @@
+"""URL filter, source mixing, sharding, personal data and quality."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+
+from tally.llm import urls
+from tally.llm.mixing import mix_sources, source_rates
+from tally.llm.pii import personal_data
+from tally.llm.quality import importance_weights, keep_resampled, top_k
+from tally.llm.sharding import shard
+from tally.llm.urls import judge_urls
+
+
+def test_urls_against_brute_force(spark, monkeypatch):
+    rnd = random.Random(1)
+    hosts = ["org", "example.org", "a.example.org", "badexample.org", "com", "x.com", "net", "", "Example.ORG", "x.org:80",
+             "..org", "comx", "é.com"]
+    paths = ["", "/", "/es/", "/es", "/es/1", "/en/1", "/en/12/x", "/en/", "/fr/9", "/de/", "/de", "//es/", "/FR/"]
+    rows = [(i, rnd.choice(["http://", "://", "", "ftp://a://"]) + rnd.choice(hosts) + rnd.choice(paths)
+             + rnd.choice(["", "?q=/es/", "#/de/"])) for i in range(600)] + [(600, None), (601, ""), (0, "http://org/")]
+    rules = [*urls.RULES, ("", "/en/12", "block"), ("a.example.org", "", "block"), ("org", "/", "block")]
+
+    def want(url, rules):
+        url = url or ""
+        rest = url.partition("://")[2] if "://" in url else ""
+        host = re.match(r"[^/?#]*", rest).group()
+        path = re.match(r"[^?#]*", rest[len(host):]).group()
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        fits = [(len(h.split(".")) if h else 0, len(p), h + p, v) for h, p, v in rules
+                if (not h or host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fits, default=(0, 0, None, "allow"), key=lambda f: (f[0], f[1], f[3]))
+        return host, path, best[2], best[3]
+    df = spark.createDataFrame([(*r, "h", "p") for r in rows], "page_id long, url string, host string, path string")
+    for chosen, bound in ((urls.RULES, 1000), (rules, 1000), (rules, 2)):
+        monkeypatch.setattr(urls, "TRIE_RULES", bound)
+        got = sorted(map(tuple, judge_urls(df, chosen).collect()), key=str)
+        assert got == sorted([(i, *want(u, chosen)) for i, u in rows], key=str)
+    assert judge_urls(df.limit(0)).count() == 0
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(*r, "e", 1.0, 2) for r in rows],
+                                 "doc_id long, text string, source string, copy string, rate double, part int")
+
+
+def test_mixing_shares_and_columns(spark):
+    rnd = random.Random(3)
+    rows = [(i, "x" * rnd.randrange(50), rnd.choice(["a", "a", "a", "b", "c"])) for i in range(6000)]
+    rows += [(7000, None, None), (7000, None, None), (None, "", "b")]
+    df = docs(spark, rows)
+    for weights in (None, {"a": 1, "b": 2, "c": 1}, {"b": 1.0, "none": 3.0}):
+        out = mix_sources(df, weights, keep_extra=False)
+        assert out.columns == df.columns
+        volume, total = Counter(), sum(len(t or "") + 1 for _, t, _ in rows)
+        for r in out.select("text", "source").collect():
+            volume[r.source] += len(r.text or "") + 1
+        share = {s: 1 for s in ("a", "b", "c", None)} if weights is None else {s: w for s, w in weights.items() if s != "none"}
+        for s, w in share.items():
+            if s is not None:
+                assert volume[s] / total == pytest.approx(w / sum(share.values()), rel=0.1)
+        assert set(volume) <= set(share)
+    assert mix_sources(df.limit(0)).count() == 0
+    same = mix_sources(df, {None: 1.0}).collect()
+    assert len({r.doc_id for r in same}) == 1 and len(same) % 2 == 0 and {"copy_", "copies", "rate_"} <= set(same[0].asDict())
+
+
+def test_mixing_is_poisson(spark):
+    df = docs(spark, [(i, "", "big") for i in range(20_000)] + [(-1, "", "one")])
+    for rate in (0.4, 3.0, 40.0):
+        out = mix_sources(df, {"big": 1.0}, growth=rate).groupBy("doc_id").count().collect()
+        n = [r["count"] for r in out] + [0] * (20_000 - len(out))
+        mean = sum(n) / len(n)
+        variance = sum((x - mean) ** 2 for x in n) / len(n)
+        assert mean == pytest.approx(rate, rel=0.05) and variance == pytest.approx(rate, rel=0.1)
+    assert {r.source: round(r.rate, 6) for r in source_rates(df).collect()} == {"big": 0.500025, "one": 10000.5}
+
+
+@pytest.mark.parametrize("shards", [1, 4, 16])
+def test_sharding(spark, shards):
+    rnd = random.Random(4)
+    rows = [(i, rnd.choice([None, "", "a", "é" * i]), "s") for i in range(400)] + [(5, "same", "s")] * 300 + [(None, "n", "s")] * 3
+    got = shard(docs(spark, rows), shards, nodes=8).collect()
+    assert len(got) == len(rows)
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == \
+        Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _ in rows)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+        assert r.law == "rows" and r.grown_shard is None
+    assert set(slots) == set(range(shards)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+
+
+def test_sharding_moves_little_and_empty(spark):
+    df = docs(spark, [(i, "t", "s") for i in range(8000)])
+    before, after = ({r.doc_id: r.shard for r in shard(df, n).collect()} for n in (16, 17))
+    assert sum(before[i] != after[i] for i in before) < 0.2 * len(before)
+    assert shard(df.limit(0)).count() == 0
+
+
+KINDS = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+         ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"),
+         ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
+
+
+def base_spans(text):
+    def holds(kind, match):
+        digits = re.sub("[^0-9]", "", match)
+        if kind == "ip":
+            return all(int(p) <= 255 for p in match.split("."))
+        if kind == "card":
+            total = sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(digits[::-1]))
+            return 12 <= len(digits) <= 19 and total % 10 == 0
+        return kind == "email" or 9 <= len(digits) <= 15
+    return sorted((m.start(), k, m.end()) for k, (kind, p) in enumerate(KINDS) for m in re.finditer(p, text or "")
+                  if holds(kind, m.group()))
+
+
+def spelled(spans):
+    return ",".join(f"{KINDS[k][0]}:{a}:{b}" for a, k, b in spans)
+
+
+def test_base_spans_against_brute_force(spark):
+    rnd = random.Random(3)
+    rows = ["a@b.c_d@e.f x@y..z q@r.s.", "1.2.3.4.5.6.7.8 256.1.1.1 0001.002.3.255", "4111 1111 1111 1111 x4111--1111",
+            "+1 (988) 555-2485, +44 20 7946 0958. +1", "+12345678 ) 9-", "", "@", "é中 a@b.co 文 😀 c@d.ef", None,
+            "a@b.c" + ".d" * 20000, "+1" + " " * 1000 + "2", "a.b@c.d@e.f%a@b.c", "1" * 2000, "word " * 20000 + "z@z.zz"]
+    rows += ["".join(rnd.choice("ab1 .@-+()2_%é") for _ in range(rnd.randrange(50))) for _ in range(1500)]
+    rows = list(enumerate(rows)) + [(None, "a@b.c"), (1, "a@b.c")]
+    got = personal_data(spark.createDataFrame([(*r, "x", 1) for r in rows],
+                                              "doc_id long, text string, spans string, kind int")).collect()
+    want = [(i, *[sum(s[1] == k for s in base_spans(t)) for k in range(4)],
+             hashlib.sha256(spelled(base_spans(t)).encode()).hexdigest()) for i, t in rows]
+    assert sorted([tuple(r)[:-1] for r in got], key=str) == sorted(want, key=str)
+    assert all(hashlib.sha256(r.spans.encode()).hexdigest() == r.base_sha256 for r in got)
+
+
+def test_contexts_discover_unseen_identifiers(spark):
+    rows = [f"contactbox: user{i}@site{i}.org now" for i in range(12)] + ["contactbox: user5@localhost now"]
+    rows += [f"telno: +1 555 010 {1000 + i} thanks" for i in range(9)]
+    rows += ["telno: (555-010-2222), thanks", "the 555-010-2222 of", "telno: later", "the the the"]
+    rows += [f"the a{i}@b.co the" for i in range(5)] + ["the order 12345678 the", "the x@localhost the"] + ["the cat"] * 40
+    got = {r.doc_id: r for r in personal_data(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+           .collect()}
+    added = {i: r.spans for i, r in got.items() if hashlib.sha256(r.spans.encode()).hexdigest() != r.base_sha256}
+    number = rows.index("telno: (555-010-2222), thanks")
+    assert added == {12: "email:12:27", number: "phone:8:20", number + 1: "phone:4:16"} or \
+        added == {12: "email:12:27", number: "phone:7:20"} or added == {12: "email:12:27", number: "phone:8:20"}
+    assert personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_top_k(spark):
+    df = spark.range(1000).selectExpr("id", "cast(id % 7 as double) as key")
+    order = sorted(range(1000), key=lambda i: (-(i % 7), -i))
+    for k in (0, 1, 143, 144, 999, 1000, 2000):
+        assert {r.id for r in df.filter(top_k(df, k, "key", "id")).collect()} == set(order[:k])
+
+
+def labelled(spark, n=400):
+    rnd = random.Random(8)
+    rows, labels = [], []
+    for i in range(n):
+        words = ["".join(rnd.choice("aeioustrnl") for _ in range(rnd.randrange(2, 8))) for _ in range(rnd.randrange(5, 120))]
+        bad = i % 7 == 0
+        rows.append((i, " ".join(w + "!!$" if bad else w for w in words), "s"))
+        labels.append((i, int(not bad)))
+    return rows, labels
+
+
+def test_quality_held_out(spark):
+    rows, labels = labelled(spark)
+    known = spark.createDataFrame([x for x in labels if x[0] % 2] + [(2, 0), (2, 1), (None, 1), (4, None)],
+                                  "doc_id long, quality int")
+    more = [(1000, None, "s"), (1001, "", "s"), (3, rows[3][1], "s"), (1002, "tree " * 30000, "s")]
+    out = importance_weights(docs(spark, rows + more), known).collect()
+    assert len(out) == len(rows) + len(more)
+    truth = dict(labels)
+    assert all(r.kept == bool(truth[r.doc_id]) for r in out if r.doc_id in truth)
+    assert all(r.log_weight == 0 for r in out if r.doc_id in (1000, 1001))
+    kept = keep_resampled(docs(spark, rows + more), known)
+    assert kept.columns == docs(spark, []).columns and kept.count() == sum(r.kept for r in out)
+    assert sum(r.kept for r in importance_weights(docs(spark, rows), known, k=10).collect()) == 10
+
+
+def test_quality_without_labels_or_rows(spark):
+    rows, labels = labelled(spark, 20)
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    good = spark.createDataFrame([(i, 1) for i, _ in labels], "doc_id long, quality int")
+    assert all(r.kept for r in importance_weights(docs(spark, rows), none).collect())
+    assert all(r.kept for r in importance_weights(docs(spark, rows), good).collect())
+    assert importance_weights(docs(spark, []), good).count() == 0
