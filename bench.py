@@ -28,6 +28,8 @@ from decimal import Decimal
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from tally.operators.categories import with_parent_names  # noqa: E402
 from tally.operators.filters import ledger_list, list_total  # noqa: E402
 from tally.operators.sync import net_position  # noqa: E402
@@ -38,7 +40,7 @@ from tally.plans.expense_report import (  # noqa: E402
     expense_category_mix, expense_trend, expense_trend_wide, expense_type_summary)
 from tally.plans.pnl import pnl_report  # noqa: E402
 from tally.plans.statement import pnl_statement_wide  # noqa: E402
-from tally.plans.sync import publish_sync, sync_frames  # noqa: E402
+from tally.plans.sync import publish_batches  # noqa: E402
 from tally.session import local_session  # noqa: E402
 from tally.sources import fixtures as FX  # noqa: E402
 from tally.sources.snapshot import SnapshotStore  # noqa: E402
@@ -64,7 +66,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, "tally-bench")
-    scratch = tempfile.mkdtemp(prefix="tally-bench-")
+    # A folder that all executors share; on one machine a scratch folder will do.
+    scratch = os.environ.get("BENCH_DIR") or tempfile.mkdtemp(prefix="tally-bench-")
 
     warm = timed(lambda: force(REGISTRY["pnl_yearly"].build(spark, "/root/testdata/sf0.001")))
 
@@ -90,13 +93,17 @@ def main() -> None:
 
     # ---- sync from the exports into the prior snapshots -----------------
     def sync():
-        inc_s, exp_s, dim_s = prior.read_many(["income", "expenses", "categories"])
-        frames = sync_frames(spark.read.parquet(f"{exports}/income"), spark.read.parquet(f"{exports}/expenses"),
-                             inc_s.drop("doc_month"), exp_s.drop("doc_month"), dim_s,
-                             FX.SYNC_AS_OF, FX.SYNC_AS_OF_DATE, FX.TEST_RECURRING)
-        publish_sync(prior, frames, FX.SYNC_AS_OF)
+        publish_batches(prior, {"income": spark.read.parquet(f"{exports}/income"),
+                                "expenses": spark.read.parquet(f"{exports}/expenses")},
+                        FX.SYNC_AS_OF, FX.SYNC_AS_OF_DATE, FX.TEST_RECURRING)
     queries["sync"] = timed(sync)
 
+    # The usual case: an export of one month, some amounts changed.
+    def small_sync():
+        month = spark.read.parquet(f"{exports}/income").filter("doc_date LIKE '%/03/1996'")
+        publish_batches(prior, {"income": month.withColumn("amount", F.lit("1.00"))}, FX.SYNC_AS_OF, FX.SYNC_AS_OF_DATE)
+    queries["sync_one_month"] = timed(small_sync)
+
     # ---- reports over the published snapshots ---------------------------
     inc, exp, dim = reports.read_many(["income", "expenses", "categories"])
     runs = {

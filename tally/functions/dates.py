@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import py_strip
+
+_TIME = r"[ T]+[0-9]{1,2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?$"
+
 
 def parse_day_first(c: Column) -> Column:
-    """Day-first date text: ``d/M/yyyy`` first, then ISO ``yyyy-MM-dd``.
-    Anything else (month-first, two-digit years, impossible days) is null.
+    """Day-first date text: trimmed, an optional time dropped, then day, month
+    and four-digit year (or year, month, day) with ``/``, ``-`` or ``.``, or
+    ``d Mon yyyy``. Anything else (month-first, two-digit years, impossible
+    days) is null.
     """
-    return F.coalesce(F.try_to_date(c, "d/M/yyyy"), F.try_to_date(c, "yyyy-MM-dd"))
+    day = F.regexp_replace(py_strip(c), _TIME, "")
+    marks = F.translate(day, "-.", "//")
+    return F.coalesce(F.try_to_date(marks, "d/M/yyyy"), F.try_to_date(marks, "yyyy/M/d"),
+                      F.try_to_date(day, "d MMM yyyy"))
 
 
 def period_start(c: Column) -> Column:

@@ -7,18 +7,30 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 
+_NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
+def _bare(c: Column) -> Column:
+    return F.replace(c, F.lit(","), F.lit(""))
+
+
+def is_number(c: Column) -> Column:
+    """True when the text, without its ``,``, is a number of any size."""
+    return F.coalesce(_bare(c).rlike(_NUMBER), F.lit(False))
+
 
 def parse_money(c: Column) -> Column:
     """Remove every ``,`` and parse; junk or empty text is null.
 
-    Parsed at DECIMAL(18,2) so an oversize number is seen (and rejected by the
-    constraint check) instead of silently becoming null.
+    A number of any width keeps a value that the range check can see: one
+    beyond DECIMAL(38,2) becomes ``MONEY_BEYOND`` (which never fits).
     """
-    return F.replace(c, F.lit(","), F.lit("")).try_cast(S.MONEY_PARSE)
+    parsed = _bare(c).try_cast(S.MONEY_PARSE)
+    return F.when(parsed.isNull() & is_number(c), F.lit(S.MONEY_BEYOND).cast(S.MONEY_PARSE)).otherwise(parsed)
 
 
 def fits_money(c: Column) -> Column:
-    """True when a DECIMAL(18,2) value fits the stored DECIMAL(12,2)."""
+    """True when a parsed value fits the stored DECIMAL(12,2)."""
     return c.isNull() | (F.abs(c) < F.lit(10 ** 10))
 
 

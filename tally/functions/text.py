@@ -8,10 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Characters Python's str.isspace() treats as whitespace (ASCII controls 0x09-0x0D,
-# 0x1C-0x1F, space, NEL, NBSP and the Unicode space separators).
-_WS = "[\\s\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
-
-# The same characters as a literal set, for btrim (no regex).
+# 0x1C-0x1F, space, NEL, NBSP and the Unicode space separators), as a literal
+# set for btrim (no regex).
 _WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200b))
              + "\u2028\u2029\u202f\u205f\u3000")
 

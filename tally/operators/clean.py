@@ -4,7 +4,9 @@ A raw batch has text columns named by the export header plus ``_pos`` (its
 order). Cleaning is one projection: every rule is a built-in column
 expression, so the whole step is a single codegen stage with no shuffle.
 Rows that break a constraint keep their values and get reasons in
-``_reasons``; the publish step refuses a batch with any.
+``_reasons``; the publish step refuses a batch with any. Cells that hold text
+no rule can read (and so take a default) are named in ``_junk``; the publish
+step counts and reports them.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import is_blank, parse_day_first, parse_money, py_strip, py_title, to_money
-from ..functions.money import fits_money
+from ..functions.money import fits_money, is_number
 from .categories import category_key
 
 
@@ -71,7 +73,8 @@ def _money_columns(raw: DataFrame) -> dict[str, Column]:
     zero = F.lit(0).cast(S.MONEY_PARSE)
     amount = F.coalesce(amount_p, zero)
     vat = F.coalesce(vat_p, zero)
-    return {"amount": amount, "vat": vat, "grand_total": F.coalesce(gt_p, amount + vat)}
+    both = F.coalesce(F.try_add(amount, vat), F.lit(S.MONEY_BEYOND)).cast(S.MONEY_PARSE)
+    return {"amount": amount, "vat": vat, "grand_total": F.coalesce(gt_p, both)}
 
 
 def _reasons(checks: list[tuple[Column, str]]) -> Column:
@@ -80,6 +83,13 @@ def _reasons(checks: list[tuple[Column, str]]) -> Column:
     return F.concat_ws(",", *[F.when(cond, F.lit(reason)) for cond, reason in checks])
 
 
+def _junk(raw: DataFrame, dates: tuple[str, ...]) -> Column:
+    """Comma-joined names of the cells that are not blank and cannot be read."""
+    cells = [(F.coalesce(~is_blank(_col(raw, c)), F.lit(False)) & parse_day_first(_col(raw, c)).isNull(), c) for c in dates]
+    cells += [(F.coalesce(~is_blank(_col(raw, c)), F.lit(False)) & ~is_number(_col(raw, c)), c) for c in S.MONEY_FIELDS]
+    return _reasons(cells)
+
+
 def _money_checks(cols: list[str]) -> list[tuple[Column, str]]:
     return [(~fits_money(F.col(f"_{c}")), f"{c}_out_of_range") for c in cols]
 
@@ -97,8 +107,10 @@ def clean_income(raw: DataFrame) -> DataFrame:
         money["amount"].alias("_amount"), money["vat"].alias("_vat"), money["grand_total"].alias("_grand_total"),
         normalize_status(_col(gated, "status")).alias("status"),
         py_title(_col(gated, "location", S.DEFAULT_LOCATION)).alias("location"),
+        _junk(gated, ("doc_date",)).alias("_junk"),
     )
     checks = [
+        (F.col("_pos").isNull(), "pos_missing"),
         (F.col("status").isNull(), "status_unknown"),
         (F.col("location").isNull(), "location_missing"),
         (F.col("customer").isNull(), "customer_missing"),
@@ -109,7 +121,7 @@ def clean_income(raw: DataFrame) -> DataFrame:
     return df.select(
         "_pos", "row_id", "doc_no", "doc_date", "customer", "currency",
         *[F.when(fits_money(F.col(f"_{c}")), to_money(F.col(f"_{c}"))).alias(c) for c in S.MONEY_FIELDS],
-        "status", "location", "_reasons")
+        "status", "location", "_reasons", "_junk")
 
 
 def clean_expenses(raw: DataFrame, as_of_date: str,
@@ -138,8 +150,10 @@ def clean_expenses(raw: DataFrame, as_of_date: str,
         category_key(category, sub).alias("category_key"),
         rec.alias("is_recurring"),
         F.when(rec, F.lit(S.RECURRENCE_PERIOD)).alias("recurrence_period"),
+        _junk(gated, ("doc_date", "overdue_date")).alias("_junk"),
     )
     checks = [
+        (F.col("_pos").isNull(), "pos_missing"),
         (F.col("status").isNull(), "status_unknown"),
         (F.col("type").isNull(), "type_unknown"),
         (F.col("location").isNull(), "location_missing"),
@@ -151,7 +165,12 @@ def clean_expenses(raw: DataFrame, as_of_date: str,
         "_pos", "row_id", "doc_no", "doc_date", "overdue_date", "supplier", "currency",
         *[F.when(fits_money(F.col(f"_{c}")), to_money(F.col(f"_{c}"))).alias(c) for c in S.MONEY_FIELDS],
         "status", "type", "location", "category", "subcategory", "category_key", "is_recurring",
-        "recurrence_period", "_reasons")
+        "recurrence_period", "_reasons", "_junk")
+
+
+def batch_columns(cleaned: DataFrame) -> DataFrame:
+    """Cleaned rows without the columns that only describe the cleaning."""
+    return cleaned.drop("_reasons", "_junk")
 
 
 def rejects(cleaned: DataFrame) -> DataFrame:

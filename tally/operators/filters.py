@@ -31,8 +31,9 @@ def ledger_filter(df: DataFrame, start: str | dt.date | None = None, end: str |
 
 def ledger_list(df: DataFrame, start=None, end=None, location=None) -> DataFrame:
     """L1-L3: filtered rows, newest first (row_id breaks ties). The sort is a
-    range-partitioned distributed sort; nothing is gathered on the driver."""
-    return ledger_filter(df, start, end, location).orderBy(F.col("doc_date").desc(), F.col("row_id"))
+    range-partitioned distributed sort; nothing is gathered on the driver. The
+    month column of snapshots serves the filter and is not part of a list."""
+    return ledger_filter(df, start, end, location).drop("doc_month").orderBy(F.col("doc_date").desc(), F.col("row_id"))
 
 
 def list_total(df: DataFrame, ledger: str, start=None, end=None, location=None) -> DataFrame:

@@ -51,8 +51,8 @@ def check_format(fmt: str) -> None:
 
 
 def location_filter(location: str | None) -> str | None:
-    """Reports treat ``All`` (and absence) as no filter."""
-    return None if location in (None, S.ALL_LOCATIONS) else location
+    """Reports treat ``All`` (and an absent or empty name) as no filter."""
+    return None if not location or location == S.ALL_LOCATIONS else location
 
 
 @dataclass(frozen=True)

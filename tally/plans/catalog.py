@@ -6,6 +6,7 @@ tables with Spark and returns a lazy DataFrame; nothing is collected.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -26,7 +27,7 @@ from .cashflow import CF_SECTIONS, cashflow_parts, cashflow_report
 from .expense_report import expense_category_mix, expense_trend, expense_trend_wide, expense_type_summary
 from .pnl import PNL_SECTIONS, pnl_parts, pnl_report, revenue_lines
 from .statement import as_text, cashflow_statement_wide, pnl_statement_wide
-from .sync import publish_sync, sync_frames
+from .sync import merged_ledger, publish_batches, sync_frames
 from ..operators.pending import pending_defaults, remaining_to_fund
 from ..operators.periods import explode_periods, nested_json, period_label, period_sums, range_filter
 from ..session import shared_path
@@ -34,7 +35,7 @@ from ..sources.raw import read_raw_ledger, write_raw_ledger
 from ..sources.snapshot import SnapshotStore
 from ..functions import parse_day_first, parse_money, py_title
 from ..operators.categories import resolve
-from ..operators.clean import clean_income, gate_row_id, rejects
+from ..operators.clean import batch_columns, clean_income, gate_row_id, rejects
 from ..operators.sync import action_counts, dedupe_batch, net_position
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -248,15 +249,13 @@ def _expense_type_summary(spark, sf_dir):
 # Cleaning (B1-B14), categories (C1-C4) and sync (U1-U6) on the export fixtures
 # ---------------------------------------------------------------------------
 
-def _sync(spark: SparkSession, sf_dir: str, dirty: bool = False, staged: bool = False):
-    """Sync frames over the export fixtures. Lazy views (staged=False) for
-    the queries that only look at them; the publishing query stages the
-    cleaned batches (they are read several times there)."""
+def _sync(spark: SparkSession, sf_dir: str, dirty: bool = False):
+    """Lazy sync frames over the export fixtures."""
     lines = FX.expense_batch_lines(spark, sf_dir)
     return sync_frames(
         FX.raw_income_batch(spark, sf_dir), FX.raw_expense_batch(spark, sf_dir, dirty, lines),
         FX.income_snapshot(spark, sf_dir), FX.expense_snapshot(spark, sf_dir, lines),
-        FX.parent_dimension(spark, sf_dir), FX.SYNC_AS_OF, FX.SYNC_AS_OF_DATE, FX.TEST_RECURRING, staged)
+        FX.parent_dimension(spark, sf_dir), FX.SYNC_AS_OF, FX.SYNC_AS_OF_DATE, FX.TEST_RECURRING)
 
 
 def _sync_sql(select: str, dirty: bool = False) -> str:
@@ -268,7 +267,7 @@ def _dbl(c: str) -> str:
 
 
 @register("clean_money", _sync_sql("SELECT _pos, " + ", ".join(
-    f"CAST(TRY_CAST(replace({c}, ',', '') AS DECIMAL(18,2)) AS DOUBLE) AS {c}" for c in S.MONEY_FIELDS)
+    f"CAST({O._parse_money(c)} AS DOUBLE) AS {c}" for c in S.MONEY_FIELDS)
     + " FROM raw_income"))
 def _clean_money(spark, sf_dir):
     raw = FX.raw_income_batch(spark, sf_dir)
@@ -291,24 +290,24 @@ def _row_id_gate(spark, sf_dir):
 
 @register("doc_no_default", _sync_sql("SELECT _pos, row_id, doc_no FROM inc_clean"))
 def _doc_no_default(spark, sf_dir):
-    return _sync(spark, sf_dir).income_clean.select("_pos", "row_id", "doc_no")
+    return clean_income(FX.raw_income_batch(spark, sf_dir)).select("_pos", "row_id", "doc_no")
 
 
 @register("money_defaults", _sync_sql(f"SELECT _pos, {_dbl('amount')}, {_dbl('vat')} FROM inc_clean"))
 def _money_defaults(spark, sf_dir):
-    c = _sync(spark, sf_dir).income_clean
+    c = clean_income(FX.raw_income_batch(spark, sf_dir))
     return c.select("_pos", F.col("amount").cast("double").alias("amount"), F.col("vat").cast("double").alias("vat"))
 
 
 @register("grand_total_fill", _sync_sql(f"SELECT _pos, {_dbl('grand_total')} FROM inc_clean"))
 def _grand_total_fill(spark, sf_dir):
-    c = _sync(spark, sf_dir).income_clean
+    c = clean_income(FX.raw_income_batch(spark, sf_dir))
     return c.select("_pos", F.col("grand_total").cast("double").alias("grand_total"))
 
 
 @register("status_normalize", _sync_sql("SELECT _pos, status FROM inc_clean"))
 def _status_normalize(spark, sf_dir):
-    return _sync(spark, sf_dir).income_clean.select("_pos", "status")
+    return clean_income(FX.raw_income_batch(spark, sf_dir)).select("_pos", "status")
 
 
 @register("location_title", _sync_sql(f"SELECT _pos, {O.title_sql('location')} AS location FROM raw_expenses"))
@@ -385,7 +384,7 @@ def _category_parent(spark, sf_dir):
 @register("batch_dedupe", _sync_sql("SELECT row_id, _pos, _repeats FROM exp_dedup"))
 def _batch_dedupe(spark, sf_dir):
     f = _sync(spark, sf_dir)
-    return dedupe_batch(f.expense_clean.drop("_reasons")).select("row_id", "_pos", "_repeats")
+    return dedupe_batch(batch_columns(f.expense_clean)).select("row_id", "_pos", "_repeats")
 
 
 @register("sync_actions", _sync_sql(
@@ -399,7 +398,8 @@ def _sync_actions(spark, sf_dir):
 
 @register("sync_income", _sync_sql("SELECT * FROM inc_merged"))
 def _sync_income(spark, sf_dir):
-    return _sync(spark, sf_dir).income
+    return merged_ledger("income", FX.income_snapshot(spark, sf_dir),
+                         clean_income(FX.raw_income_batch(spark, sf_dir)), FX.SYNC_AS_OF)
 
 
 @register("sync_expenses", _sync_sql("SELECT * FROM exp_merged"))
@@ -494,24 +494,35 @@ def _period_spine(spark, sf_dir):
 # Sources and sinks (A1, A4, A5): rows-only checks
 # ---------------------------------------------------------------------------
 
-@register("read_raw_ledger", None)
+def _export_path(spark: SparkSession, name: str) -> str:
+    return shared_path(spark, "tally-exports", f"{name}-{uuid.uuid4().hex}")
+
+
+@register("read_raw_ledger", O.ledger_ctes() + O.raw_ctes() + """
+SELECT _pos, row_id, coalesce(doc_no, '') AS doc_no, doc_date, customer, currency, amount, vat, grand_total, status, location
+FROM raw_income""")
 def _read_raw_ledger(spark, sf_dir):
     """A1: the income export written as CSV to the shared folder and read
-    back as text columns (header row, no inference)."""
-    import uuid
-    path = shared_path(spark, "tally-exports", f"income-{uuid.uuid4().hex}.csv")
+    back as text columns (header row, no inference, blank cells as '')."""
+    path = _export_path(spark, "income")
     write_raw_ledger(FX.raw_income_batch(spark, sf_dir), path, "csv")
     return read_raw_ledger(spark, path, "csv")
 
 
-@register("sync_snapshot", None)
+@register("sync_snapshot", _sync_sql("SELECT * EXCLUDE (action), CAST(date_trunc('month', doc_date) AS DATE) AS doc_month "
+                                     "FROM exp_merged"))
 def _sync_snapshot(spark, sf_dir):
-    """A4: publish the synced ledgers as new snapshot versions (all or
-    nothing) and return the published expense snapshot."""
-    import uuid
+    """A4: publish the prior snapshots, sync the raw batches into them (one
+    manifest row, only touched months rewritten) and return the published
+    expense snapshot."""
     store = SnapshotStore(spark, shared_path(spark, "tally-store", uuid.uuid4().hex))
-    f = _sync(spark, sf_dir, staged=True)
-    publish_sync(store, f, FX.SYNC_AS_OF)
+    lines = FX.expense_batch_lines(spark, sf_dir)
+    store.commit({"income": store.write("income", FX.income_snapshot(spark, sf_dir), by_month=True),
+                  "expenses": store.write("expenses", FX.expense_snapshot(spark, sf_dir, lines), by_month=True),
+                  "categories": store.write("categories", FX.parent_dimension(spark, sf_dir))})
+    publish_batches(store, {"income": FX.raw_income_batch(spark, sf_dir),
+                            "expenses": FX.raw_expense_batch(spark, sf_dir, lines=lines)},
+                    FX.SYNC_AS_OF, FX.SYNC_AS_OF_DATE, FX.TEST_RECURRING)
     return store.read("expenses")
 
 

@@ -318,50 +318,57 @@ def _fmt(x: str) -> str:
     return f"format('{{:,.2f}}', {x})"
 
 
-def _ddmm(x: str) -> str:
-    return f"strftime({x}, '%d/%m/%Y')"
+def _date_text(x: str) -> str:
+    return (f"CASE _key % 6 WHEN 0 THEN strftime({x}, '%d/%m/%Y') WHEN 1 THEN strftime({x}, '%-d-%-m-%Y') "
+            f"WHEN 2 THEN strftime({x}, '%d.%m.%Y') WHEN 3 THEN strftime({x}, '%Y-%m-%d') "
+            f"WHEN 4 THEN strftime({x}, '%d/%m/%Y') || ' 10:05' ELSE ' ' || strftime({x}, '%-d %b %Y') || ' ' END")
+
+
+_ROW_ID_TEXT = ("CASE WHEN _key % 97 = 0 THEN '' WHEN _key % 23 = 0 THEN '  ' || row_id || chr(9) ELSE row_id END")
+_LOCATION_TEXT = "CASE WHEN _key % 31 = 0 THEN lower(r_name) || '-2a o''neil' ELSE r_name END"
 
 
 def raw_ctes(dirty: bool = False) -> str:
     """raw_income, raw_expenses (text), inc_snap, exp_snap (typed priors)."""
     status_e = "CASE WHEN _key % 3 = 0 THEN upper(status) ELSE status END"
     type_e = "type"
-    loc_e = "r_name"
-    amt_e = _fmt("amount")
+    loc_e = _LOCATION_TEXT
+    amt_e = f"CASE WHEN _key % 47 = 0 THEN {_fmt('amount')} || '04' ELSE {_fmt('amount')} END"
+    amt_i, pos_e = amt_e, "_pos"
+    vat_t = f"CASE WHEN _key % 13 = 0 THEN '' WHEN _key % 29 = 0 THEN 'n/a' ELSE {_fmt('vat')} END"
+    gt_t = f"CASE WHEN _key % 17 = 0 THEN '' WHEN _key % 37 = 0 THEN 'see note' ELSE {_fmt('grand_total')} END"
     if dirty:
         status_e = f"CASE WHEN _key % 101 = 0 THEN 'bogus' ELSE {status_e} END"
         type_e = "CASE WHEN _key % 103 = 0 THEN lower(type) ELSE type END"
-        loc_e = "CASE WHEN _key % 107 = 0 THEN NULL ELSE r_name END"
-        amt_e = f"CASE WHEN _key % 109 = 0 THEN '12,345,678,901.00' ELSE {amt_e} END"
+        loc_e = f"CASE WHEN _key % 107 = 0 THEN NULL ELSE {loc_e} END"
+        amt_e = (f"CASE WHEN _key % 109 = 0 THEN '12,345,678,901.00' WHEN _key % 127 = 0 THEN '12345678901234567890.00' "
+                 f"WHEN _key % 131 = 0 THEN repeat('9', 40) ELSE {amt_e} END")
+        pos_e = "CASE WHEN _key % 113 <> 0 THEN _pos END"
     return f""",
 raw_income AS (
   SELECT _key AS _pos,
-         CASE WHEN _key % 97 = 0 THEN '' ELSE row_id END AS row_id,
+         {_ROW_ID_TEXT} AS row_id,
          CASE WHEN _key % 11 = 0 THEN NULL ELSE doc_no END AS doc_no,
-         {_ddmm('doc_date')} AS doc_date, customer, currency,
-         {_fmt('amount')} AS amount,
-         CASE WHEN _key % 13 = 0 THEN '' ELSE {_fmt('vat')} END AS vat,
-         CASE WHEN _key % 17 = 0 THEN '' ELSE {_fmt('grand_total')} END AS grand_total,
+         {_date_text('doc_date')} AS doc_date, customer, currency,
+         {amt_i} AS amount, {vat_t} AS vat, {gt_t} AS grand_total,
          CASE WHEN _key % 3 = 0 THEN lower(status) ELSE status END AS status,
-         r_name AS location
+         {_LOCATION_TEXT} AS location
   FROM income_full
 ),
 expense_pos AS (
-  SELECT *, ROW_NUMBER() OVER (ORDER BY _key, l_linenumber, l_shipdate, l_partkey, l_suppkey,
-                                        l_extendedprice, l_quantity) AS _pos
+  SELECT *, _key * 1000 + ROW_NUMBER() OVER (PARTITION BY _key ORDER BY l_linenumber, l_shipdate, l_partkey,
+                                             l_suppkey, l_extendedprice, l_quantity) AS _pos
   FROM expense_lines
 ),
 raw_expenses AS (
-  SELECT _pos,
-         CASE WHEN _key % 97 = 0 THEN '' ELSE row_id END AS row_id,
+  SELECT {pos_e} AS _pos, {_ROW_ID_TEXT} AS row_id,
          CASE WHEN _key % 11 = 0 THEN NULL ELSE doc_no END AS doc_no,
-         CASE WHEN _key % 19 = 0 THEN '' ELSE {_ddmm('doc_date')} END AS doc_date,
-         {_ddmm('overdue_date')} AS overdue_date, supplier, currency,
-         {amt_e} AS amount,
-         CASE WHEN _key % 13 = 0 THEN '' ELSE {_fmt('vat')} END AS vat,
-         CASE WHEN _key % 17 = 0 THEN '' ELSE {_fmt('grand_total')} END AS grand_total,
-         {status_e} AS status, {type_e} AS type, {loc_e} AS location, category,
-         CASE WHEN p_size % 7 = 0 THEN 'nan' ELSE subcategory END AS subcategory
+         CASE WHEN _key % 19 = 0 THEN '' WHEN _key % 41 = 0 THEN '31/02/1997' ELSE {_date_text('doc_date')} END AS doc_date,
+         {_date_text('overdue_date')} AS overdue_date, supplier, currency,
+         {amt_e} AS amount, {vat_t} AS vat, {gt_t} AS grand_total,
+         {status_e} AS status, {type_e} AS type, {loc_e} AS location,
+         CASE WHEN _key % 43 = 0 THEN '' WHEN _key % 53 = 0 THEN ' ' || category || ' ' ELSE category END AS category,
+         CASE WHEN p_size % 7 = 0 THEN ' NaN ' ELSE subcategory END AS subcategory
   FROM expense_pos
 ),
 inc_snap AS (
@@ -392,11 +399,16 @@ def _blank(x: str) -> str:
 
 
 def _parse_money(x: str) -> str:
-    return f"TRY_CAST(replace({x}, ',', '') AS DECIMAL(18,2))"
+    bare = f"replace({x}, ',', '')"
+    return (f"CASE WHEN TRY_CAST({bare} AS DECIMAL(38,2)) IS NULL "
+            f"AND regexp_full_match({bare}, '[+-]?[0-9]+([.][0-9]*)?') THEN CAST(1e20 AS DECIMAL(38,2)) "
+            f"ELSE TRY_CAST({bare} AS DECIMAL(38,2)) END")
 
 
 def _parse_date(x: str) -> str:
-    return f"CAST(COALESCE(try_strptime({x}, '%d/%m/%Y'), try_strptime({x}, '%Y-%m-%d')) AS DATE)"
+    day = f"regexp_replace(trim({x}), ' [0-9]+:[0-9]+$', '')"
+    forms = ("%d/%m/%Y", "%d-%m-%Y", "%d.%m.%Y", "%Y-%m-%d", "%d %b %Y")
+    return "CAST(COALESCE(" + ", ".join(f"try_strptime({day}, '{f}')" for f in forms) + ") AS DATE)"
 
 
 def _status(x: str) -> str:
@@ -434,7 +446,8 @@ inc_clean AS (
          CASE WHEN {_fits('_vat')} THEN CAST(_vat AS DECIMAL(12,2)) END AS vat,
          CASE WHEN {_fits('_grand_total')} THEN CAST(_grand_total AS DECIMAL(12,2)) END AS grand_total,
          status, location,
-         concat_ws(',', CASE WHEN status IS NULL THEN 'status_unknown' END,
+         concat_ws(',', CASE WHEN _pos IS NULL THEN 'pos_missing' END,
+                   CASE WHEN status IS NULL THEN 'status_unknown' END,
                    CASE WHEN location IS NULL THEN 'location_missing' END,
                    CASE WHEN customer IS NULL THEN 'customer_missing' END,
                    CASE WHEN currency IS NULL THEN 'currency_missing' END,
@@ -468,7 +481,8 @@ exp_clean AS (
          CASE WHEN {_fits('_vat')} THEN CAST(_vat AS DECIMAL(12,2)) END AS vat,
          CASE WHEN {_fits('_grand_total')} THEN CAST(_grand_total AS DECIMAL(12,2)) END AS grand_total,
          status, type, location, category, subcategory, category_key, is_recurring, recurrence_period,
-         concat_ws(',', CASE WHEN status IS NULL THEN 'status_unknown' END,
+         concat_ws(',', CASE WHEN _pos IS NULL THEN 'pos_missing' END,
+                   CASE WHEN status IS NULL THEN 'status_unknown' END,
                    CASE WHEN type IS NULL THEN 'type_unknown' END,
                    CASE WHEN location IS NULL THEN 'location_missing' END,
                    CASE WHEN supplier IS NULL THEN 'supplier_missing' END,
@@ -548,66 +562,97 @@ def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def statement_sql(report_ctes: str, report_body: str, params: ReportParams, fixed: dict, headers: list,
-                  section_no: dict, subheaders: bool, as_text: bool = False) -> str:
-    def fixed_case(i):
-        return "CASE " + " ".join(
-            f"WHEN section = {_q(s)} AND kind = {_q(k)} THEN {v[i] if isinstance(v[i], int) else _q(v[i])}"
-            for (s, _, k), v in fixed.items()) + " END"
-    sec = "CASE " + " ".join(f"WHEN section = {_q(s)} THEN {n}" for s, n in section_no.items()) + " END"
-    is_item = "kind IN ('customer', 'sub', 'direct')"
+# Expected fixed rows: (section, kind, section number, block, label, total, final, subitem, header).
+_PNL_ROWS = """VALUES
+  ('revenue', 'total', 1, 9, 'Total Revenue', true, false, false, false),
+  ('cogs', 'total', 2, 9, 'Total COGS', true, false, false, false),
+  ('gross_profit', 'metric', 3, 0, 'GROSS PROFIT', true, false, false, false),
+  ('operating_expenses', 'total', 4, 9, 'Total OPEX', true, false, false, false),
+  ('ebit', 'metric', 5, 0, 'EBIT', true, false, false, false),
+  ('income_tax', 'metric', 5, 1, 'Income Tax (15%)', false, false, true, false),
+  ('net_earnings', 'metric', 5, 2, 'NET EARNINGS', true, true, false, false)"""
+_CF_ROWS = """VALUES
+  ('opening_balance', 'metric', 0, 0, 'OPENING BALANCE', false, false, false, true),
+  ('sales_income', 'total', 1, 1, '  Sales Income', false, false, true, false),
+  ('fundings', 'metric', 1, 2, '  Fundings', false, false, true, false),
+  ('other_income', 'metric', 1, 3, '  Other Income', false, false, true, false),
+  ('total_inflows', 'metric', 1, 9, 'Total Inflows', true, false, false, false),
+  ('cogs', 'total', 2, 9, '  Total COGS', false, false, true, false),
+  ('opex', 'total', 3, 9, '  Total OPEX', false, false, true, false),
+  ('capex', 'total', 4, 9, '  Total CAPEX', false, false, true, false),
+  ('total_outflows', 'metric', 5, 0, 'Total Outflows', true, false, false, false),
+  ('net_cashflow', 'metric', 6, 0, 'NET CASHFLOW', true, false, false, false),
+  ('closing_balance', 'metric', 6, 1, 'CLOSING BALANCE', true, true, false, false)"""
+# Expected headings: (section number, block, label, header, subheader).
+_PNL_HEADS = """VALUES
+  (1, 0, 'REVENUE', true, false),
+  (2, 0, 'COST OF GOODS SOLD', true, false),
+  (4, 0, 'OPERATING EXPENSES', true, false)"""
+_CF_HEADS = """VALUES
+  (1, 0, 'CASH INFLOWS', true, false),
+  (2, -1, 'CASH OUTFLOWS', true, false),
+  (2, 0, '  Cost of Goods Sold', false, true),
+  (3, 0, '  Operating Expenses', false, true),
+  (4, 0, '  Capital Expenses', false, true)"""
+_PNL_SECTIONS = "VALUES ('revenue', 1), ('cogs', 2), ('operating_expenses', 4)"
+_CF_SECTIONS = "VALUES ('cogs', 2), ('opex', 3), ('capex', 4)"
+
+
+def statement_sql(report_ctes: str, report_body: str, params: ReportParams, rows: str, heads: str,
+                  sections: str, subheaders: bool, as_text: bool = False) -> str:
     periods = params.period_labels()
     piv = ", ".join(f"SUM(CASE WHEN period = {_q(p)} THEN amount END) AS \"{p}\"" for p in periods)
     nulls = ", ".join(f"CAST(NULL AS DOUBLE) AS \"{p}\"" for p in periods)
-    heads = " UNION ALL ".join(
-        f"SELECT {s} AS section_no, {b} AS block, CAST(NULL AS VARCHAR) AS group_key, 0 AS direct_last, "
-        f"'' AS sort_name, {_q(lbl)} AS item, 'is_header' AS role, {nulls}" for s, b, lbl in headers)
-    subs = ""
-    if subheaders:
-        subs = (f" UNION ALL SELECT DISTINCT section_no, block, group_key, -1, '', '  ' || group_key, "
-                f"'is_subheader', {nulls} FROM st_wide WHERE group_key IS NOT NULL")
+    subs = f"""
+  UNION ALL
+  SELECT DISTINCT section_no, block, group_key, -1, '', '  ' || group_key, false, true, false, false, false, {nulls}
+  FROM st_items WHERE group_key IS NOT NULL""" if subheaders else ""
     if as_text:
         vals = ", ".join(f"COALESCE(format('{{:,.2f}}', \"{p}\"), '') AS \"{p}\"" for p in periods)
     else:
         vals = ", ".join(f"\"{p}\"" for p in periods)
-    roles = ", ".join(f"role = '{r}' AS {r}" for r in ("is_header", "is_subheader", "is_subitem", "is_total", "is_final"))
     return report_ctes + f""",
 rep AS ({report_body}),
-st_lines AS (
-  SELECT CASE WHEN {is_item} THEN {sec} ELSE {fixed_case(0)} END AS section_no,
-         CASE WHEN {is_item} THEN 5 ELSE {fixed_case(1)} END AS block,
-         CASE WHEN kind IN ('sub', 'direct') THEN item END AS group_key,
-         CASE WHEN kind = 'direct' THEN 1 ELSE 0 END AS direct_last,
-         CASE WHEN kind = 'customer' THEN '  ' || item WHEN kind = 'sub' THEN '    ' || subitem
-              WHEN kind = 'direct' THEN '    Direct' ELSE {fixed_case(2)} END AS item,
-         CASE WHEN {is_item} THEN 'is_subitem' ELSE {fixed_case(3)} END AS role,
-         COALESCE(subitem, item) AS sort_name, period, amount
-  FROM rep
+st_rows(section, kind, section_no, block, item, is_total, is_final, is_subitem, is_header) AS ({rows}),
+st_heads(section_no, block, item, is_header, is_subheader) AS ({heads}),
+st_sections(section, section_no) AS ({sections}),
+st_fixed AS (
+  SELECT f.section_no, f.block, CAST(NULL AS VARCHAR) AS group_key, 0 AS direct_last,
+         COALESCE(r.subitem, r.item) AS sort_name, f.item, f.is_header, false AS is_subheader, f.is_subitem,
+         f.is_total, f.is_final, {piv}
+  FROM rep r JOIN st_rows f ON r.section = f.section AND r.kind = f.kind
+  GROUP BY ALL
 ),
-st_wide AS (
-  SELECT section_no, block, group_key, direct_last, sort_name, item, role, {piv}
-  FROM st_lines WHERE section_no IS NOT NULL
-  GROUP BY section_no, block, group_key, direct_last, sort_name, item, role
+st_items AS (
+  SELECT s.section_no, 5 AS block, CASE WHEN r.kind <> 'customer' THEN r.item END AS group_key,
+         CASE WHEN r.kind = 'direct' THEN 1 ELSE 0 END AS direct_last, COALESCE(r.subitem, r.item) AS sort_name,
+         CASE r.kind WHEN 'customer' THEN '  ' || r.item WHEN 'sub' THEN '    ' || r.subitem ELSE '    Direct' END AS item,
+         false AS is_header, false AS is_subheader, true AS is_subitem, false AS is_total, false AS is_final, {piv}
+  FROM rep r JOIN st_sections s ON r.section = s.section
+  WHERE r.kind IN ('customer', 'sub', 'direct')
+  GROUP BY ALL
 ),
-st_all AS (SELECT * FROM st_wide{subs} UNION ALL {heads})
+st_all AS (
+  SELECT * FROM st_fixed UNION ALL SELECT * FROM st_items{subs}
+  UNION ALL
+  SELECT section_no, block, NULL, 0, '', item, is_header, is_subheader, false, false, false, {nulls} FROM st_heads
+)
 SELECT CAST(section_no AS INTEGER) AS section_no, CAST(block AS INTEGER) AS block, group_key,
-       CAST(direct_last AS INTEGER) AS direct_last, sort_name, item, {roles}, {vals}
+       CAST(direct_last AS INTEGER) AS direct_last, sort_name, item, is_header, is_subheader, is_subitem, is_total,
+       is_final, {vals}
 FROM st_all"""
 
 
 def pnl_statement_sql(params: ReportParams, as_text: bool = False) -> str:
-    from .statement import PNL_FIXED, PNL_HEADERS, PNL_SECTION_NO
     body = "\nUNION ALL ".join(PNL_PART_SELECTS[p]() for p in ("revenue", "expenses", "totals", "metrics"))
-    return statement_sql(pnl_ctes(params).rstrip().rstrip(","), body, params, PNL_FIXED, PNL_HEADERS,
-                         PNL_SECTION_NO, True, as_text)
+    return statement_sql(pnl_ctes(params).rstrip().rstrip(","), body, params, _PNL_ROWS, _PNL_HEADS,
+                         _PNL_SECTIONS, True, as_text)
 
 
 def cashflow_statement_sql(params: ReportParams, opening: str) -> str:
-    from .statement import CF_FIXED, CF_HEADERS, CF_SECTION_NO
     body = "\nUNION ALL ".join([long_select("exp_lines"), long_select("totals", "'total'", True),
                                 long_select("metrics", "'metric'", True)])
-    return statement_sql(cashflow_ctes(params, opening), body, params, CF_FIXED, CF_HEADERS,
-                         CF_SECTION_NO, False)
+    return statement_sql(cashflow_ctes(params, opening), body, params, _CF_ROWS, _CF_HEADS, _CF_SECTIONS, False)
 
 
 def pending_cte() -> str:

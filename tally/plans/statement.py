@@ -14,8 +14,9 @@ from ..params import ReportParams
 
 ROLE_COLUMNS = ("is_header", "is_subheader", "is_subitem", "is_total", "is_final")
 
-# Statement lines: (order key, label, role) for fixed rows. Order keys leave
-# room for the per-item lines, which sort inside their section.
+# Statement lines: (order key, label, roles) for fixed rows; a row may have
+# several roles. Order keys leave room for the per-item lines, which sort inside
+# their section.
 PNL_FIXED = {
     ("revenue", None, "total"): (1, 9, "Total Revenue", "is_total"),
     ("cogs", None, "total"): (2, 9, "Total COGS", "is_total"),
@@ -23,9 +24,10 @@ PNL_FIXED = {
     ("operating_expenses", None, "total"): (4, 9, "Total OPEX", "is_total"),
     ("ebit", None, "metric"): (5, 0, "EBIT", "is_total"),
     ("income_tax", None, "metric"): (5, 1, "Income Tax (15%)", "is_subitem"),
-    ("net_earnings", None, "metric"): (5, 2, "NET EARNINGS", "is_final"),
+    ("net_earnings", None, "metric"): (5, 2, "NET EARNINGS", "is_total is_final"),
 }
-PNL_HEADERS = [(1, 0, "REVENUE"), (2, 0, "COST OF GOODS SOLD"), (4, 0, "OPERATING EXPENSES")]
+PNL_HEADERS = [(1, 0, "REVENUE", "is_header"), (2, 0, "COST OF GOODS SOLD", "is_header"),
+               (4, 0, "OPERATING EXPENSES", "is_header")]
 PNL_SECTION_NO = {"revenue": 1, "cogs": 2, "operating_expenses": 4}
 
 CF_FIXED = {
@@ -39,10 +41,11 @@ CF_FIXED = {
     ("capex", None, "total"): (4, 9, "  Total CAPEX", "is_subitem"),
     ("total_outflows", None, "metric"): (5, 0, "Total Outflows", "is_total"),
     ("net_cashflow", None, "metric"): (6, 0, "NET CASHFLOW", "is_total"),
-    ("closing_balance", None, "metric"): (6, 1, "CLOSING BALANCE", "is_final"),
+    ("closing_balance", None, "metric"): (6, 1, "CLOSING BALANCE", "is_total is_final"),
 }
-CF_HEADERS = [(1, 0, "CASH INFLOWS"), (2, 0, "  Cost of Goods Sold"), (3, 0, "  Operating Expenses"),
-              (4, 0, "  Capital Expenses")]
+CF_HEADERS = [(1, 0, "CASH INFLOWS", "is_header"), (2, -1, "CASH OUTFLOWS", "is_header"),
+              (2, 0, "  Cost of Goods Sold", "is_subheader"), (3, 0, "  Operating Expenses", "is_subheader"),
+              (4, 0, "  Capital Expenses", "is_subheader")]
 CF_SECTION_NO = {"cogs": 2, "opex": 3, "capex": 4}
 
 
@@ -100,11 +103,11 @@ def _statement(long: DataFrame, params: ReportParams, fixed, headers, section_no
         F.expr(f"sum(CASE WHEN period = '{p}' THEN amount END)").alias(p) for p in periods])
     spark = long.sparkSession
     head = spark.createDataFrame(
-        [(s, b, None, 0, "", label, "is_header") for s, b, label in headers],
+        [(s, b, None, 0, "", label, role) for s, b, label, role in headers],
         "section_no int, block int, group_key string, direct_last int, sort_name string, item_label string, role string")
     head = head.select("*", *[F.lit(None).cast("double").alias(p) for p in periods])
     wide = wide.unionByName(head)
-    roles = [(F.col("role") == r).alias(r) for r in ROLE_COLUMNS]
+    roles = [F.array_contains(F.split("role", " "), r).alias(r) for r in ROLE_COLUMNS]
     return wide.select(
         F.col("section_no").cast("int").alias("section_no"), F.col("block").cast("int").alias("block"),
         F.col("group_key"), F.col("direct_last").cast("int").alias("direct_last"), F.col("sort_name"),

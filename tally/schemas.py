@@ -71,7 +71,8 @@ CATEGORY_KEY_SEP = "\u001f"
 # ---------------------------------------------------------------------------
 
 MONEY = T.DecimalType(12, 2)
-MONEY_PARSE = T.DecimalType(18, 2)
+MONEY_PARSE = T.DecimalType(38, 2)
+MONEY_BEYOND = "1E20"  # stands for a number too wide to parse
 MONEY_WIDE = T.DecimalType(14, 2)
 
 INCOME_SCHEMA = T.StructType([

@@ -71,7 +71,8 @@ def income_source(spark: SparkSession, sf_dir: str) -> DataFrame:
             .join(geo, F.col("c_nationkey") == geo.n_nationkey))
 
 
-def income_ledger(spark: SparkSession, sf_dir: str, with_audit: bool = True) -> DataFrame:
+def income_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every income line, with its key and region text."""
     src = income_source(spark, sf_dir)
     amount = to_money(_dec(F.col("o_totalprice")) * F.lit(INCOME_FACTOR).cast("decimal(3,2)"))
     df = (src.select(
@@ -83,8 +84,14 @@ def income_ledger(spark: SparkSession, sf_dir: str, with_audit: bool = True) ->
         amount.alias("amount"),
         _map(F.col("o_orderstatus"), INCOME_STATUS).alias("status"),
         F.col("r_location").alias("location"),
+        F.col("o_orderkey").alias("_key"), "r_name",
     ).withColumn("vat", to_money(F.col("amount") * F.lit(INCOME_VAT_RATE).cast("decimal(3,2)")))
      .withColumn("grand_total", to_money(F.col("amount") + F.col("vat"))))
+    return df
+
+
+def income_ledger(spark: SparkSession, sf_dir: str, with_audit: bool = True) -> DataFrame:
+    df = income_lines(spark, sf_dir)
     ts = F.lit(SNAPSHOT_CREATED).cast("timestamp_ntz")
     df = (df.withColumn("created_at", ts if with_audit else F.lit(None).cast("timestamp_ntz"))
             .withColumn("updated_at", ts if with_audit else F.lit(None).cast("timestamp_ntz"))
@@ -173,53 +180,62 @@ def parent_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Sync fixtures: raw text batches and prior snapshots
 # ---------------------------------------------------------------------------
 
-def global_row_number(df: DataFrame, order: list[str], name: str = "_pos") -> DataFrame:
-    """Dense 1-based row number in a total order, without a one-task window.
+def _text_money(c: Column) -> Column:
+    return F.format_number(c, 2)
 
-    Range-partitioned by the order (sampled bounds split hot keys), each row
-    tagged with its partition, then staged as a table in the shared
-    checkpoint folder so the partition tags are fixed. Per-partition counts give
-    running offsets (one row per partition, the only broadcast), and a
-    row number inside each partition completes the number.
-    """
-    from .staging import stage_table
-    tagged = stage_table(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "export-order")
-    counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    within = Window.partitionBy("_part").orderBy(*order)
-    return (tagged.join(F.broadcast(offsets), "_part")
-            .withColumn(name, (F.col("_off") + F.row_number().over(within)).cast("long"))
-            .drop("_part", "_off"))
 
+def _text_date(c: Column, k: Column) -> Column:
+    """A date as exports spell it: six day-first and ISO forms by key."""
+    forms = ["dd/MM/yyyy", "d-M-yyyy", "dd.MM.yyyy", "yyyy-MM-dd", "dd/MM/yyyy 10:05", " d MMM yyyy "]
+    out = None
+    for i, form in enumerate(forms):
+        text = F.concat(F.date_format(c, "dd/MM/yyyy"), F.lit(" 10:05")) if "10:05" in form else F.date_format(c, form)
+        out = F.when(k % 6 == i, text) if out is None else out.when(k % 6 == i, text)
+    return out
 
-def _text_money(c: Column) -> Column:
-    return F.format_number(c, 2)
 
+def _text_row_id(c: Column, k: Column) -> Column:
+    """Blank or padded by key."""
+    return F.when(k % 97 == 0, F.lit("")).when(k % 23 == 0, F.concat(F.lit("  "), c, F.lit("\t"))).otherwise(c)
 
-def _text_date(c: Column) -> Column:
-    return F.date_format(c, "dd/MM/yyyy")
+
+def _text_location(k: Column) -> Column:
+    """Mixed case and punctuation by key."""
+    return F.when(k % 31 == 0, F.concat(F.lower("r_name"), F.lit("-2a o'neil"))).otherwise(F.col("r_name"))
+
+
+def _text_amount(k: Column) -> Column:
+    """With a fraction of a cent (below the change tolerance) by key."""
+    text = _text_money(F.col("amount"))
+    return F.when(k % 47 == 0, F.concat(text, F.lit("04"))).otherwise(text)
+
+
+def _text_vat(k: Column) -> Column:
+    return F.when(k % 13 == 0, F.lit("")).when(k % 29 == 0, F.lit("n/a")).otherwise(_text_money(F.col("vat")))
+
+
+def _text_grand_total(k: Column) -> Column:
+    return (F.when(k % 17 == 0, F.lit("")).when(k % 37 == 0, F.lit("see note"))
+            .otherwise(_text_money(F.col("grand_total"))))
 
 
 def raw_income_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Income ledger rendered as export text, with blanks by key arithmetic."""
-    src = income_source(spark, sf_dir)
-    led = income_ledger(spark, sf_dir).withColumn("_key", F.col("row_id").cast("long"))
+    """Income ledger rendered as export text; blanks, padding, date forms and
+    junk cells by key arithmetic."""
+    df = income_lines(spark, sf_dir)
     k = F.col("_key")
-    geo = src.select(F.col("o_orderkey").alias("_key"), F.col("r_name"))
-    df = led.join(geo, "_key")
     return df.select(
         k.alias("_pos"),
-        F.when(k % 97 == 0, F.lit("")).otherwise(F.col("row_id")).alias("row_id"),
+        _text_row_id(F.col("row_id"), k).alias("row_id"),
         F.when(k % 11 == 0, F.lit(None).cast("string")).otherwise(F.col("doc_no")).alias("doc_no"),
-        _text_date(F.col("doc_date")).alias("doc_date"),
+        _text_date(F.col("doc_date"), k).alias("doc_date"),
         F.col("customer"),
         F.col("currency"),
-        _text_money(F.col("amount")).alias("amount"),
-        F.when(k % 13 == 0, F.lit("")).otherwise(_text_money(F.col("vat"))).alias("vat"),
-        F.when(k % 17 == 0, F.lit("")).otherwise(_text_money(F.col("grand_total"))).alias("grand_total"),
+        _text_amount(k).alias("amount"),
+        _text_vat(k).alias("vat"),
+        _text_grand_total(k).alias("grand_total"),
         F.when(k % 3 == 0, F.lower(F.col("status"))).otherwise(F.col("status")).alias("status"),
-        F.col("r_name").alias("location"),
+        _text_location(k).alias("location"),
     )
 
 
@@ -234,50 +250,60 @@ def income_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def expense_batch_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expense lines in export order (``_pos``), the common input of the raw
-    expense batch and the prior expense snapshot."""
+    expense batch and the prior expense snapshot. The position is the order key
+    times 1000 plus the line's number within its order, so no pass over the
+    whole table is needed to number it."""
     src = expense_source(spark, sf_dir)
     cols = _expense_columns(TEST_RECURRING) + [
         F.col("l_orderkey").alias("_key"), F.col("r_name"), F.col("p_size"),
         F.col("l_linenumber"), F.col("l_shipdate"), F.col("l_partkey"), F.col("l_suppkey"),
         F.col("l_extendedprice"), F.col("l_quantity")]
     df = src.select(*cols).withColumn("grand_total", to_money(F.col("amount") + F.col("vat")))
-    return global_row_number(df, ["_key", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey",
-                                  "l_extendedprice", "l_quantity"])
+    order = Window.partitionBy("_key").orderBy("l_linenumber", "l_shipdate", "l_partkey", "l_suppkey",
+                                               "l_extendedprice", "l_quantity")
+    return df.withColumn("_pos", (F.col("_key") * 1000 + F.row_number().over(order)).cast("long"))
 
 
 def raw_expense_batch(spark: SparkSession, sf_dir: str, dirty: bool = False,
                       lines: DataFrame | None = None) -> DataFrame:
     """Expense lines rendered as export text; row_id repeats kept, `_pos` is
-    the export order. Blank doc_date where key % 19 = 0 (takes the as-of
-    date). ``dirty`` adds rows that break constraints (for the reject check):
+    the export order. Blank doc_date where key % 19 = 0 and an impossible one
+    where % 41 = 0 (both take the as-of date); blank category where % 43 = 0.
+    ``dirty`` adds rows that break constraints (for the reject check):
     unknown status (% 101), lower-case type (% 103), missing location (% 107),
-    an amount too large for DECIMAL(12,2) (% 109). ``lines`` reuses
-    already numbered lines (see ``expense_batch_lines``)."""
+    amounts too large for DECIMAL(12,2) (% 109), for 18 (% 127) and for 38
+    digits (% 131), no position (% 113). ``lines`` reuses already numbered
+    lines (see ``expense_batch_lines``)."""
     df = lines if lines is not None else expense_batch_lines(spark, sf_dir)
     k = F.col("_key")
     out = df.select(
         F.col("_pos"),
-        F.when(k % 97 == 0, F.lit("")).otherwise(F.col("row_id")).alias("row_id"),
+        _text_row_id(F.col("row_id"), k).alias("row_id"),
         F.when(k % 11 == 0, F.lit(None).cast("string")).otherwise(F.col("doc_no")).alias("doc_no"),
-        F.when(k % 19 == 0, F.lit("")).otherwise(_text_date(F.col("doc_date"))).alias("doc_date"),
-        _text_date(F.col("overdue_date")).alias("overdue_date"),
+        F.when(k % 19 == 0, F.lit("")).when(k % 41 == 0, F.lit("31/02/1997"))
+         .otherwise(_text_date(F.col("doc_date"), k)).alias("doc_date"),
+        _text_date(F.col("overdue_date"), k).alias("overdue_date"),
         F.col("supplier"),
         F.col("currency"),
-        _text_money(F.col("amount")).alias("amount"),
-        F.when(k % 13 == 0, F.lit("")).otherwise(_text_money(F.col("vat"))).alias("vat"),
-        F.when(k % 17 == 0, F.lit("")).otherwise(_text_money(F.col("grand_total"))).alias("grand_total"),
+        _text_amount(k).alias("amount"),
+        _text_vat(k).alias("vat"),
+        _text_grand_total(k).alias("grand_total"),
         F.when(k % 3 == 0, F.upper(F.col("status"))).otherwise(F.col("status")).alias("status"),
         F.col("type"),
-        F.col("r_name").alias("location"),
-        F.col("category"),
-        F.when(F.col("p_size") % 7 == 0, F.lit("nan")).otherwise(F.col("subcategory")).alias("subcategory"),
+        _text_location(k).alias("location"),
+        F.when(k % 43 == 0, F.lit("")).when(k % 53 == 0, F.concat(F.lit(" "), F.col("category"), F.lit(" ")))
+         .otherwise(F.col("category")).alias("category"),
+        F.when(F.col("p_size") % 7 == 0, F.lit(" NaN ")).otherwise(F.col("subcategory")).alias("subcategory"),
         k.alias("_key"),
     )
     if dirty:
         out = (out.withColumn("status", F.when(k % 101 == 0, F.lit("bogus")).otherwise(F.col("status")))
                   .withColumn("type", F.when(k % 103 == 0, F.lower(F.col("type"))).otherwise(F.col("type")))
                   .withColumn("location", F.when(k % 107 == 0, F.lit(None).cast("string")).otherwise(F.col("location")))
-                  .withColumn("amount", F.when(k % 109 == 0, F.lit("12,345,678,901.00")).otherwise(F.col("amount"))))
+                  .withColumn("amount", F.when(k % 109 == 0, F.lit("12,345,678,901.00"))
+                              .when(k % 127 == 0, F.lit("12345678901234567890.00"))
+                              .when(k % 131 == 0, F.lit("9" * 40)).otherwise(F.col("amount")))
+                  .withColumn("_pos", F.when(k % 113 != 0, F.col("_pos"))))
     return out.drop("_key")
 
 

@@ -3,35 +3,53 @@
 The export must carry its row order in a ``_pos`` column (sheet row
 number); a reader cannot recover order from a distributed file split.
 No schema inference: every cell stays text until the cleaning projection.
+Columns are taken by the header's names, in any order.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .. import schemas as S
 
-def read_raw_ledger(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Read an export as text columns plus ``_pos`` (bigint). Short rows pad
-    with null; an empty export gives an empty frame."""
+RAW_COLUMNS = {"income": S.INCOME_RAW_COLUMNS, "expenses": S.EXPENSE_RAW_COLUMNS}
+
+
+def read_raw_ledger(spark: SparkSession, path: str, fmt: str = "csv", ledger: str = "income",
+                    multi_line: bool = False) -> DataFrame:
+    """Read an export as text columns plus ``_pos`` (bigint).
+
+    CSV: files are split between tasks; ``multi_line`` (line breaks inside
+    quoted cells) makes each file one task. A blank cell is the empty text, as
+    a sheet gives it; the cells that a short row lacks read as blank too, since
+    CSV cannot tell them apart. JSON: one object a line, read with the ledger's
+    columns as schema, so a column that is null throughout stays a column. An
+    empty export gives an empty frame."""
     if fmt == "csv":
         df = (spark.read.option("header", True).option("inferSchema", False)
-              .option("mode", "PERMISSIVE").option("multiLine", True).csv(path))
+              .option("mode", "PERMISSIVE").option("multiLine", multi_line).csv(path))
+        df = df.select([F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns])
     elif fmt == "json":
-        df = spark.read.option("primitivesAsString", True).json(path)
+        schema = T.StructType([T.StructField("_pos", T.StringType())]
+                              + [T.StructField(c, T.StringType()) for c in RAW_COLUMNS[ledger]])
+        df = spark.read.schema(schema).json(path)
     elif fmt == "parquet":
         df = spark.read.parquet(path)
     else:
         raise ValueError(f"unsupported export format {fmt!r}")
-    cols = [F.col(c).cast("string").alias(c) for c in df.columns if c != "_pos"]
-    return df.select(F.col("_pos").cast("long").alias("_pos"), *cols)
+    cols = [F.col(f"`{c}`").cast("string").alias(c) for c in df.columns if c != "_pos"]
+    pos = F.col("_pos").try_cast("long") if "_pos" in df.columns else F.lit(None).cast("long")
+    return df.select(pos.alias("_pos"), *cols)
 
 
 def write_raw_ledger(df: DataFrame, path: str, fmt: str = "csv") -> None:
     """Write a text batch as an export (used by tests and the stream source)."""
     w = df.write.mode("overwrite")
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        (w.option("header", True).option("ignoreLeadingWhiteSpace", False)
+         .option("ignoreTrailingWhiteSpace", False).csv(path))
     elif fmt == "json":
         w.json(path)
     else:

@@ -1,21 +1,27 @@
 """Staged intermediate tables in the shared checkpoint folder.
 
 A staged table is written once as Parquet under ``spark.checkpoint.dir``
-(the cluster's shared folder; set locally only when unset) and read back, so
-later passes read compact columnar files instead of recomputing the
-lineage, and a lost executor re-reads files instead of recomputing it.
+(the cluster's shared folder) and read back, so later passes read compact
+columnar files instead of recomputing the lineage, and a lost executor
+re-reads files. ``drop_path`` removes it when the publish is over.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_path
 
 
-def stage_table(df: DataFrame, label: str) -> DataFrame:
+def stage_table(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """The staged copy and its path."""
     path = shared_path(df.sparkSession, "tally-stage", f"{label}-{uuid.uuid4().hex}")
     df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

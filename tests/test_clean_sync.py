@@ -9,6 +9,28 @@ from tally.operators.categories import build_dimension, merge_dimension, resolve
 from tally.operators.clean import clean_expenses, clean_income, rejects
 from tally.operators.sync import action_counts, dedupe_batch, merge_ledger, net_position
 
+SF = "/root/testdata/sf0.001"
+
+
+def prior_store(spark, root):
+    """A store with the prior snapshots of the sync fixtures."""
+    from tally.sources import fixtures as FX
+    from tally.sources.snapshot import SnapshotStore
+    store = SnapshotStore(spark, root)
+    store.commit({"income": store.write("income", FX.income_snapshot(spark, SF), by_month=True),
+                  "expenses": store.write("expenses", FX.expense_snapshot(spark, SF), by_month=True),
+                  "categories": store.write("categories", FX.parent_dimension(spark, SF))})
+    return store
+
+
+def publish_fixture(spark, store, dirty=False):
+    from tally.plans.sync import publish_batches
+    from tally.sources import fixtures as FX
+    return publish_batches(store, {"income": FX.raw_income_batch(spark, SF),
+                                   "expenses": FX.raw_expense_batch(spark, SF, dirty)},
+                           FX.SYNC_AS_OF, FX.SYNC_AS_OF_DATE, FX.TEST_RECURRING)
+
+
 RAW_INCOME = "_pos long, row_id string, doc_no string, doc_date string, customer string, currency string, " \
              "amount string, vat string, grand_total string, status string, location string"
 
@@ -38,6 +60,32 @@ def test_gate_defaults_and_fallbacks(spark):
     assert r8["status"] == "Pending"
 
 
+def test_no_amount_and_no_row_is_lost(spark):
+    """Blank positions and numbers of any width are rejects, never nulls or zeros."""
+    good = ("D", "01/01/2025", "A", "THB")
+    rows = [(None, "1", *good, "700.00", "0", "700.00", "Paid", "x"),
+            (2, "2", *good, "12345678901234567890.00", "0", None, "Paid", "x"),
+            (3, "3", *good, "1e20", "0", "5", "Paid", "x"),
+            (4, "4", *good, "9" * 50, "-" + "9" * 50, "5", "Paid", "x"),
+            (5, "5", *good, "1e2", "n/a", "", "Paid", "x")]
+    cleaned = clean_income(income_rows(spark, rows))
+    assert {r["row_id"]: r["reasons"] for r in rejects(cleaned).collect()} == {
+        "1": "pos_missing", "2": "amount_out_of_range,grand_total_out_of_range", "3": "amount_out_of_range",
+        "4": "amount_out_of_range,vat_out_of_range"}
+    kept = {r["row_id"]: r for r in dedupe_batch(cleaned).collect()}
+    assert len(kept) == 5 and kept["1"]["amount"] == Decimal("700.00") and str(kept["1"]["doc_date"]) == "2025-01-01"
+    assert kept["5"]["amount"] == Decimal("100.00") and kept["5"]["_junk"] == "vat"
+
+
+def test_dates_day_first(spark):
+    from tally.functions import parse_day_first
+    from pyspark.sql import functions as F
+    want = {"05-12-2025": 1, "5.12.2025": 1, "2025/12/05": 1, "05/12/2025 10:00": 1, " 5 Dec 2025\t": 1, "2025-12-05": 1,
+            "2025-12-05T10:00:01.5": 1, "5/12/2025": 1, "12/31/2025": 0, "5/12/25": 0, "31/02/2025": 0, "junk": 0, "": 0}
+    df = spark.createDataFrame([(t,) for t in want], "t string").withColumn("d", parse_day_first(F.col("t")))
+    assert {r.t: int(str(r.d) == "2025-12-05") for r in df.collect()} == want
+
+
 def test_missing_columns_take_defaults(spark):
     raw = income_rows(spark, [(1, "1", "D", "01/01/2025", "A", "USD", "1", "0", "1", "Paid", "x")])
     raw = raw.drop("customer", "currency", "location")
@@ -183,18 +231,18 @@ def test_publish_counts_match_actions(spark):
     import tempfile
 
     from tally.plans.catalog import _sync
-    from tally.plans.sync import publish_sync
-    from tally.sources import fixtures as FX
-    from tally.sources.snapshot import SnapshotStore
-    f = _sync(spark, "/root/testdata/sf0.001")
+    f = _sync(spark, SF)
     expect = {}
     for ledger, merged in (("income", f.income), ("expenses", f.expenses)):
         for r in action_counts(merged, ledger).collect():
             expect[f"{ledger}_{r['action']}"] = r["count"]
-    store = SnapshotStore(spark, tempfile.mkdtemp(prefix="tally-pub-"))
-    summary = publish_sync(store, f, FX.SYNC_AS_OF)
-    got = {k: v for k, v in summary.items() if k.startswith(("income_", "expenses_")) and v}
+    store = prior_store(spark, tempfile.mkdtemp(prefix="tally-pub-"))
+    summary = publish_fixture(spark, store)
+    got = {k: v for k, v in summary.items() if v and k.rpartition("_")[2] in ("insert", "update", "skip", "retain")}
     assert got == expect
+    assert summary["expenses_losers"] == f.expense_clean.count() - f.expense_clean.select("row_id").distinct().count() > 0
+    assert summary["income_losers"] == 0
+    assert summary["income_junk"] == f.income_clean.filter("_junk <> ''").count() > 0
     assert store.read("expenses").count() == f.expenses.count()
     assert summary["net_position"] == pytest.approx(summary["total_income"] - summary["total_expenses"], abs=0.01)
 
@@ -202,12 +250,8 @@ def test_publish_counts_match_actions(spark):
 def test_observed_totals_equal_published_snapshots(spark):
     import tempfile
 
-    from tally.plans.catalog import _sync
-    from tally.plans.sync import publish_sync
-    from tally.sources import fixtures as FX
-    from tally.sources.snapshot import SnapshotStore
-    store = SnapshotStore(spark, tempfile.mkdtemp(prefix="tally-pub2-"))
-    summary = publish_sync(store, _sync(spark, "/root/testdata/sf0.001", staged=True), FX.SYNC_AS_OF)
+    store = prior_store(spark, tempfile.mkdtemp(prefix="tally-pub2-"))
+    summary = publish_fixture(spark, store)
     r = net_position(*store.read_many(["income", "expenses"])).collect()[0]
     assert (summary["total_income"], summary["total_expenses"], summary["net_position"]) == \
         (r["total_income"], r["total_expenses"], r["net_position"])

@@ -1,4 +1,4 @@
-"""File-triggered sync: two export files arrive; the second updates the first."""
+"""Export-triggered sync: exports of several files arrive; the second updates the first."""
 
 import tempfile
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tally.sources import fixtures as FX
 from tally.sources.raw import write_raw_ledger
 from tally.sources.snapshot import SnapshotStore
-from tally.streaming.sync_stream import start_sync_stream
+from tally.streaming.sync_stream import announce_export, start_sync_stream
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,19 +16,23 @@ def test_stream_sync_income(spark):
     root = tempfile.mkdtemp(prefix="tally-stream-")
     exports = f"{root}/exports"
     raw = FX.raw_income_batch(spark, SF)
-    write_raw_ledger(raw.filter(F.col("_pos") % 2 == 0).coalesce(1), f"{exports}/a", "csv")
+    half = raw.filter(F.col("_pos") % 2 == 0)
+    # Several part files, columns in another order.
+    write_raw_ledger(half.select(*reversed(half.columns)).repartition(3), f"{exports}/a", "csv")
     store = SnapshotStore(spark, f"{root}/store")
-    q = start_sync_stream(spark, "income", f"{exports}/a", store, f"{root}/ckpt", available_now=True)
-    q.awaitTermination(300)
+    announce_export(spark, f"{root}/inbox", f"{exports}/a")
+    start_sync_stream(spark, "income", f"{root}/inbox", store, f"{root}/ckpt", available_now=True).awaitTermination(300)
+    assert store.latest()[0] == 1
     first = store.read("income")
     gated = raw.filter((F.col("_pos") % 2 == 0) & (F.col("row_id") != "")).count()
     assert first.count() == gated
     # Same rows again with one amount changed: only updates and skips, no new rows.
     changed = raw.filter(F.col("_pos") % 2 == 0).withColumn(
         "amount", F.when(F.col("_pos") % 4 == 0, F.lit("1.00")).otherwise(F.col("amount")))
-    write_raw_ledger(changed.coalesce(1), f"{exports}/b", "csv")
-    q2 = start_sync_stream(spark, "income", f"{exports}/b", store, f"{root}/ckpt2", available_now=True)
-    q2.awaitTermination(300)
+    write_raw_ledger(changed.repartition(2), f"{exports}/b", "csv")
+    announce_export(spark, f"{root}/inbox", f"{exports}/b")
+    start_sync_stream(spark, "income", f"{root}/inbox", store, f"{root}/ckpt", available_now=True).awaitTermination(300)
+    assert store.latest()[0] == 2
     second = store.read("income")
     assert second.count() == gated
     assert second.filter(F.col("amount") == 1).count() > 0
@@ -39,9 +43,10 @@ def test_stream_sync_expenses_creates_categories(spark):
     from tally.plans.pnl import pnl_report
     root = tempfile.mkdtemp(prefix="tally-stream-exp-")
     raw = FX.raw_expense_batch(spark, SF)
-    write_raw_ledger(raw.coalesce(1), f"{root}/exports", "csv")
+    write_raw_ledger(raw, f"{root}/exports", "csv")
+    announce_export(spark, f"{root}/inbox", f"{root}/exports")
     store = SnapshotStore(spark, f"{root}/store")
-    q = start_sync_stream(spark, "expenses", f"{root}/exports", store, f"{root}/ckpt", available_now=True,
+    q = start_sync_stream(spark, "expenses", f"{root}/inbox", store, f"{root}/ckpt", available_now=True,
                           recurring=FX.TEST_RECURRING)
     q.awaitTermination(300)
     exp, dim = store.read_many(["expenses", "categories"])
