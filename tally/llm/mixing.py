@@ -44,11 +44,10 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
         given = docs.sparkSession.createDataFrame([(s, float(w)) for s, w in weights.items()], "s string, weight double")
         weighted = (sizes.join(given, sizes["source"].cast("string").eqNullSafe(given["s"]), "left")
                     .select("source", "volume", F.coalesce("weight", F.lit(0.0)).alias("weight")))
-    total = weighted.agg(F.sum("volume").alias("all_volume"), F.sum("weight").alias("all_weight"))
-    # ``total`` is one row.
-    return weighted.join(F.broadcast(total)).select(
-        "source", F.when(F.col("weight") > 0, F.lit(float(growth)) * F.col("weight") / F.col("all_weight")
-                         * F.col("all_volume") / F.col("volume")).otherwise(F.lit(0.0)).alias("rate"))
+    volume, weight = weighted.agg(F.sum("volume"), F.sum("weight")).first()
+    return weighted.select(
+        "source", F.when(F.col("weight") > 0, F.lit(float(growth)) * F.col("weight") / F.lit(weight or 0.0)
+                         * F.lit(volume or 0) / F.col("volume")).otherwise(F.lit(0.0)).alias("rate"))
 
 
 def _with_cdf(rates: DataFrame) -> DataFrame:
