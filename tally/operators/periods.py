@@ -37,10 +37,6 @@ def period_label_sql(params: ReportParams, idx: str = "period_idx") -> str:
     return f"lower(date_format(add_months(DATE '{params.start.replace(day=1).isoformat()}', {idx}), 'MMM-yy'))"
 
 
-def period_index(params: ReportParams, date_col: str = "doc_date") -> Column:
-    return F.expr(period_index_sql(params, date_col))
-
-
 def period_label(params: ReportParams, idx: Column) -> Column:
     if params.fmt == "yearly":
         return F.lit(S.YEARLY_LABEL)
@@ -128,13 +124,3 @@ def to_long(df: DataFrame, params: ReportParams) -> DataFrame:
     """Final long form: labels added, amounts as double at the output edge."""
     return df.selectExpr("section", "item", "subitem", "kind", "CAST(period_idx AS INT) AS period_idx",
                          f"{period_label_sql(params)} AS period", "CAST(amount AS DOUBLE) AS amount")
-
-
-def nested_json(long: DataFrame) -> DataFrame:
-    """A5: one row per report line with its ``{period: amount}`` map as JSON
-    (each map holds at most 13 entries, so the collect is bounded)."""
-    keys = ["section", "item", "subitem", "kind"]
-    entries = F.sort_array(F.collect_list(F.struct("period_idx", "period", "amount")))
-    as_map = F.map_from_entries(F.transform(entries, lambda e: F.struct(e["period"].alias("k"), e["amount"].alias("v"))))
-    return (long.groupBy(*keys).agg(as_map.alias("values"))
-                .select(*keys, F.to_json(F.struct(*keys, "values")).alias("json")))

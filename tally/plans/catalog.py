@@ -23,13 +23,14 @@ from .. import schemas as S
 from ..operators.breakdown import breakdown, section_totals
 from ..operators.filters import EXPENSE_DISPLAY, INCOME_DISPLAY, display, ledger_list, list_total
 from ..operators.periods import to_long, zero_rows
+from .document import CASHFLOW_PATHS, PNL_PATHS, document
 from .cashflow import CF_SECTIONS, cashflow_parts, cashflow_report
 from .expense_report import expense_category_mix, expense_trend, expense_trend_wide, expense_type_summary
 from .pnl import PNL_SECTIONS, pnl_parts, pnl_report, revenue_lines
 from .statement import as_text, cashflow_statement_wide, pnl_statement_wide
 from .sync import merged_ledger, publish_batches, sync_frames
 from ..operators.pending import pending_defaults, remaining_to_fund
-from ..operators.periods import explode_periods, nested_json, period_label, period_sums, range_filter
+from ..operators.periods import explode_periods, period_label, period_sums, range_filter
 from ..session import shared_path
 from ..sources.raw import read_raw_ledger, write_raw_ledger
 from ..sources.snapshot import SnapshotStore
@@ -526,11 +527,23 @@ def _sync_snapshot(spark, sf_dir):
     return store.read("expenses")
 
 
-@register("pnl_nested_json", None)
+_MONTHS_1996 = ('"jan-96","feb-96","mar-96","apr-96","may-96","jun-96","jul-96","aug-96","sep-96","oct-96","nov-96",'
+                '"dec-96"')
+
+
+@register("pnl_nested_json", O.pnl_document_sql(
+    YEAR_MONTHLY, '{"start_date":"1996-01-01","end_date":"1996-12-31","format":"monthly","location":"All","periods":['
+    + _MONTHS_1996 + "]}"))
 def _pnl_nested_json(spark, sf_dir):
-    """A5: the report in nested form, one JSON document per line:
-    ``{period: amount}`` maps built with collect over ≤ 13 periods each."""
-    return nested_json(_pnl(YEAR_MONTHLY)(spark, sf_dir))
+    """A5: the report as a nested document, one member per row."""
+    return document(_pnl(YEAR_MONTHLY)(spark, sf_dir), YEAR_MONTHLY, PNL_PATHS)
+
+
+@register("cashflow_nested_json", O.cashflow_document_sql(
+    CROSS_YEAR, "100000", '{"start_date":"1996-11-01","end_date":"1997-02-28","format":"monthly","location":"All",'
+    '"periods":["nov-96","dec-96","jan-97","feb-97"]}'))
+def _cashflow_nested_json(spark, sf_dir):
+    return document(_cashflow(CROSS_YEAR, "100000")(spark, sf_dir), CROSS_YEAR, CASHFLOW_PATHS)
 
 
 # ---------------------------------------------------------------------------

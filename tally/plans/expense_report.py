@@ -58,13 +58,13 @@ def expense_category_mix(expenses: DataFrame, dim: DataFrame, by: str = "categor
 
 
 def expense_type_summary(expenses: DataFrame, start=None, end=None, location=None) -> DataFrame:
-    """Per type sum and count, plus a TOTAL row (rollup) that counts
-    every row. Amount also rendered as currency text."""
+    """Per type sum and count, plus a TOTAL row over the types, also
+    where there is none. Amount also rendered as currency text."""
     df = ledger_filter(expenses, start, end, location)
-    agg = df.rollup("type").agg(F.sum("grand_total").alias("amount"), F.count("doc_no").alias("count"),
-                                F.grouping("type").alias("g"))
-    label = F.when(F.col("g") == 1, F.lit(TOTAL_LABEL)).otherwise(F.col("type"))
+    types = df.groupBy("type").agg(F.sum("grand_total").alias("amount"), F.count("doc_no").alias("count"))
+    total = types.agg(F.sum("amount").alias("amount"), F.coalesce(F.sum("count"), F.lit(0)).alias("count"))
+    agg = types.unionByName(total.withColumn("type", F.lit(TOTAL_LABEL)))
     amount = F.coalesce(F.col("amount"), F.lit(0).cast(S.MONEY))
-    return agg.select(label.alias("type"), amount.cast("double").alias("total_amount"),
+    return agg.select("type", amount.cast("double").alias("total_amount"),
                       F.concat(F.lit(CURRENCY_SIGN), F.format_number(amount, 2)).alias("total_amount_text"),
                       F.col("count"))

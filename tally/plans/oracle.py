@@ -668,3 +668,67 @@ def pending_cte() -> str:
          p_brand AS location
   FROM part
 )"""
+
+
+# ---------------------------------------------------------------------------
+# Nested documents
+# ---------------------------------------------------------------------------
+
+# Expected places of report lines: (section, kind, path).
+_PNL_PLACES = """VALUES
+  ('revenue', 'customer', 'revenue.revenue_by_customer'),
+  ('revenue', 'total', 'revenue.total_net_revenue'),
+  ('cogs', 'category', 'cogs.expenses_by_category'),
+  ('cogs', 'total', 'cogs.total'),
+  ('gross_profit', 'metric', 'gross_profit'),
+  ('operating_expenses', 'category', 'operating_expenses.expenses_by_category'),
+  ('operating_expenses', 'total', 'operating_expenses.total'),
+  ('ebit', 'metric', 'ebit'),
+  ('income_tax', 'metric', 'income_tax'),
+  ('net_earnings', 'metric', 'net_earnings')"""
+_CF_PLACES = """VALUES
+  ('sales_income', 'total', 'cash_inflows.sales_income'),
+  ('fundings', 'metric', 'cash_inflows.fundings'),
+  ('other_income', 'metric', 'cash_inflows.other_income'),
+  ('total_inflows', 'metric', 'cash_inflows.total_inflows'),
+  ('cogs', 'category', 'cash_outflows.cogs.expenses_by_category'),
+  ('cogs', 'total', 'cash_outflows.cogs.total'),
+  ('opex', 'category', 'cash_outflows.opex.expenses_by_category'),
+  ('opex', 'total', 'cash_outflows.opex.total'),
+  ('capex', 'category', 'cash_outflows.capex.expenses_by_category'),
+  ('capex', 'total', 'cash_outflows.capex.total'),
+  ('total_outflows', 'metric', 'cash_outflows.total_outflows'),
+  ('net_cashflow', 'metric', 'net_cashflow'),
+  ('opening_balance', 'metric', 'opening_balance'),
+  ('closing_balance', 'metric', 'closing_balance')"""
+
+
+def _document_sql(report: str, places: str, info: str) -> str:
+    return f"""
+WITH rep AS ({report}),
+places(section, kind, path) AS ({places}),
+line AS (
+  SELECT section, CASE WHEN kind IN ('sub', 'direct') THEN 'category' ELSE kind END AS part, kind, item, subitem,
+         '{{' || string_agg('"' || period || '":' || CAST(CAST(amount AS DECIMAL(24,2)) AS VARCHAR), ',' ORDER BY period_idx)
+           || '}}' AS vals
+  FROM rep GROUP BY ALL
+)
+SELECT 'report_info' AS path, CAST(NULL AS VARCHAR) AS key, {_q(info)} AS json
+UNION ALL
+SELECT p.path, CASE WHEN l.part = 'customer' THEN l.item END, l.vals
+FROM line l JOIN places p ON l.section = p.section AND l.part = p.kind WHERE l.part <> 'category'
+UNION ALL
+SELECT p.path, l.item,
+       '{{"subcategories":{{' || coalesce(string_agg('"' || subitem || '":' || vals, ',' ORDER BY subitem)
+         FILTER (WHERE l.kind = 'sub'), '') || '}}'
+       || coalesce(',"direct":' || max(vals) FILTER (WHERE l.kind = 'direct'), '') || '}}'
+FROM line l JOIN places p ON l.section = p.section AND l.part = p.kind WHERE l.part = 'category'
+GROUP BY p.path, l.item"""
+
+
+def pnl_document_sql(params: ReportParams, info: str) -> str:
+    return _document_sql(pnl_sql(params), _PNL_PLACES, info)
+
+
+def cashflow_document_sql(params: ReportParams, opening: str, info: str) -> str:
+    return _document_sql(cashflow_sql(params, opening), _CF_PLACES, info)

@@ -224,3 +224,9 @@ def test_reports_on_snapshots_prune_months(spark):
     # Same answer as the report straight from the derived ledgers.
     direct = pnl_report(spark, led.income, led.expenses, led.categories, p)
     assert rep.exceptAll(direct).count() == 0 and direct.exceptAll(rep).count() == 0
+
+
+def test_type_summary_has_a_total_without_rows(spark):
+    from tally.plans.expense_report import expense_type_summary
+    got = expense_type_summary(spark.createDataFrame([], S.EXPENSE_SCHEMA)).collect()
+    assert [(r["type"], r["total_amount"], r["count"]) for r in got] == [("TOTAL", 0.0, 0)]
