@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from .common import PARTITION_BITS, Staging, gapless_rank, per_worker
-from .token_counts import groups_of
+from .token_counts import LONG_CHARS, groups_of, parts_of
 
 CAPACITY = 2048
 END_ID = 0
@@ -87,8 +87,13 @@ class WordIds:
         plain = [unicodedata.is_normalized("NFC", t) and "\u03a3" not in t and "<|" not in t for t in texts]
         flat: list[str] = []
         ends = []
-        for text, p in zip(texts, plain):
-            if p:
+        whole: dict[int, bytes] = {}
+        for i, (text, p) in enumerate(zip(texts, plain)):
+            if not p:
+                whole[i] = self._whole(text)
+            elif len(text) > LONG_CHARS and len(parts := list(parts_of(text, LONG_CHARS))) > 1:
+                whole[i] = b"".join(self.encode([part])[0] for part in parts)
+            else:
                 flat += text.lower().replace("\n", " ").split(" ")
             ends.append(len(flat))
         ids = list(map(self.table.get, flat))
@@ -98,8 +103,7 @@ class WordIds:
             self._learn(new)
         for i in missing:
             ids[i] = self.table[flat[i]]
-        out = [b"".join(ids[a:b]) if p else self._whole(t)
-               for t, p, a, b in zip(texts, plain, [0, *ends], ends)]
+        out = [whole[i] if i in whole else b"".join(ids[a:b]) for i, (a, b) in enumerate(zip([0, *ends], ends))]
         if len(self.table) > CACHE_ENTRIES:
             self.table = {"": b""}
         else:

@@ -33,6 +33,7 @@ LIMIT = 512
 CACHE_ENTRIES = 500_000
 CACHED_CHARS = 64     # longer chunks are counted each time
 GROUP_CHARS = 1 << 21  # text whose chunks are in memory at once
+LONG_CHARS = 1 << 22   # a longer text is handled in parts
 NONE = np.int64(1 << 40)
 
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -128,6 +129,9 @@ class Merger:
         counts = [0] * len(texts)
         cut = []
         for i, text in enumerate(texts):
+            if len(text) > LONG_CHARS and len(parts := list(parts_of(text, LONG_CHARS))) > 1:
+                counts[i] = sum(self.count([p])[0] for p in parts)
+                continue
             if self.special is not None:
                 pieces = self.special.split(text)
                 counts[i] += len(pieces) - 1
@@ -146,6 +150,19 @@ class Merger:
         return counts
 
 
+def parts_of(text: str, most: int):
+    """``text`` in parts of about ``most`` characters, cut before a space that
+    follows a letter or digit (no word, pre-token or special string is cut)."""
+    start, at = 0, most
+    while (at := text.find(" ", at)) > 0:
+        if text[at - 1].isalnum():
+            yield text[start:at]
+            start, at = at, at + most
+        else:
+            at += 1
+    yield text[start:]
+
+
 def groups_of(texts: list[str], most: int):
     """Slices of ``texts`` of about ``most`` characters."""
     start = held = 0

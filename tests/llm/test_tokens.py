@@ -40,6 +40,18 @@ def test_token_counts(spark):
     assert token_counts(frame(spark, []), BYTES).count() == 0
 
 
+def test_long_texts_in_parts(monkeypatch):
+    from tally.llm import packing, token_counts
+    monkeypatch.setattr(token_counts, "LONG_CHARS", 40)
+    monkeypatch.setattr(packing, "LONG_CHARS", 40)
+    rows = [t for t in texts() if t] + [" ".join(t for t in texts() if t)]
+    for text in rows:
+        assert "".join(token_counts.parts_of(text, 40)) == text
+    assert Merger(BYTES).count(rows) == [len(e.ids) for e in Tokenizer.from_file(BYTES).encode_batch(rows, add_special_tokens=False)]
+    assert packing.WordIds(WORDS).encode(rows) == [
+        np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(WORDS).encode_batch(rows, add_special_tokens=False)]
+
+
 def test_merge_order_of_equal_neighbours():
     library, merger = Tokenizer.from_file(BYTES), Merger(BYTES)
     words = ["a" * n for n in range(1, 40)] + ["ab" * 9, "!" * 33, "=" * 70, "-" * 257]
