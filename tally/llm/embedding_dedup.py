@@ -38,7 +38,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, S
 from .common import Staging, components
 
 COSINE = 0.98
-CODES, BLOCKS, WORDS, FILTERS = 12, 2, 256, 2
+CODES, BLOCKS, WORDS, FILTERS = 12, 2, 256, 3
 SEED = 3
 CHUNK = 1024
 SMALL = 24       # buckets up to this size are verified pairwise by row offsets
