@@ -42,6 +42,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_embedding_near_dedup": """
+WITH RECURSIVE numbered AS (
+  SELECT row_number() OVER () AS row, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), usable AS (
+  SELECT * FROM numbered
+  WHERE label IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.row AS a, b.row AS b FROM usable a JOIN usable b
+  ON a.label = b.label AND len(a.e) = len(b.e) AND a.row <> b.row AND list_cosine_similarity(a.e, b.e) >= 0.98
+), reach AS (
+  SELECT row AS a, row AS b FROM numbered
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), component AS (
+  SELECT r.a, min(n.vec_id) AS component_id FROM reach r JOIN numbered n ON n.row = r.b GROUP BY r.a
+)
+SELECT n.vec_id, (SELECT count(*) FROM links l WHERE l.a = n.row) AS n_links, c.component_id,
+       n.vec_id IS NOT DISTINCT FROM c.component_id AS kept
+FROM numbered n JOIN component c ON c.a = n.row
+""",
     "op2_url_filter": """
 WITH u AS (
   SELECT page_id,
