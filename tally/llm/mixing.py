@@ -67,16 +67,18 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     copy (from 0), copies and rate."""
     staging = Staging(docs.sparkSession, "mixing")
     rates = staging.write(_with_cdf(source_rates(docs, weights, growth)).coalesce(1), "rates")
-    names = {n: fresh(docs, n) for n in ("copy", "copies", "rate")}
-    table = rates.select(F.col("source").alias("source__"), F.col("rate").alias(names["rate"]),
-                         F.col("parts").alias("parts__"), F.col("cdf").alias("cdf__"))
-    joined = docs.join(table, docs["source"].eqNullSafe(table["source__"])).filter(F.col(names["rate"]) > 0)
+    copy, copies, rate = (fresh(docs, n) for n in ("copy", "copies", "rate"))
+    source, parts, cdf, order = (fresh(docs, n) for n in ("source__", "parts__", "cdf__", "order__"))
+    table = rates.select(F.col("source").alias(source), F.col("rate").alias(rate), F.col("parts").alias(parts),
+                         F.col("cdf").alias(cdf))
+    joined = docs.join(table, docs["source"].eqNullSafe(table[source])).filter(F.col(rate) > 0)
     # The first 52 bits of an MD5 number each (document, part).
-    uniform = f"cast(conv(substr(md5(concat('{seed}:', coalesce(cast(doc_id AS STRING), ''), ':', part)), 1, 13), 16, 10) AS DOUBLE) / {2.0 ** 52!r}D"
-    count = f"aggregate(sequence(1, parts__), 0, (n, part) -> n + size(filter(cdf__, c -> c <= {uniform})))"
-    counted = joined.withColumn(names["copies"], F.expr(count)).filter(F.col(names["copies"]) > 0)
-    copies = counted.withColumn(names["copy"], F.explode(F.expr(f"sequence(0, `{names['copies']}` - 1)")))
-    order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col(names["copy"]))
-    shuffled = (copies.drop("source__", "parts__", "cdf__").withColumn("order__", order)
-                .repartition("order__").sortWithinPartitions("order__").drop("order__"))
+    uniform = (f"cast(conv(substr(md5(concat('{seed}:', coalesce(cast(doc_id AS STRING), ''), ':', part)), 1, 13), 16, 10) "
+               f"AS DOUBLE) / {2.0 ** 52!r}D")
+    count = f"aggregate(sequence(1, `{parts}`), 0, (n, part) -> n + size(filter(`{cdf}`, c -> c <= {uniform})))"
+    counted = joined.withColumn(copies, F.expr(count)).filter(F.col(copies) > 0)
+    repeated = counted.withColumn(copy, F.explode(F.expr(f"sequence(0, `{copies}` - 1)")))
+    shuffled = (repeated.drop(source, parts, cdf)
+                .withColumn(order, F.xxhash64(F.lit(seed), F.col("doc_id"), F.col(copy)))
+                .repartition(order).sortWithinPartitions(order).drop(order))
     return shuffled if keep_extra else shuffled.select(*docs.columns)

@@ -44,8 +44,9 @@ def test_urls_against_brute_force(spark, monkeypatch):
 
 
 def docs(spark, rows):
-    return spark.createDataFrame([(*r, "e", 1.0, 2) for r in rows],
-                                 "doc_id long, text string, source string, copy string, rate double, part int")
+    return spark.createDataFrame([(*r, "e", 1.0, 2, "s", [1]) for r in rows],
+                                 "doc_id long, text string, source string, copy string, rate double, part int, "
+                                 "source__ string, cdf__ array<int>")
 
 
 def test_mixing_shares_and_columns(spark):
