@@ -101,14 +101,14 @@ def _canonical(edges: DataFrame) -> DataFrame:
     return edges.filter("u <> v").selectExpr("greatest(u, v) AS u", "least(u, v) AS v").distinct()
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, staging: Staging) -> DataFrame:
     both = edges.union(edges.selectExpr("v AS u", "u AS v"))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m")
+    low = staging.write(both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m"), "low")
     return both.join(low, "u").filter("v > u").selectExpr("v AS u", "m AS v")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
+def _small_star(edges: DataFrame, staging: Staging) -> DataFrame:
+    low = staging.write(edges.groupBy("u").agg(F.min("v").alias("m")), "low")
     return edges.join(low, "u").selectExpr("v AS u", "m AS v").union(low.selectExpr("u", "m AS v"))
 
 
@@ -117,8 +117,9 @@ def components(edges: DataFrame, staging: Staging) -> DataFrame:
     ``node, root`` per node of any edge, ``root`` the least node reached.
 
     Alternating large-star and small-star rounds; a hub's minimum is combined
-    before the shuffle and its edges are a join that Spark splits when one
-    key is hot. Rounds end when a round changes nothing.
+    before the shuffle and written, so that the join with its edges has shuffles
+    of its own and Spark splits it when one key is hot. Rounds end when a round
+    changes nothing.
     """
     u, v = edges.columns
     edges = staging.write(_canonical(edges.selectExpr(f"`{u}` AS u", f"`{v}` AS v")), "edges")
@@ -129,7 +130,9 @@ def components(edges: DataFrame, staging: Staging) -> DataFrame:
     now = state(edges)
     while now[0]:
         last = now
-        edges = staging.write(_canonical(_small_star(_canonical(_large_star(edges)))), "edges")
+        large = staging.write(_canonical(_large_star(edges, staging)), "large")
+        edges = staging.write(_canonical(_small_star(large, staging)), "edges")
+        staging.drop("large", "low")
         now = state(edges)
         if now == last:
             break
