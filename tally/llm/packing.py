@@ -24,6 +24,7 @@ ignored.
 from __future__ import annotations
 
 import bisect
+import itertools
 import os
 import unicodedata
 import zlib
@@ -104,13 +105,12 @@ class WordIds:
         for i in missing:
             ids[i] = self.table[flat[i]]
         out = [whole[i] if i in whole else b"".join(ids[a:b]) for i, (a, b) in enumerate(zip([0, *ends], ends))]
-        if len(self.table) > CACHE_ENTRIES:
-            self.table = {"": b""}
-        else:
-            for word in new:
-                if len(word) > CACHED_CHARS:
-                    self.table.pop(word, None)
-                    self.table.pop(word[:-1], None)
+        for word in new:
+            if len(word) > CACHED_CHARS:
+                self.table.pop(word, None)
+                self.table.pop(word[:-1], None)
+        if len(self.table) > CACHE_ENTRIES:  # frequent words came first, so the older half stays
+            self.table = dict(itertools.islice(self.table.items(), CACHE_ENTRIES // 2))
         return out
 
     def _whole(self, text: str) -> bytes:

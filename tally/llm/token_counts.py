@@ -17,6 +17,7 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 
@@ -145,8 +146,9 @@ class Merger:
                 counts[c[0]] += sum(map(table.__getitem__, c[at]))
             for chunk in long:
                 del table[chunk]
-            if len(table) > CACHE_ENTRIES:
-                table.clear()
+            if len(table) > CACHE_ENTRIES:  # frequent chunks came first, so the older half stays
+                for chunk in list(itertools.islice(table, CACHE_ENTRIES // 2, None)):
+                    del table[chunk]
         return counts
 
 
