@@ -1,9 +1,8 @@
-"""Registered queries: SQL where there is any, and the pipeline stage by stage."""
+"""Registered queries: SQL where there is any."""
 
 import duckdb
 import pytest
 
-import corpus_pipeline
 from tally.llm.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -37,26 +36,3 @@ def test_rows(spark, name):
 
 def test_every_operator_has_a_query():
     assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
-
-
-def test_pipeline(spark, tmp_path):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    first, columns = docs, docs.columns
-    counts = []
-    for name, stage in corpus_pipeline.STAGES:
-        stage(spark, docs, SF).write.parquet(f"{tmp_path}/{name}")
-        docs = spark.read.parquet(f"{tmp_path}/{name}")
-        counts.append(docs.count())
-        if name != "best_fit_packing":
-            assert docs.columns == columns
-    assert first.count() > counts[0] > counts[1] >= counts[2] > 0
-    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
-    kept = {r.doc_id for r in spark.read.parquet(f"{tmp_path}/quality_classifier").select("doc_id").collect()}
-    judged = [labels[i] == (i in kept) for i in labels]
-    assert sum(judged) >= 0.95 * len(judged)
-    texts = [r.text for r in spark.read.parquet(f"{tmp_path}/exact_dedup").select("text").collect()]
-    assert len(texts) == len(set(texts))
-    whole = corpus_pipeline.run(spark, SF)
-    assert sorted(map(tuple, whole.drop("sequence_id", "offset").collect())) == \
-        sorted(map(tuple, docs.drop("sequence_id", "offset").collect()))
-    assert whole.select("sequence_id").distinct().count() == docs.select("sequence_id").distinct().count()
