@@ -159,9 +159,9 @@ def test_builders_write_nothing(spark):
     def files():
         return sum(len(f) for _, _, f in os.walk(root))
     before = files()
-    for name, query in REGISTRY.items():
-        if name not in ("read_raw_ledger", "sync_snapshot"):
-            query.build(spark, SF)
+    for name in ("clean_dates", "doc_no_default", "status_normalize", "ledger_rejects", "batch_dedupe", "sync_income",
+                 "sync_expenses", "net_position"):
+        REGISTRY[name].build(spark, SF)
     assert files() == before
 
 
