@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import pairwise
 
 import pytest
 
@@ -155,6 +156,19 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_accepted_identifiers_everywhere_and_long_chains(spark):
+    rows = [f"aa w@x{i}.org end" for i in range(9)]
+    for k, (one, two) in enumerate(pairwise(["aa", "bb", "cc", "dd", "ee", "ff", "gg"])):
+        # each label is learned from the identifiers that the label before it gave
+        rows += [f"{label} user{k}n{i}@host" for i in range(4) for label in (one, two)]
+    rows += ["user5n0@host", "rare user5n1@host words", "7 user5n2@host"]
+    got = personal_data(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    found = {r.doc_id: r.spans for r in got}
+    for i, text in enumerate(rows):
+        at = re.search(r"\S+@\S+", text)
+        assert found[i] == f"email:{at.start()}:{at.end()}", text
+
+
 def test_top_k(spark):
     df = spark.range(1000).selectExpr("id", "cast(id % 7 as double) as key")
     order = sorted(range(1000), key=lambda i: (-(i % 7), -i))
