@@ -169,6 +169,15 @@ def test_accepted_identifiers_everywhere_and_long_chains(spark):
         assert found[i] == f"email:{at.start()}:{at.end()}", text
 
 
+def test_contexts_and_totals_count_the_same_words(spark):
+    rows = [f"(a{i}@b.co, one{i}" for i in range(12)] + ["x@localhost , two", "clean ( me@localhost three"]
+    rows += [f"box:a{i}@c.de four{i}" for i in range(12)] + ["Box; you@localhost five", "inbox him@localhost six"]
+    rows += [f"éa{i}@d.fr seven{i}" for i in range(6)] + ["é her@localhost eight"]
+    got = personal_data(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    added = {r.doc_id: r.spans for r in got if hashlib.sha256(r.spans.encode()).hexdigest() != r.base_sha256}
+    assert added == {rows.index("Box; you@localhost five"): "email:5:18"}
+
+
 def test_top_k(spark):
     df = spark.range(1000).selectExpr("id", "cast(id % 7 as double) as key")
     order = sorted(range(1000), key=lambda i: (-(i % 7), -i))
