@@ -178,6 +178,30 @@ def test_contexts_and_totals_count_the_same_words(spark):
     assert added == {rows.index("Box; you@localhost five"): "email:5:18"}
 
 
+def test_unseen_identifiers_with_blanks_labels_and_any_length(spark):
+    rows = [f"telno: +1 555 010 {1000 + i} thanks" for i in range(20)]
+    rows += [f"mailto a{i}@site{i}.org please" for i in range(20)]
+    rows += [f"cardno: {card} paid" for card in ("4111 1111 1111 1111", "5500 0000 0000 0004", "3400 0000 0000 009",
+                                                 "3000 0000 0000 04", "6011 0000 0000 0004")]
+    rows += [f"host 10.0.0.{i} up" for i in range(9)]
+    first = len(rows)
+    long = "x" * 100 + "@localhost"
+    more = [("telno: (743) 555-3824", "phone:7:21"), ("telno: 030 123 4567 thanks", "phone:7:19"),
+            ("tel telno:030-1234567", "phone:10:21"), ("telno: 030 123 4567, a@b.co", "phone:7:19,email:21:27"),
+            ("telno: (030) 123 4567 10.0.0.1", "phone:7:21,ip:22:30"), ("cardno: 4111 1111 1111 1112 paid", "card:8:27"),
+            ("cardno: DE89 3704 0044 0532 0130 00 paid", "card:8:35"), ("mailto:me@host;you@host;him@host", ""),
+            ("mailto:me@host please", "email:7:14"), (f"mailto {long} please", f"email:7:{7 + len(long)}"),
+            ("mailto jörg@host please", "email:7:16"), ("host fe80::12:34 up", "ip:5:16"),
+            ("mailto you@host; please", "email:7:15"), ("mailto him@host please", "email:7:15"),
+            ("telno: 555-010-2222 thanks", "phone:7:19"), ("12 555-010-2222", "phone:3:15"),
+            ("see 7 (555-010-2222).", "phone:7:19"), ("year 2024 12 11 10 items", "")]
+    more[7] = (more[7][0], "email:7:14,email:15:23,email:24:32")
+    rows += [text for text, _ in more]
+    got = personal_data(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    spans = {r.doc_id: r.spans for r in got}
+    assert [(rows[i], spans[i]) for i in range(first, len(rows))] == more
+
+
 def test_top_k(spark):
     df = spark.range(1000).selectExpr("id", "cast(id % 7 as double) as key")
     order = sorted(range(1000), key=lambda i: (-(i % 7), -i))
