@@ -12,7 +12,8 @@ run itself, and whether the word repeats the one before it.
 
 The target model and the cut are fitted on at most ``fit_rows`` labelled rows,
 those with the smallest hashes of doc_id (three of four for the model, the
-rest for the cut); that is the only sample. Raw counts,
+rest for the cut, or all where the rest lack good or bad ones); that is the
+only sample. Raw counts,
 weights, k and the selection cover every document. Unless given, k is the
 number of documents whose log weight is above the cut that tells good from bad
 labelled rows best.
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -129,13 +131,21 @@ def _scores(texts: DataFrame, ratio: np.ndarray) -> DataFrame:
 
 
 def _best_cut(scored: DataFrame) -> float:
-    """The cut with the fewest errors on labelled rows; of equal ones the
+    """The cut with the fewest errors on held-out labelled rows, or on all
+    sampled ones where the held-out lack good or bad ones; of equal cuts the
     middle of the widest span. Rows are counted on a grid first."""
-    scored = scored.filter("good IS NOT NULL AND NOT fits")
+    scored = scored.filter("good IS NOT NULL")
     step = F.round(F.signum("log_weight") * F.log1p(F.abs("log_weight")) * CUT_STEPS).cast("int")
-    rows = (scored.groupBy(step.alias("step"))
+    rows = (scored.groupBy(step.alias("step"), "fits")
             .agg(F.sum("good").alias("good"), F.count(F.lit(1)).alias("n")).collect())
-    steps = sorted((r["step"], r["good"], r["n"] - r["good"]) for r in rows)
+    held = [r for r in rows if not r["fits"]]
+    if not 0 < sum(r["good"] for r in held) < sum(r["n"] for r in held):
+        held = rows
+    counts = defaultdict(lambda: [0, 0])
+    for r in held:
+        counts[r["step"]][0] += r["good"]
+        counts[r["step"]][1] += r["n"] - r["good"]
+    steps = sorted((at, good, bad) for at, (good, bad) in counts.items())
     errors = sum(bad for _, _, bad in steps)
     if not errors:
         return -np.inf

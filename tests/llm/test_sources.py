@@ -1,6 +1,7 @@
 """URL filter, source mixing, sharding, personal data and quality."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -235,6 +236,56 @@ def test_quality_held_out(spark):
     assert sum(r.kept for r in importance_weights(docs(spark, rows), known, k=10).collect()) == 10
 
 
+def test_quality_cut_when_held_out_lacks_a_class(spark):
+    rows, labels = labelled(spark)
+    df = spark.createDataFrame(labels, "doc_id long, quality int")
+    fits = {r[0] for r in df.filter("pmod(xxhash64('half', doc_id), 4) > 0").collect()}
+    for lacking in (0, 1):
+        known = spark.createDataFrame([x for x in labels if x[1] != lacking or x[0] in fits], df.schema)
+        out = importance_weights(docs(spark, rows), known).collect()
+        assert {r.doc_id: r.kept for r in out} == {i: bool(q) for i, q in labels}
+
+
+def test_quality_against_plain_python(spark):
+    rows, labels = labelled(spark)
+    known = spark.createDataFrame(labels, "doc_id long, quality int")
+    fits = {r[0] for r in known.filter("pmod(xxhash64('half', doc_id), 4) > 0").collect()}
+    hashes = {r[0]: r[1] for r in known.selectExpr("doc_id", "xxhash64(11, doc_id)").collect()}
+
+    def kind(token):
+        if token.isupper() and len(token) > 1:
+            return 1
+        if token[0].isupper():
+            return 2
+        if token.isalpha():
+            return 3
+        if token.isdigit():
+            return 4
+        return 5 if token[0].isalnum() else 8 + zlib.crc32(token.encode()) % 4096
+
+    def grams(text):
+        tokens = re.findall(r"\w+|[^\w\s]+", text)
+        kinds = [2 * kind(t) + (i > 0 and tokens[i - 1] == t) for i, t in enumerate(tokens)]
+        return [zlib.crc32(t.encode()) % 4096 for t in tokens] + \
+            [4096 + (a * 7919 + b + 17) * 2654435761 % 4294967291 % 4096 for a, b in zip(kinds, kinds[1:])]
+
+    raw, target, good = Counter(), Counter(), {i for i, q in labels if q and i in fits}
+    for i, text, _ in rows:
+        raw.update(grams(text))
+        target.update(grams(text) if i in good else ())
+    n_raw, n_target = sum(raw.values()), sum(target.values())
+
+    def ratio(b):
+        share = (raw[b] + 1) / (n_raw + 8192)
+        return math.log((target[b] + 100_000 * share) / (n_target + 100_000)) - math.log(share)
+    weights = {i: sum(map(ratio, grams(text))) for i, text, _ in rows}
+    keys = {i: w / 0.1 - math.log(-math.log(((hashes[i] % 2 ** 64 >> 11) + 0.5) / 2 ** 53)) for i, w in weights.items()}
+    best = set(sorted(keys, key=keys.get)[-150:])
+    for r in importance_weights(docs(spark, rows), known, k=150).collect():
+        assert r.log_weight == pytest.approx(weights[r.doc_id], abs=1e-6)
+        assert r.key == pytest.approx(keys[r.doc_id], abs=1e-5) and r.kept == (r.doc_id in best)
+
+
 def test_quality_without_labels_or_rows(spark):
     rows, labels = labelled(spark, 20)
     none = spark.createDataFrame([], "doc_id long, quality int")
