@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.tables import read_table
 from .embedding_dedup import embedding_components
 from .exact_dedup import exact_groups
+from .lexical_search import rank_documents
 from .mixing import mix_sources
 from .packing import pack
 from .pii import personal_data
@@ -39,6 +40,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": lambda spark, d: simhash_components(_documents(spark, d)),
     "op9_exact_dedup": lambda spark, d: exact_groups(_documents(spark, d)),
     "op10_best_fit_packing": lambda spark, d: pack(_documents(spark, d), tokenizer("word_bpe_49k.json")),
+    "op13_ranked_search": lambda spark, d: rank_documents(_documents(spark, d), read_table(spark, d, "benchmark")),
 }
 
 SQL: dict[str, str] = {
@@ -121,5 +123,38 @@ SELECT doc_id,
        doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents
+""",
+    "op13_ranked_search": r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS row, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[0-9a-z\x{80}-\x{10FFFF}]+') AS terms
+  FROM documents
+), totals AS (
+  SELECT CAST(count(*) AS HUGEINT) AS n_docs, CAST(sum(len(terms)) AS HUGEINT) AS n_terms FROM doc WHERE len(terms) > 0
+), posting AS (
+  SELECT row, doc_id, len(terms) AS n, unnest(terms) AS term FROM doc
+), counted AS (
+  SELECT row, doc_id, n, term, count(*) AS tf FROM posting GROUP BY row, doc_id, n, term
+), weight AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM counted, totals GROUP BY term, n_docs
+), item AS (
+  SELECT row_number() OVER () AS item, item_id, text FROM benchmark
+), asked AS (
+  SELECT DISTINCT item, item_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term
+  FROM item
+), scored AS (
+  SELECT item, item_id, row, doc_id,
+         CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM asked JOIN counted USING (term) JOIN weight USING (term), totals
+  GROUP BY item, item_id, row, doc_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank
+  FROM scored WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
 """,
 }

@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "benchmark"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     return c
 
@@ -29,7 +29,7 @@ def test_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_rows(spark, name):
-    table = "embeddings" if name.startswith("op1_") else "documents"
+    table = "documents"
     n = spark.read.parquet(f"{SF}/{table}.parquet").count()
     assert QUERIES[name](spark, SF).count() >= n
 
