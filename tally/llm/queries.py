@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.tables import read_table
 from .embedding_dedup import embedding_components
 from .exact_dedup import exact_groups
+from .hard_negatives import mine_hard_negatives
+from .language_id import identify_languages
 from .lexical_search import rank_documents
 from .mixing import mix_sources
 from .packing import pack
@@ -40,6 +42,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": lambda spark, d: simhash_components(_documents(spark, d)),
     "op9_exact_dedup": lambda spark, d: exact_groups(_documents(spark, d)),
     "op10_best_fit_packing": lambda spark, d: pack(_documents(spark, d), tokenizer("word_bpe_49k.json")),
+    "op11_hard_negatives": lambda spark, d: mine_hard_negatives(read_table(spark, d, "embeddings")),
+    "op12_language_id": lambda spark, d: identify_languages(_documents(spark, d)),
     "op13_ranked_search": lambda spark, d: rank_documents(_documents(spark, d), read_table(spark, d, "benchmark")),
 }
 
@@ -123,6 +127,29 @@ SELECT doc_id,
        doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents
+""",
+    "op11_hard_negatives": """
+WITH v AS (
+  SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.row AS anchor, a.vec_id AS anchor_id, b.row AS row, b.vec_id, a.label = b.label AS same,
+         CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND len(a.e) = len(b.e) AND a.row <> b.row
+), positive AS (
+  SELECT * FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST, row) <= 5
+), negative AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor, p.row ORDER BY n.score DESC, n.vec_id NULLS LAST, n.row) AS rank
+  FROM positive p JOIN scored n ON n.anchor = p.anchor AND NOT n.same
+    AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM negative WHERE rank <= 5
 """,
     "op13_ranked_search": r"""
 WITH doc AS (
