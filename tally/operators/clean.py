@@ -29,9 +29,15 @@ def _col(raw: DataFrame, name: str, default: str | None = None) -> Column:
 
 
 def gate_row_id(raw: DataFrame) -> DataFrame:
-    """Skip rows whose row_id is null or blank; strip the rest."""
-    rid = _col(raw, "row_id")
-    return raw.filter(~is_blank(rid)).withColumn("row_id", py_strip(rid))
+    """Skip rows whose row_id is null or blank; strip the rest. A malformed
+    row passes, without a row_id, so that it ends as a reject."""
+    rid, broken = _col(raw, "row_id"), malformed(raw)
+    return raw.filter(broken | ~is_blank(rid)).withColumn("row_id", F.when(~broken, py_strip(rid)))
+
+
+def malformed(raw: DataFrame) -> Column:
+    """A1: the reader could not take the row apart as the header says."""
+    return _col(raw, S.CORRUPT).isNotNull()
 
 
 def doc_no_default(raw: DataFrame) -> Column:
@@ -83,6 +89,11 @@ def _reasons(checks: list[tuple[Column, str]]) -> Column:
     return F.concat_ws(",", *[F.when(cond, F.lit(reason)) for cond, reason in checks])
 
 
+def _row_reasons(checks: list[tuple[Column, str]]) -> Column:
+    """The same; of a malformed row nothing else is judged."""
+    return F.when(F.col("_broken"), F.lit(S.MALFORMED)).otherwise(_reasons(checks))
+
+
 def _junk(raw: DataFrame, dates: tuple[str, ...]) -> Column:
     """Comma-joined names of the cells that are not blank and cannot be read."""
     cells = [(F.coalesce(~is_blank(_col(raw, c)), F.lit(False)) & parse_day_first(_col(raw, c)).isNull(), c) for c in dates]
@@ -107,7 +118,7 @@ def clean_income(raw: DataFrame) -> DataFrame:
         money["amount"].alias("_amount"), money["vat"].alias("_vat"), money["grand_total"].alias("_grand_total"),
         normalize_status(_col(gated, "status")).alias("status"),
         py_title(_col(gated, "location", S.DEFAULT_LOCATION)).alias("location"),
-        _junk(gated, ("doc_date",)).alias("_junk"),
+        _junk(gated, ("doc_date",)).alias("_junk"), malformed(gated).alias("_broken"),
     )
     checks = [
         (F.col("_pos").isNull(), "pos_missing"),
@@ -117,7 +128,7 @@ def clean_income(raw: DataFrame) -> DataFrame:
         (F.col("currency").isNull(), "currency_missing"),
         (F.col("doc_date").isNull(), "doc_date_missing"),
     ] + _money_checks(list(S.MONEY_FIELDS))
-    df = df.withColumn("_reasons", _reasons(checks))
+    df = df.withColumn("_reasons", _row_reasons(checks))
     return df.select(
         "_pos", "row_id", "doc_no", "doc_date", "customer", "currency",
         *[F.when(fits_money(F.col(f"_{c}")), to_money(F.col(f"_{c}"))).alias(c) for c in S.MONEY_FIELDS],
@@ -150,7 +161,7 @@ def clean_expenses(raw: DataFrame, as_of_date: str,
         category_key(category, sub).alias("category_key"),
         rec.alias("is_recurring"),
         F.when(rec, F.lit(S.RECURRENCE_PERIOD)).alias("recurrence_period"),
-        _junk(gated, ("doc_date", "overdue_date")).alias("_junk"),
+        _junk(gated, ("doc_date", "overdue_date")).alias("_junk"), malformed(gated).alias("_broken"),
     )
     checks = [
         (F.col("_pos").isNull(), "pos_missing"),
@@ -160,7 +171,7 @@ def clean_expenses(raw: DataFrame, as_of_date: str,
         (F.col("supplier").isNull(), "supplier_missing"),
         (F.col("currency").isNull(), "currency_missing"),
     ] + _money_checks(list(S.MONEY_FIELDS))
-    df = df.withColumn("_reasons", _reasons(checks))
+    df = df.withColumn("_reasons", _row_reasons(checks))
     return df.select(
         "_pos", "row_id", "doc_no", "doc_date", "overdue_date", "supplier", "currency",
         *[F.when(fits_money(F.col(f"_{c}")), to_money(F.col(f"_{c}"))).alias(c) for c in S.MONEY_FIELDS],

@@ -32,7 +32,7 @@ from .sync import merged_ledger, publish_batches, sync_frames
 from ..operators.pending import pending_defaults, remaining_to_fund
 from ..operators.periods import explode_periods, period_label, period_sums, range_filter
 from ..session import shared_path
-from ..sources.raw import read_raw_ledger, write_raw_ledger
+from ..sources.raw import read_raw_ledger, write_raw_lines
 from ..sources.snapshot import SnapshotStore
 from ..functions import parse_day_first, parse_money, py_title
 from ..operators.categories import resolve
@@ -499,27 +499,46 @@ def _export_path(spark: SparkSession, name: str) -> str:
     return shared_path(spark, "tally-exports", f"{name}-{uuid.uuid4().hex}")
 
 
-@register("read_raw_ledger", O.ledger_ctes() + O.raw_ctes() + """
-SELECT _pos, row_id, coalesce(doc_no, '') AS doc_no, doc_date, customer, currency, amount, vat, grand_total, status, location
-FROM raw_income""")
+def _cells(columns: tuple[str, ...], broken: str, source: str) -> str:
+    return (", ".join(f"CASE WHEN NOT ({broken}) THEN {c} END AS {c.split()[-1]}" for c in columns)
+            + f", {broken} AS malformed FROM {source}")
+
+
+@register("read_raw_ledger", O.ledger_ctes() + O.raw_ctes() + "\nSELECT " + _cells(
+    ("_pos", *S.INCOME_RAW_COLUMNS), "_pos % 61 = 0", "(SELECT * REPLACE (coalesce(doc_no, '') AS doc_no) FROM raw_income)"))
 def _read_raw_ledger(spark, sf_dir):
-    """A1: the income export written as CSV to the shared folder and read
-    back as text columns (header row, no inference, blank cells as '')."""
+    """A1: the income export written as CSV lines to the shared folder and read
+    back as text columns (header rows, no inference, blank cells as ''; rows
+    with a cell past the header are told, not cut)."""
     path = _export_path(spark, "income")
-    write_raw_ledger(FX.raw_income_batch(spark, sf_dir), path, "csv")
-    return read_raw_ledger(spark, path, "csv")
+    header, lines = FX.income_csv_lines(spark, sf_dir)
+    write_raw_lines(lines, path, header, 4)
+    return _told(read_raw_ledger(spark, path, "csv"))
+
+
+@register("read_raw_json", O.ledger_ctes() + O.raw_ctes() + "\nSELECT " + _cells(
+    ("_pos", *S.EXPENSE_RAW_COLUMNS), "(_pos // 1000) % 67 = 0", "raw_expenses"))
+def _read_raw_json(spark, sf_dir):
+    """A1: the expense export as JSON lines, some of them cut short."""
+    path = _export_path(spark, "expenses")
+    write_raw_lines(FX.expense_json_lines(spark, sf_dir), path, None, 4)
+    return _told(read_raw_ledger(spark, path, "json", "expenses"))
+
+
+def _told(raw: DataFrame) -> DataFrame:
+    return raw.withColumn("malformed", F.col(S.CORRUPT).isNotNull()).drop(S.CORRUPT)
 
 
 @register("sync_snapshot", _sync_sql("SELECT * EXCLUDE (action), CAST(date_trunc('month', doc_date) AS DATE) AS doc_month "
                                      "FROM exp_merged"))
 def _sync_snapshot(spark, sf_dir):
     """A4: publish the prior snapshots, sync the raw batches into them (one
-    manifest row, only touched months rewritten) and return the published
+    pointer file, only touched months rewritten) and return the published
     expense snapshot."""
     store = SnapshotStore(spark, shared_path(spark, "tally-store", uuid.uuid4().hex))
     lines = FX.expense_batch_lines(spark, sf_dir)
-    store.commit({"income": store.write("income", FX.income_snapshot(spark, sf_dir), by_month=True),
-                  "expenses": store.write("expenses", FX.expense_snapshot(spark, sf_dir, lines), by_month=True),
+    store.commit({"income": store.write_ledger("income", FX.income_snapshot(spark, sf_dir)),
+                  "expenses": store.write_ledger("expenses", FX.expense_snapshot(spark, sf_dir, lines)),
                   "categories": store.write("categories", FX.parent_dimension(spark, sf_dir))})
     publish_batches(store, {"income": FX.raw_income_batch(spark, sf_dir),
                             "expenses": FX.raw_expense_batch(spark, sf_dir, lines=lines)},

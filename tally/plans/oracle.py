@@ -5,6 +5,7 @@ join) so it checks the Spark plans rather than repeating them.
 
 from __future__ import annotations
 
+from .. import schemas as S
 from ..params import ReportParams
 from ..sources import fixtures as FX
 
@@ -334,7 +335,7 @@ def raw_ctes(dirty: bool = False) -> str:
     type_e = "type"
     loc_e = _LOCATION_TEXT
     amt_e = f"CASE WHEN _key % 47 = 0 THEN {_fmt('amount')} || '04' ELSE {_fmt('amount')} END"
-    amt_i, pos_e = amt_e, "_pos"
+    amt_i, pos_e, broken = amt_e, "CASE WHEN _key % 59 = 0 THEN _key * 1000 ELSE _pos END", "false"
     vat_t = f"CASE WHEN _key % 13 = 0 THEN '' WHEN _key % 29 = 0 THEN 'n/a' ELSE {_fmt('vat')} END"
     gt_t = f"CASE WHEN _key % 17 = 0 THEN '' WHEN _key % 37 = 0 THEN 'see note' ELSE {_fmt('grand_total')} END"
     if dirty:
@@ -343,7 +344,7 @@ def raw_ctes(dirty: bool = False) -> str:
         loc_e = f"CASE WHEN _key % 107 = 0 THEN NULL ELSE {loc_e} END"
         amt_e = (f"CASE WHEN _key % 109 = 0 THEN '12,345,678,901.00' WHEN _key % 127 = 0 THEN '12345678901234567890.00' "
                  f"WHEN _key % 131 = 0 THEN repeat('9', 40) ELSE {amt_e} END")
-        pos_e = "CASE WHEN _key % 113 <> 0 THEN _pos END"
+        pos_e, broken = f"CASE WHEN _key % 113 <> 0 THEN {pos_e} END", "_key % 137 = 0"
     return f""",
 raw_income AS (
   SELECT _key AS _pos,
@@ -352,7 +353,7 @@ raw_income AS (
          {_date_text('doc_date')} AS doc_date, customer, currency,
          {amt_i} AS amount, {vat_t} AS vat, {gt_t} AS grand_total,
          CASE WHEN _key % 3 = 0 THEN lower(status) ELSE status END AS status,
-         {_LOCATION_TEXT} AS location
+         {_LOCATION_TEXT} AS location, false AS _broken
   FROM income_full
 ),
 expense_pos AS (
@@ -360,7 +361,7 @@ expense_pos AS (
                                              l_suppkey, l_extendedprice, l_quantity) AS _pos
   FROM expense_lines
 ),
-raw_expenses AS (
+raw_expenses_text AS (
   SELECT {pos_e} AS _pos, {_ROW_ID_TEXT} AS row_id,
          CASE WHEN _key % 11 = 0 THEN NULL ELSE doc_no END AS doc_no,
          CASE WHEN _key % 19 = 0 THEN '' WHEN _key % 41 = 0 THEN '31/02/1997' ELSE {_date_text('doc_date')} END AS doc_date,
@@ -368,9 +369,14 @@ raw_expenses AS (
          {amt_e} AS amount, {vat_t} AS vat, {gt_t} AS grand_total,
          {status_e} AS status, {type_e} AS type, {loc_e} AS location,
          CASE WHEN _key % 43 = 0 THEN '' WHEN _key % 53 = 0 THEN ' ' || category || ' ' ELSE category END AS category,
-         CASE WHEN p_size % 7 = 0 THEN ' NaN ' ELSE subcategory END AS subcategory
+         CASE WHEN p_size % 7 = 0 THEN ' NaN ' ELSE subcategory END AS subcategory,
+         {broken} AS _broken
   FROM expense_pos
 ),
+raw_expenses AS (
+  SELECT {', '.join(f"CASE WHEN NOT _broken THEN {c} END AS {c}" for c in ("_pos", *S.EXPENSE_RAW_COLUMNS))}, _broken
+  FROM raw_expenses_text
+),
 inc_snap AS (
   SELECT row_id, doc_no, doc_date, customer, currency,
          CASE WHEN CAST(row_id AS BIGINT) % 7 = 0 THEN {_money('amount + 1')} ELSE amount END AS amount,
@@ -420,6 +426,12 @@ def _fits(x: str) -> str:
     return f"({x} IS NULL OR abs({x}) < 10000000000)"
 
 
+def _digest(columns: tuple[str, ...]) -> str:
+    """Order of rows that share a position: the first 60 bits of the MD5 of their cells."""
+    cells = ", ".join(f"coalesce(CAST({c} AS VARCHAR), chr(30))" for c in columns)
+    return f"substr(md5(concat_ws(chr(31), {cells})), 1, 15)"
+
+
 def clean_ctes(recurring: tuple[str, ...] = FX.TEST_RECURRING, as_of_date: str = FX.SYNC_AS_OF_DATE,
                income_cols: tuple[str, ...] = ("customer", "currency", "location")) -> str:
     rec = ", ".join(f"'{r}'" for r in recurring)
@@ -429,6 +441,9 @@ def clean_ctes(recurring: tuple[str, ...] = FX.TEST_RECURRING, as_of_date: str =
     cur = "currency" if "currency" in income_cols else "'THB'"
     loc = "location" if "location" in income_cols else "'Unknown'"
     sub = strip_sql("subcategory")
+    inc = ("doc_no", "doc_date", "customer", "currency", "amount", "vat", "grand_total", "status", "location")
+    exp = ("doc_no", "doc_date", "overdue_date", "supplier", "currency", "amount", "vat", "grand_total", "status", "type",
+           "location", "category", "subcategory", "category_key", "is_recurring", "recurrence_period")
     return f""",
 inc_c0 AS (
   SELECT _pos, {strip_sql('row_id')} AS row_id,
@@ -436,8 +451,8 @@ inc_c0 AS (
          {_parse_date('doc_date')} AS doc_date, {cust} AS customer, {cur} AS currency,
          COALESCE({_parse_money('amount')}, 0) AS _amount, COALESCE({_parse_money('vat')}, 0) AS _vat,
          {_parse_money('grand_total')} AS _gt,
-         {_status('status')} AS status, {title_sql(loc)} AS location
-  FROM raw_income WHERE NOT {_blank('row_id')}
+         {_status('status')} AS status, {title_sql(loc)} AS location, _broken
+  FROM raw_income WHERE _broken OR NOT {_blank('row_id')}
 ),
 inc_c1 AS (SELECT *, COALESCE(_gt, _amount + _vat) AS _grand_total FROM inc_c0),
 inc_clean AS (
@@ -446,13 +461,13 @@ inc_clean AS (
          CASE WHEN {_fits('_vat')} THEN CAST(_vat AS DECIMAL(12,2)) END AS vat,
          CASE WHEN {_fits('_grand_total')} THEN CAST(_grand_total AS DECIMAL(12,2)) END AS grand_total,
          status, location,
-         concat_ws(',', CASE WHEN _pos IS NULL THEN 'pos_missing' END,
+         CASE WHEN _broken THEN 'malformed_row' ELSE concat_ws(',', CASE WHEN _pos IS NULL THEN 'pos_missing' END,
                    CASE WHEN status IS NULL THEN 'status_unknown' END,
                    CASE WHEN location IS NULL THEN 'location_missing' END,
                    CASE WHEN customer IS NULL THEN 'customer_missing' END,
                    CASE WHEN currency IS NULL THEN 'currency_missing' END,
                    CASE WHEN doc_date IS NULL THEN 'doc_date_missing' END,
-                   {money_checks()}) AS reasons
+                   {money_checks()}) END AS reasons
   FROM inc_c1
 ),
 exp_c0 AS (
@@ -467,8 +482,8 @@ exp_c0 AS (
          {title_sql('location')} AS location,
          CASE WHEN category IS NULL OR category = '' THEN 'Uncategorized' ELSE {strip_sql('category')} END AS category,
          CASE WHEN subcategory IS NULL OR {sub} = '' OR lower({sub}) = 'nan' THEN NULL ELSE {sub} END AS subcategory,
-         COALESCE({strip_sql('category')} IN ({rec}), false) AS is_recurring
-  FROM raw_expenses WHERE NOT {_blank('row_id')}
+         COALESCE({strip_sql('category')} IN ({rec}), false) AS is_recurring, _broken
+  FROM raw_expenses WHERE _broken OR NOT {_blank('row_id')}
 ),
 exp_c1 AS (
   SELECT *, COALESCE(_gt, _amount + _vat) AS _grand_total, concat_ws({SEP}, category, subcategory) AS category_key,
@@ -481,24 +496,24 @@ exp_clean AS (
          CASE WHEN {_fits('_vat')} THEN CAST(_vat AS DECIMAL(12,2)) END AS vat,
          CASE WHEN {_fits('_grand_total')} THEN CAST(_grand_total AS DECIMAL(12,2)) END AS grand_total,
          status, type, location, category, subcategory, category_key, is_recurring, recurrence_period,
-         concat_ws(',', CASE WHEN _pos IS NULL THEN 'pos_missing' END,
+         CASE WHEN _broken THEN 'malformed_row' ELSE concat_ws(',', CASE WHEN _pos IS NULL THEN 'pos_missing' END,
                    CASE WHEN status IS NULL THEN 'status_unknown' END,
                    CASE WHEN type IS NULL THEN 'type_unknown' END,
                    CASE WHEN location IS NULL THEN 'location_missing' END,
                    CASE WHEN supplier IS NULL THEN 'supplier_missing' END,
                    CASE WHEN currency IS NULL THEN 'currency_missing' END,
-                   {money_checks()}) AS reasons
+                   {money_checks()}) END AS reasons
   FROM exp_c1
 ),
 inc_dedup AS (
   SELECT * EXCLUDE (_rn) FROM (
-    SELECT *, ROW_NUMBER() OVER (PARTITION BY row_id ORDER BY _pos DESC) AS _rn,
-           COUNT(*) OVER (PARTITION BY row_id) AS _repeats FROM inc_clean) WHERE _rn = 1
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY row_id ORDER BY _pos DESC NULLS LAST, {_digest(inc)} DESC) AS _rn,
+           COUNT(*) OVER (PARTITION BY row_id) AS _repeats FROM inc_clean WHERE row_id IS NOT NULL) WHERE _rn = 1
 ),
 exp_dedup AS (
   SELECT * EXCLUDE (_rn) FROM (
-    SELECT *, ROW_NUMBER() OVER (PARTITION BY row_id ORDER BY _pos DESC) AS _rn,
-           COUNT(*) OVER (PARTITION BY row_id) AS _repeats FROM exp_clean) WHERE _rn = 1
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY row_id ORDER BY _pos DESC NULLS LAST, {_digest(exp)} DESC) AS _rn,
+           COUNT(*) OVER (PARTITION BY row_id) AS _repeats FROM exp_clean WHERE row_id IS NOT NULL) WHERE _rn = 1
 )"""
 
 

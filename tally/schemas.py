@@ -140,6 +140,10 @@ PENDING_SCHEMA = T.StructType([
     T.StructField("created_by", T.StringType()),
 ])
 
+#: Text of a row that the reader could not take apart, and the reason it is refused for.
+CORRUPT = "_corrupt_record"
+MALFORMED = "malformed_row"
+
 INCOME_RAW_COLUMNS = (
     "row_id", "doc_no", "doc_date", "customer", "currency", "amount", "vat", "grand_total",
     "status", "location",

@@ -268,16 +268,17 @@ def raw_expense_batch(spark: SparkSession, sf_dir: str, dirty: bool = False,
                       lines: DataFrame | None = None) -> DataFrame:
     """Expense lines rendered as export text; row_id repeats kept, `_pos` is
     the export order. Blank doc_date where key % 19 = 0 and an impossible one
-    where % 41 = 0 (both take the as-of date); blank category where % 43 = 0.
+    where % 41 = 0 (both take the as-of date); blank category where % 43 = 0;
+    one position for all lines of an order where % 59 = 0.
     ``dirty`` adds rows that break constraints (for the reject check):
     unknown status (% 101), lower-case type (% 103), missing location (% 107),
     amounts too large for DECIMAL(12,2) (% 109), for 18 (% 127) and for 38
-    digits (% 131), no position (% 113). ``lines`` reuses already numbered
+    digits (% 131), no position (% 113), rows that could not be read (% 137). ``lines`` reuses already numbered
     lines (see ``expense_batch_lines``)."""
     df = lines if lines is not None else expense_batch_lines(spark, sf_dir)
     k = F.col("_key")
     out = df.select(
-        F.col("_pos"),
+        F.when(k % 59 == 0, k * 1000).otherwise(F.col("_pos")).alias("_pos"),
         _text_row_id(F.col("row_id"), k).alias("row_id"),
         F.when(k % 11 == 0, F.lit(None).cast("string")).otherwise(F.col("doc_no")).alias("doc_no"),
         F.when(k % 19 == 0, F.lit("")).when(k % 41 == 0, F.lit("31/02/1997"))
@@ -304,9 +305,30 @@ def raw_expense_batch(spark: SparkSession, sf_dir: str, dirty: bool = False,
                               .when(k % 127 == 0, F.lit("12345678901234567890.00"))
                               .when(k % 131 == 0, F.lit("9" * 40)).otherwise(F.col("amount")))
                   .withColumn("_pos", F.when(k % 113 != 0, F.col("_pos"))))
+        broken = k % 137 == 0
+        out = out.select(*[F.when(~broken, F.col(c)).alias(c) for c in out.columns if c != "_key"],
+                         F.when(broken, F.lit("cut")).alias(S.CORRUPT), "_key")
     return out.drop("_key")
 
 
+def income_csv_lines(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """Header and lines of the income export as CSV; a cell past the header
+    where keys % 61 = 0."""
+    raw = raw_income_batch(spark, sf_dir)
+    style = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    line = F.to_csv(F.struct(*raw.columns), style)
+    return ",".join(raw.columns), raw.select(
+        F.when(F.col("_pos") % 61 == 0, F.concat(line, F.lit(",one more"))).otherwise(line).alias("line"))
+
+
+def expense_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the expense export as JSON; cut short where keys % 67 = 0."""
+    raw = raw_expense_batch(spark, sf_dir)
+    line = F.to_json(F.struct(*raw.columns))
+    cut = F.floor(F.col("_pos") / 1000) % 67 == 0
+    return raw.select(F.when(cut, F.substring(line, F.lit(1), F.length(line) - 9)).otherwise(line).alias("line"))
+
+
 def expense_snapshot(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
     """Prior expense snapshot: one row per row_id (the last export line),
     keys % 5 = 0 missing, amount + 1.00 where key % 7 = 0."""

@@ -10,16 +10,18 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 from ..session import shared_path
 
 
-def stage_table(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """The staged copy and its path."""
+def stage_table(df: DataFrame, label: str, *metrics: Column) -> tuple[DataFrame, str, dict]:
+    """The staged copy, its path and the ``metrics`` (aggregates over all rows),
+    which are observed while the rows are written."""
     path = shared_path(df.sparkSession, "tally-stage", f"{label}-{uuid.uuid4().hex}")
-    df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    seen = Observation()
+    (df.observe(seen, *metrics) if metrics else df).write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path, seen.get if metrics else {}
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tally.plans.sync import publish_batches
 from tally.sources import fixtures as FX
 from tally.sources.raw import read_raw_ledger, write_raw_ledger
-from tally.sources.snapshot import PublishConflict, PublishRefused, SnapshotStore
+from tally import schemas as S
+from tally.sources.snapshot import PublishRefused, SnapshotStore, bucket_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,7 +34,7 @@ def test_columns_are_read_by_name(spark):
     raw = FX.raw_income_batch(spark, SF)
     raw.select("currency", "location", "_pos", "row_id").coalesce(1).write.option("header", True).csv(f"{root}/c")
     back = read_raw_ledger(spark, f"{root}/c", "csv")
-    assert set(back.columns) == {"currency", "location", "_pos", "row_id"}
+    assert set(back.columns) == {"currency", "location", "_pos", "row_id", S.CORRUPT}
     assert {r.currency for r in back.select("currency").distinct().collect()} == {"THB"}
     raw.withColumn("customer", F.lit(None).cast("string")).write.json(f"{root}/j")
     assert read_raw_ledger(spark, f"{root}/j", "json").filter("customer IS NULL").count() == raw.count()
@@ -66,7 +67,7 @@ def test_store_versions_and_latest(spark):
     part = spark.read.parquet(f"{SF}/part.parquet").select("p_partkey")
     assert store.publish("t", part.limit(5)) == 1 and store.publish("t", part) == 2
     assert store.read("t").count() == part.count()
-    assert store.versions().count() == 2
+    assert store.versions() == [1, 2]
     with pytest.raises(FileNotFoundError):
         store.read("missing")
 
@@ -112,31 +113,183 @@ def test_failed_write_shows_nothing_and_can_be_retried(spark, monkeypatch, broke
 def test_untouched_months_keep_their_files(spark):
     store = SnapshotStore(spark, tempfile.mkdtemp(prefix="tally-months-"))
     _sync(store, _batches(spark))
-    before = {p.month: p for p in store.latest()[1]["income"].parts}
+    before = store.latest()[1]["income"].parts
     rows = store.read("income").count()
     one = FX.raw_income_batch(spark, SF).filter("doc_date LIKE '%/03/1996'").limit(1).withColumn("amount", F.lit("1.00"))
     summary = _sync(store, {"income": one})
-    after = {p.month: p for p in store.latest()[1]["income"].parts}
+    after = store.latest()[1]["income"].parts
     assert summary["income_update"] == 1 and summary["income_retain"] == rows - 1
-    assert [str(m) for m in after if after[m] != before[m]] == ["1996-03-01"] and set(after) == set(before)
+    assert [m for m in after if after[m] != before[m]] == ["1996-03-01"] and set(after) == set(before)
     assert store.read("income").count() == rows and store.read("income").filter("amount = 1").count() == 1
     assert _sync(store, {"income": one})["income_skip"] == 1
-    assert {p.month: p for p in store.latest()[1]["income"].parts} == after
-    # A row that moves to another month leaves the old one.
+    assert store.latest()[1]["income"].parts == after
+    # A row that moves to another month leaves the old one, and is found there by the next sync.
     moved = _sync(store, {"income": one.withColumn("doc_date", F.lit("05.06.1997"))})
     assert moved["income_update"] == 1 and store.read("income").count() == rows
+    again = _sync(store, {"income": one.withColumn("doc_date", F.lit("05.06.1997")).withColumn("amount", F.lit("2.00"))})
+    assert again["income_update"] == 1 and store.read("income").filter("amount = 2").count() == 1
+    assert store.read("income").count() == rows
 
 
-def test_second_writer_of_a_version_is_told(spark):
+def _frame(spark, n):
+    return spark.read.parquet(f"{SF}/part.parquet").select("p_partkey").limit(n)
+
+
+def test_second_sync_of_a_version_is_refused_in_any_order(spark):
+    """A reads the latest version, B publishes and is told so; A then can not
+    take its place, however late it comes and whatever its part is called."""
     root = tempfile.mkdtemp(prefix="tally-two-")
     a, b = SnapshotStore(spark, root), SnapshotStore(spark, root)
-    part = spark.read.parquet(f"{SF}/part.parquet").select("p_partkey")
     version, _ = a.latest()
-    table = b.write("t", part)
-    b.commit({"t": table}, since=version)
-    with pytest.raises(PublishConflict):
-        a.commit({"t": a.write("t", part.limit(1))}, since=version)
-    assert a.read("t").count() == part.count()
+    late = a.write("t", _frame(spark, 1))
+    assert b.commit({"t": b.write("t", _frame(spark, 7))}, since=version) == 1
+    assert a.read("t").count() == 7
+    with pytest.raises(PublishRefused):
+        a.commit({"t": late}, since=version)
+    assert a.read("t").count() == b.read("t").count() == 7
+    # From the new version it is published, and an older one never is again.
+    assert a.commit({"t": late}, since=1) == 2 and b.read("t").count() == 1
+    for old in (0, 1):
+        with pytest.raises(PublishRefused):
+            b.commit({"t": late}, since=old)
+
+
+def test_of_many_syncs_at_once_one_is_published(spark):
+    from concurrent.futures import ThreadPoolExecutor
+    root = tempfile.mkdtemp(prefix="tally-race-")
+    store = SnapshotStore(spark, root)
+    tables = [store.write("t", _frame(spark, n)) for n in range(1, 7)]
+
+    def commit(table):
+        try:
+            return SnapshotStore(spark, root).commit({"t": table}, since=0)
+        except PublishRefused:
+            return None
+    with ThreadPoolExecutor(6) as pool:
+        got = list(pool.map(commit, tables))
+    assert sorted(got, key=str) == [1] + [None] * 5
+    assert store.read("t").count() == tables[got.index(1)].rows
+
+
+def _scan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lookup_reads_named_buckets_and_touched_months(spark):
+    """The plan of a sync's lookup: the index by the batch's buckets, then the
+    ledger's folders of the months found there and of no other."""
+    from tally.plans.sync import _months_of
+    store = SnapshotStore(spark, tempfile.mkdtemp(prefix="tally-index-"), buckets=16)
+    store.publish("income", FX.income_snapshot(spark, SF), partition_by_month=True)
+    table = store.latest()[1]["income"]
+    whole = store.read("income")
+    assert store.read_index("income", table).count() == whole.count()
+    some = whole.filter("doc_month IN (DATE '1996-03-01', DATE '1997-05-01')").orderBy("row_id").limit(3)
+    ids = spark.createDataFrame([(r.row_id,) for r in some.collect()] + [("never seen",)], "row_id string")
+    buckets = [r.b for r in ids.select(bucket_of(F.col("row_id"), 16).alias("b")).distinct().collect()]
+    assert len(buckets) < 16
+    months = _months_of(store, "income", table, ids, buckets)
+    assert months == {str(r.doc_month) for r in some.select("doc_month").distinct().collect()}
+    index = store.read_index("income", table, buckets)
+    assert "PartitionFilters: [bucket" in _scan(index).replace("isnotnull(bucket", "bucket") \
+        and index.count() == whole.filter(bucket_of(F.col("row_id"), 16).isin(buckets)).count()
+    files = store.read_parts("income", table, months).inputFiles()
+    assert {f.split("doc_month=")[1][:10] for f in files} == months
+
+
+def test_index_parts_are_merged(spark, monkeypatch):
+    from tally.sources import snapshot
+    monkeypatch.setattr(snapshot, "INDEX_PARTS", 2)
+    store = SnapshotStore(spark, tempfile.mkdtemp(prefix="tally-merge-"))
+    raw = FX.raw_income_batch(spark, SF)
+    sizes = []
+    for i in range(4):
+        _sync(store, {"income": raw.filter(F.col("_pos") % 4 == i)})
+        sizes.append(len(store.latest()[1]["income"].index))
+    assert sizes == [1, 2, 1, 2]
+    assert store.read_index("income", store.latest()[1]["income"]).count() == store.read("income").count()
+    assert _sync(store, {"income": raw})["income_skip"] == store.read("income").count()
+
+
+def test_ledger_without_an_index_is_synced_whole(spark):
+    store = SnapshotStore(spark, tempfile.mkdtemp(prefix="tally-plain-"))
+    store.commit({"income": store.write("income", FX.income_snapshot(spark, SF), by_month=True)})
+    got = _sync(store, {"income": FX.raw_income_batch(spark, SF)})
+    assert got["income_update"] > 0 and store.read("income").count() == got["income_retain"] + sum(
+        got[f"income_{a}"] for a in ("insert", "update", "skip"))
+
+
+def test_observed_counters_are_those_of_the_published_rows(spark):
+    store = SnapshotStore(spark, tempfile.mkdtemp(prefix="tally-seen-"))
+    half = {k: v.filter("_pos % 2 = 0") for k, v in _batches(spark).items()}
+    for batches in (half, _batches(spark)):
+        got = _sync(store, batches)
+        for ledger in ("income", "expenses"):
+            rows = store.read(ledger)
+            table = store.latest()[1][ledger]
+            total = rows.agg(F.sum("grand_total")).first()[0]
+            assert table.rows == rows.count() and table.total == total
+            assert got[f"total_{ledger}"] == float(total)
+    stamps = store.read("income").groupBy("updated_at").count().collect()
+    assert got["income_insert"] + got["income_update"] <= sum(r["count"] for r in stamps)
+
+
+def test_old_versions_are_removed(spark):
+    import os
+    root = tempfile.mkdtemp(prefix="tally-old-")
+    store = SnapshotStore(spark, root)
+    for batches in ({k: v.filter("_pos % 2 = 0") for k, v in _batches(spark).items()}, _batches(spark)):
+        _sync(store, batches)
+    store.write("income", FX.income_snapshot(spark, SF), by_month=True)  # of a failed sync
+    before = {n: store.read(n).count() for n in ("income", "expenses", "categories")}
+    gone = store.remove_old()
+    assert "_versions/0000000001.json" in gone and store.versions() == [2]
+    assert {n: store.read(n).count() for n in before} == before
+    assert len(os.listdir(f"{root}/categories")) == 1
+    assert store.remove_old() == []
+
+
+@pytest.mark.parametrize("fmt,lines", [
+    ("json", ['{"_pos":"1","row_id":"a","doc_date":"01/02/1996","customer":"c","currency":"THB","status":"paid","location":"x"}',
+              '{"_pos":"2","row_id":"b","doc_da', "[1]",
+              '{"_pos":"3","row_id":"c","doc_date":"01/02/1996","customer":"c","currency":"THB","status":"paid","location":"x"}']),
+    ("csv", ["_pos,row_id,doc_date,customer,currency,status,location", "1,a,01/02/1996,c,THB,paid,x",
+             "2,b,01/02/1996,c,THB,paid,x,one more", '4,"d,01/02/1996,c,THB', '3,c,01/02/1996,"c, ""d""",THB,paid,x'])])
+def test_malformed_rows_are_counted_and_refused(spark, fmt, lines):
+    from tally.operators.clean import clean_income, rejects
+    path = tempfile.mkdtemp(prefix="tally-broken-") + f"/e.{fmt}"
+    with open(path, "w") as fh:
+        fh.write("\n".join(lines) + "\n")
+    raw = read_raw_ledger(spark, path, fmt)
+    rows = raw.collect()
+    assert len(rows) == 4
+    broken = [r for r in rows if r[S.CORRUPT] is not None]
+    assert sorted(r[S.CORRUPT] for r in broken) == sorted(line for line in lines if line in {r[S.CORRUPT] for r in broken})
+    assert len(broken) == 2 and all(r[c] is None for r in broken for c in raw.columns if c != S.CORRUPT)
+    assert {r.row_id for r in rows if r[S.CORRUPT] is None} == {"a", "c"}
+    found = [(r._pos, r.row_id, r.reasons) for r in rejects(clean_income(raw)).collect()]
+    assert found == [(None, None, S.MALFORMED)] * 2
+    store = SnapshotStore(spark, tempfile.mkdtemp(prefix="tally-broken-"))
+    with pytest.raises(PublishRefused, match="2 income rows .*2 of them"):
+        _sync(store, {"income": raw})
+    assert store.latest() == (0, {})
+
+
+def test_files_with_other_headers_are_an_error(spark):
+    root = tempfile.mkdtemp(prefix="tally-heads-")
+    for name, text in (("a", "_pos,row_id\n1,x\n"), ("b", "row_id,_pos\ny,2\n")):
+        with open(f"{root}/{name}.csv", "w") as fh:
+            fh.write(text)
+    with pytest.raises(Exception, match="header does not conform"):
+        read_raw_ledger(spark, root, "csv").collect()
+
+
+def test_empty_exports(spark):
+    root = tempfile.mkdtemp(prefix="tally-empty-")
+    for name in ("e.csv", "e.json"):
+        open(f"{root}/{name}", "w").close()
+    assert read_raw_ledger(spark, f"{root}/e.csv", "csv").count() == 0
+    assert read_raw_ledger(spark, f"{root}/e.json", "json").count() == 0
 
 
 def test_staged_tables_go_after_a_publish(spark):
