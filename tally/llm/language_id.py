@@ -46,10 +46,10 @@ from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField,
 from .common import Staging, per_worker
 
 ORDER = 4
-CAPACITY = 1 << 20      # entries of all languages' trees
-GROUP_BYTES = 1 << 21   # of text coded at once
-HELD_ROWS = 1 << 20     # counted windows that a task holds
-TABLE_CELLS = 1 << 23   # code lengths that a worker keeps
+CAPACITY = 1 << 18      # entries of all languages' trees
+GROUP_BYTES = 1 << 19   # of text coded at once
+HELD_ROWS = 1 << 18     # counted windows that a task holds
+TABLE_CELLS = 1 << 21   # code lengths that a worker keeps
 START = b"\n" * ORDER
 UNKNOWN = "und"
 
