@@ -272,7 +272,9 @@ class Index:
         """What the anchors visit next, and the candidates found there.
 
         ``anchors``: block, rid, label, vec, seen, need, top, windows."""
-        plan = self.staging.write(anchors.mapInArrow(
+        # The anchors' files are few: spread the heaps over all cores.
+        spread = anchors.repartition(self.spark.sparkContext.defaultParallelism, "rid")
+        plan = self.staging.write(spread.mapInArrow(
             _planner(self.shared, self.dim, rows),
             "block int, page int, anchor long, cells array<int>, next_seen long, next_bound double"), "plan")
         visits = plan.filter("page >= 0").select("block", "page", "anchor", "cells")
