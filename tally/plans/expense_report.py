@@ -58,13 +58,19 @@ def expense_category_mix(expenses: DataFrame, dim: DataFrame, by: str = "categor
 
 
 def expense_type_summary(expenses: DataFrame, start=None, end=None, location=None) -> DataFrame:
-    """Per type sum and count, plus a TOTAL row over the types, also
-    where there is none. Amount also rendered as currency text."""
+    """Per type sum and count, plus a TOTAL row over all rows, also
+    where there is none. Amount also rendered as currency text.
+
+    One global aggregate: a conditional sum and count for each of the fixed
+    types and one over all rows, read off as rows. No row is expanded for the
+    total and no type is aggregated twice; types without rows are left out."""
     df = ledger_filter(expenses, start, end, location)
-    types = df.groupBy("type").agg(F.sum("grand_total").alias("amount"), F.count("doc_no").alias("count"))
-    total = types.agg(F.sum("amount").alias("amount"), F.coalesce(F.sum("count"), F.lit(0)).alias("count"))
-    agg = types.unionByName(total.withColumn("type", F.lit(TOTAL_LABEL)))
+    entries = ["named_struct('type', '{0}', 'rows', count_if(type = '{0}'), 'count', count(CASE WHEN type = '{0}' THEN doc_no END), "
+               "'amount', sum(CASE WHEN type = '{0}' THEN grand_total END))".format(t) for t in S.EXPENSE_TYPES]
+    entries.append(f"named_struct('type', '{TOTAL_LABEL}', 'rows', 1L, 'count', count(doc_no), 'amount', sum(grand_total))")
+    rows = (df.agg(F.expr(f"array({', '.join(entries)})").alias("rows"))
+            .selectExpr("inline(rows)").filter("rows > 0"))
     amount = F.coalesce(F.col("amount"), F.lit(0).cast(S.MONEY))
-    return agg.select("type", amount.cast("double").alias("total_amount"),
-                      F.concat(F.lit(CURRENCY_SIGN), F.format_number(amount, 2)).alias("total_amount_text"),
-                      F.col("count"))
+    return rows.select("type", amount.cast("double").alias("total_amount"),
+                       F.concat(F.lit(CURRENCY_SIGN), F.format_number(amount, 2)).alias("total_amount_text"),
+                       F.col("count"))
