@@ -103,9 +103,10 @@ def _identities(rows: DataFrame, rid: str, staging: Staging, size: int) -> DataF
         pairs = (cells.filter("n > 1").groupBy("rid", "n", F.expr("idx div 2").alias("idx"))
                  .agg(F.max(F.expr("if(idx % 2 = 0, name, null)")).alias("l"),
                       F.coalesce(F.max(F.expr("if(idx % 2 = 1, name, null)")), F.lit(-1)).alias("r")))
-        # Equal pairs meet in one partition and are sorted there; the number is the name.
-        named = (pairs.select("l", "r").distinct().sortWithinPartitions("l", "r")
-                 .withColumn("name", F.monotonically_increasing_id()))
+        # Equal pairs meet in one partition and are sorted there; the number is the name. Written
+        # first, so that the join has shuffles of its own and a pair that a third of all rows hold is split.
+        named = staging.write(pairs.select("l", "r").distinct().sortWithinPartitions("l", "r")
+                              .withColumn("name", F.monotonically_increasing_id()), "pairs")
         cells = staging.write(pairs.join(named, ["l", "r"])
                               .selectExpr("rid", "(n + 1) div 2 AS n", "idx", "name"), f"level{level}")
         done = done.union(cells.filter("n = 1").selectExpr("rid", f"{level} AS level", "name"))
