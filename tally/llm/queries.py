@@ -31,10 +31,14 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Target weights of the mixing query: unequal, one of nothing, and 1 for every source that is not named.
+MIX_WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 0.5, "src3": 0.0}
+MIX_OTHER = 1.0
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": lambda spark, d: embedding_components(read_table(spark, d, "embeddings")),
     "op2_url_filter": lambda spark, d: judge_urls(read_table(spark, d, "pages")),
-    "op3_mix_sources": lambda spark, d: mix_sources(_documents(spark, d)),
+    "op3_mix_sources": lambda spark, d: mix_sources(_documents(spark, d), MIX_WEIGHTS, other=MIX_OTHER),
     "op4_pii": lambda spark, d: personal_data(_documents(spark, d)),
     "op5_sharding": lambda spark, d: shard(_documents(spark, d)),
     "op6_token_counts": lambda spark, d: token_counts(_documents(spark, d), tokenizer("byte_bpe_50k.json")),
@@ -92,12 +96,13 @@ FROM r
 """,
     "op3_mix_sources": """
 WITH RECURSIVE sizes AS (
-  SELECT source, sum(coalesce(length(text), 0) + 1) AS volume FROM documents GROUP BY source
+  SELECT source, sum(coalesce(length(text), 0) + 1) AS volume,
+         CAST(CASE source WHEN 'src0' THEN 4 WHEN 'src1' THEN 2 WHEN 'src2' THEN 0.5 WHEN 'src3' THEN 0 ELSE 1 END AS DOUBLE) AS weight
+  FROM documents GROUP BY source
 ), rates AS (
-  SELECT source, CAST(1.0 AS DOUBLE) * 1.0 / (SELECT count(*) FROM sizes) * (SELECT sum(volume) FROM sizes) / volume AS rate
-  FROM sizes
+  SELECT source, weight / (SELECT sum(weight) FROM sizes) * (SELECT sum(volume) FROM sizes) / volume AS rate FROM sizes
 ), parts AS (
-  SELECT source, rate, greatest(1, CAST(ceil(rate / 16.0) AS INTEGER)) AS parts FROM rates
+  SELECT source, rate, greatest(1, CAST(ceil(rate / 16.0) AS INTEGER)) AS parts FROM rates WHERE rate > 0
 ), cdf AS (
   SELECT source, 0 AS k, exp(-rate / parts) AS p, exp(-rate / parts) AS c FROM parts
   UNION ALL
