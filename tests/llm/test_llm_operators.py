@@ -4,11 +4,13 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import pairwise
 
 import pytest
+from pyspark.sql import functions as F
 
 from tally.llm import urls
 from tally.llm.mixing import mix_sources, source_rates
@@ -83,6 +85,29 @@ def test_mixing_is_poisson(spark):
     assert {r.source: round(r.rate, 6) for r in source_rates(df).collect()} == {"big": 0.500025, "one": 10000.5}
 
 
+def test_mixing_weights_of_named_and_other_sources(spark):
+    df = docs(spark, [(i, "abc", f"s{i % 4}") for i in range(8000)])
+    rates = {r.source: r.rate for r in source_rates(df, {"s0": 3.0, "s1": 0.0}, other=0.5).collect()}
+    assert rates == pytest.approx({"s0": 3.0, "s1": 0.0, "s2": 0.5, "s3": 0.5})
+    n = Counter(r.source for r in mix_sources(df, {"s0": 3.0, "s1": 0.0}, other=0.5).select("source").collect())
+    assert set(n) == {"s0", "s2", "s3"} and n["s0"] == pytest.approx(6000, rel=0.05)
+
+
+def test_copies_of_a_tiny_source_are_spread_over_tasks(spark):
+    """One document of ten characters at a rate of two million: no task gets
+    nearly all of its copies, and each copy is there once."""
+    df = docs(spark, [(i, "x" * 109_999, "big") for i in range(200)] + [(-1, "y" * 10, "one")]).repartition(8)
+    rate = {r.source: r.rate for r in source_rates(df, growth=2.0).collect()}["one"]
+    assert rate == pytest.approx(2e6, rel=0.01)
+    got = (mix_sources(df, growth=2.0).filter("source = 'one'").groupBy(F.spark_partition_id())
+           .agg(F.count("*").alias("n"), F.sum("copy_").alias("sum"), F.sum(F.col("copy_").cast("long") * F.col("copy_")).alias("squares"),
+                F.max("copies").alias("copies"))).collect()
+    n = sum(r.n for r in got)
+    assert n == pytest.approx(2e6, rel=0.01) and {r.copies for r in got} == {n}
+    assert sum(r.sum for r in got) == n * (n - 1) // 2 and sum(r.squares for r in got) == (n - 1) * n * (2 * n - 1) // 6
+    assert len(got) == 8 and max(r.n for r in got) < n / 4
+
+
 @pytest.mark.parametrize("shards", [1, 4, 16])
 def test_sharding(spark, shards):
     rnd = random.Random(4)
@@ -143,6 +168,113 @@ def test_base_spans_against_brute_force(spark):
     assert all(hashlib.sha256(r.spans.encode()).hexdigest() == r.base_sha256 for r in got)
 
 
+def test_many_matches_in_one_text(spark):
+    """100,000 addresses in one text, between blanks and without: the work is
+    linear, so it takes seconds."""
+    rnd = random.Random(4)
+    rows = [sep.join(".".join(str(rnd.randrange(256)) for _ in range(4)) for _ in range(100_000)) for sep in (" GET\n", " ", "/")]
+    started = time.time()
+    got = {r.doc_id: r for r in personal_data(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert time.time() - started < 120
+    for i, text in enumerate(rows):
+        want = base_spans(text)
+        assert got[i].n_ip == sum(k == 1 for _, k, _ in want) == 100_000
+        assert got[i].base_sha256 == hashlib.sha256(spelled(want).encode()).hexdigest()
+
+
+def test_context_words_of_any_distance_and_length(spark):
+    word = "w" * 500
+    rows = [f"{word} a{i}@b{i}.org" for i in range(9)] + [f"{word}:{' ' * 300}me@localhost", f"{word} you@localhost {'x' * 300}"]
+    got = {r.doc_id: r.spans for r in personal_data(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert got[9] == "email:801:813" and got[10] == "email:501:514"
+
+
+def plain_cut(readings, base):
+    """Pieces of the readings (start, end) without base spans, by their code points."""
+    out = []
+    for a, b in readings:
+        held = [p for p in range(a, b) if not any(s <= p < e for s, e in base)]
+        for p in held:
+            if out and out[-1][2] == (a, b) and out[-1][1] == p and not any(s == p for s, _ in base):
+                out[-1][1] = p + 1
+            else:
+                out.append([p, p + 1, (a, b)])
+    return sorted((a, b) for a, b, _ in out)
+
+
+def test_readings_are_cut_at_base_spans(spark):
+    from tally.llm.pii import ADDRESS, NUMBER, PIECE, _cut
+    rnd = random.Random(6)
+    text = "".join(rnd.choice("abcdefgh") for _ in range(200))
+    for case in range(12):
+        marks = sorted(rnd.sample(range(200), 24))
+        readings = list(zip(marks[::2], marks[1::2]))
+        starts = [rnd.randrange(195) for _ in range(case)]
+        base = [(s, min(200, s + rnd.randrange(1, 12))) for s in starts]
+        rows = [(1, k, a, b, text[a:b], "<", ">") for k in (ADDRESS, NUMBER, PIECE) for a, b in readings]
+        schema = "rid long, kind int, start long, end long, m string, pre string, post string"
+        got = _cut(spark.createDataFrame(rows, schema), spark.createDataFrame(
+            [(1, 0, a, b, text[a:b], "", "") for a, b in base], schema)).collect()
+        for kind in (ADDRESS, NUMBER, PIECE):
+            mine = [r for r in got if r.kind == kind]
+            assert sorted((r.start, r.end) for r in mine) == plain_cut(readings, base)
+            assert all(r.m == text[r.start:r.end] for r in mine)
+            for r in mine:  # what stands beside a piece is the text there
+                left, right = r.pre.removeprefix("<"), r.post.removesuffix(">")
+                assert text[:r.start].endswith(left) and text[r.end:].startswith(right)
+
+
+def plain_rounds(stand, totals, accept):
+    """Scores of (kind, m) as the graph gives them, round by round, in plain Python."""
+    scores = {}
+    while True:
+        held, several = {}, defaultdict(set)
+        for rid, kind, m, seed, side, word, at in stand:
+            score = max(seed, scores.get((kind, m), 0.0))
+            key = (kind, side, word)
+            held[key, rid, at] = max(held.get((key, rid, at), 0.0), score)
+            if score >= accept:
+                several[key].add(m)
+        total = defaultdict(float)
+        for (key, _, _), score in held.items():
+            total[key] += score
+        trust = {key: min(0.999, total[key] / totals[key[2]]) for key in total if len(several[key]) >= 3}
+        new = defaultdict(lambda: 1.0)
+        for kind, m, side, word in {(kind, m, side, word) for _, kind, m, seed, side, word, _ in stand if not seed}:
+            if (kind, side, word) in trust:
+                new[kind, m] *= 1 - trust[kind, side, word]
+        new = {k: 1 - v for k, v in new.items()}
+        if sum(new.values()) - sum(scores.values()) < 1e-3 and len(new) == len(scores):
+            return {k for k, v in new.items() if v >= accept}
+        scores = new
+
+
+def test_scores_of_the_graph_against_plain_python(spark):
+    """Words that stand before seeds and unseen addresses in random texts: the
+    accepted addresses are those of the same graph in plain Python."""
+    rnd = random.Random(8)
+    labels = [f"label{c}" for c in "abcdefghij"]
+    rows = []
+    for i in range(400):
+        label = rnd.choice(labels)
+        seed = rnd.random() < 0.1 + 0.8 * (label < "labele")
+        name = f"u{rnd.randrange(60)}@" + (f"h{i}.org" if seed else "host")
+        rows.append(f"{label} {name}" if rnd.random() < 0.8 else f"{label} none")
+    totals, stand = Counter(w for t in rows for w in re.split("[^a-z0-9]+", t)), []
+    for rid, text in enumerate(rows):
+        label, name = text.split(" ")
+        if "@" in name:
+            stand.append((rid, 0, name, float("." in name), "before", label, len(label)))
+    seen = {w for _, _, _, seed, _, w, _ in stand if not seed}
+    stand = [s for s in stand if s[5] in seen and len({o[2] for o in stand if o[5] == s[5]}) >= 3]
+    accepted = plain_rounds(stand, totals, 0.6)
+    got = personal_data(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    for r in got:
+        name = rows[r.doc_id].split(" ")[1]
+        assert (r.spans != "") == ("." in name or (0, name) in accepted), rows[r.doc_id]
+    assert 0 < len(accepted) < 60
+
+
 def test_contexts_discover_unseen_identifiers(spark):
     rows = [f"contactbox: user{i}@site{i}.org now" for i in range(12)] + ["contactbox: user5@localhost now"]
     rows += [f"telno: +1 555 010 {1000 + i} thanks" for i in range(9)]
