@@ -8,14 +8,16 @@ Search: a fingerprint is cut into segments of three bits; its bit counts per
 segment form a vector. The Manhattan distance of two vectors is a lower
 bound of the bit distance of the fingerprints. On the integer grid, two
 vectors at most ``max_bits`` apart have a common grid point at most half as
-far from both, so each fingerprint joins the grid points around its own
-vector, and only fingerprints that share a grid point with another one go on.
+far from both, so each fingerprint joins the grid points (cells) around its own
+vector; fingerprints meet in the cells that they share, and nowhere else.
 
-Verification is exact and needs no pairs: two fingerprints differ in at most
-``max_bits`` bits if and only if some 64-bit value differs from both in at
-most half as many. All fingerprints that meet at such a value are within
-``max_bits`` of each other, so each is linked to the least of them. A group of
-thousands of near copies then costs its size, not its square.
+Verification inside a cell is exact and needs no pairs: two fingerprints differ
+in at most ``max_bits`` bits if and only if some 64-bit value differs from both in
+at most half as many, and the vector of that value is a cell they share. So a
+fingerprint takes to each shared cell those values whose vector the cell is. All
+fingerprints that meet at one are within ``max_bits`` of each other, and each is
+linked to the least of them. A group of thousands of near copies then costs its
+size, not its square.
 
 Cases: null and empty texts, and texts of white space alone, have the
 fingerprint zero, which links like any other; fewer words than a shingle
@@ -26,8 +28,6 @@ its smallest doc_id, nulls left out. Repeated rows all appear in
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -104,39 +104,46 @@ def _fingerprints(docs: DataFrame, rid: str, size: int) -> DataFrame:
     return texts.mapInArrow(run, schema)
 
 
-def _around(radius: int) -> list[int]:
-    """Packed steps to all grid points at Manhattan distance <= radius."""
-    unit = [sign * BASE ** i for i in range(SEGMENTS) for sign in (1, -1)]
-    steps = {0}
-    for _ in range(radius):
-        steps |= {a + b for a, b in itertools.product(steps, unit)}
-    return sorted(steps)
-
-
-def _masks(radius: int) -> list[int]:
-    masks = {sum(1 << b for b in bits) for r in range(radius + 1) for bits in itertools.combinations(range(64), r)}
-    return sorted(m - (1 << 64) if m >> 63 else m for m in masks)
+def _steps(radius: int) -> list[tuple[int, list[int], bool]]:
+    """The grid points around a vector at Manhattan distance <= radius (0 or 1):
+    the packed step, and what turns a fingerprint into one whose vector is there:
+    masks of single bits, and whether such a bit must be set before."""
+    steps: list[tuple[int, list[int], bool]] = [(0, [0], False)]
+    for i in range(SEGMENTS if radius else 0):
+        bits = [1 << b for b in range(SEGMENT_BITS * i, min(64, SEGMENT_BITS * (i + 1)))]
+        masks = [b - (1 << 64) if b >> 63 else b for b in bits]
+        steps += [(BASE ** i, masks, False), (-BASE ** i, masks, True)]
+    return steps
 
 
-def near_edges(prints: DataFrame, max_bits: int) -> DataFrame:
+def near_edges(prints: DataFrame, max_bits: int, staging: Staging | None = None) -> DataFrame:
     """Edges ``u, v`` that connect exactly the fingerprints (distinct ``fp``)
     that chains of at most ``max_bits`` differing bits connect."""
     if max_bits not in (0, 2):
         raise ValueError("max_bits: 0 or 2")
-    radius = max_bits // 2
+    steps = _steps(max_bits // 2)
     low = (1 << SEGMENT_BITS) - 1
     vector = " + ".join(f"(bit_count(shiftrightunsigned(fp, {SEGMENT_BITS * i}) & {low}) + 1) * {BASE ** i}L"
                         for i in range(SEGMENTS))
-    steps = F.array(*[F.lit(s).cast("long") for s in _around(radius)])
-    cells = (prints.select("fp", F.expr(vector).alias("vec")).select("fp", F.explode(steps).alias("step"), "vec")
-             .select("fp", (F.col("vec") + F.col("step")).alias("cell")))
-    # The merge join keeps a cell with many fingerprints splittable.
-    shared = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("cell").hint("merge")
-    near = cells.join(shared, "cell", "left_semi").select("fp").distinct()
-    masks = F.array(*[F.lit(m).cast("long") for m in _masks(radius)])
-    meet = near.select("fp", F.explode(masks).alias("mask")).selectExpr("fp", "fp ^ mask AS point")
-    least = meet.groupBy("point").agg(F.min("fp").alias("v"), F.max("fp").alias("w")).filter("v <> w")
-    return meet.join(least.select("point", "v"), "point").filter("fp <> v").select(F.col("fp").alias("u"), "v")
+    around = F.posexplode(F.array(*[F.lit(s).cast("long") for s, _, _ in steps])).alias("step", "by")
+    cells = (prints.select("fp", F.expr(vector).alias("vec")).select("fp", around, "vec")
+             .select("fp", "step", (F.col("vec") + F.col("by")).alias("cell")))
+    shared = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("cell")
+    if staging is not None:  # written first, so that the join has shuffles of its own and a hot cell's is split
+        shared = staging.write(shared, "shared")
+    # Range join: fingerprints meet in the cells they share, and nowhere else.
+    met = cells.join(shared.hint("merge"), "cell", "left_semi")
+    masks = F.array(*[F.array(*[F.lit(m).cast("long") for m in ms]) for _, ms, _ in steps])
+    was_set = F.array(*[F.lit(w) for _, _, w in steps])
+    points = (met.select("fp", "cell", F.element_at(was_set, F.col("step") + 1).alias("was"),
+                         F.explode(F.element_at(masks, F.col("step") + 1)).alias("mask"))
+              .filter("((fp & mask) <> 0) = was").selectExpr("fp", "cell", "fp ^ mask AS point"))
+    # Exact check inside a cell: its points one bit from both sides.
+    least = points.groupBy("cell", "point").agg(F.min("fp").alias("v"), F.max("fp").alias("w")).filter("v <> w")
+    least = least.select("cell", "point", "v")
+    if staging is not None:
+        least = staging.write(least, "least")
+    return points.join(least, ["cell", "point"]).filter("fp <> v").select(F.col("fp").alias("u"), "v")
 
 
 def _components(docs: DataFrame, rid: str, staging: Staging, size: int, max_bits: int) -> DataFrame:
@@ -144,7 +151,7 @@ def _components(docs: DataFrame, rid: str, staging: Staging, size: int, max_bits
     rows = staging.write(_fingerprints(docs, rid, size), "prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
     prints = staging.write(rows.groupBy("fp").agg(first), "distinct")
-    linked = components(near_edges(prints.select("fp"), max_bits), staging)
+    linked = components(near_edges(prints.select("fp"), max_bits, staging), staging)
     roots = (prints.join(linked.withColumnRenamed("node", "fp"), "fp", "left")
              .select("fp", F.coalesce("root", "fp").alias("root"), "first"))
     best = roots.groupBy("root").agg(F.min("first").alias("best"))
@@ -152,7 +159,7 @@ def _components(docs: DataFrame, rid: str, staging: Staging, size: int, max_bits
     out = staging.write(rows.join(named, "fp").select(
         "rid", "doc_id", "fp", F.col("best.doc_id").alias("component_id"), F.col("best.rid").alias("kept_rid")),
         "components")
-    staging.drop("prints", "distinct", "edges", "named")
+    staging.drop("prints", "distinct", "shared", "least", "edges", "named")
     return out
 
 

@@ -129,6 +129,22 @@ def test_simhash_close_fingerprints_of_one_group():
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_points_taken_to_a_cell_have_its_vector():
+    """Fingerprints meet in cells only: a point is compared in the one cell that
+    is its vector, and all points one bit away are taken to some cell."""
+    from tally.llm.simhash import BASE, SEGMENT_BITS, SEGMENTS, _steps
+
+    def vector(p):
+        return sum(((p >> SEGMENT_BITS * i & (1 << SEGMENT_BITS) - 1).bit_count() + 1) * BASE ** i for i in range(SEGMENTS))
+    rnd = random.Random(5)
+    for p in [0, (1 << 64) - 1, *(rnd.getrandbits(64) for _ in range(20))]:
+        taken = {(vector(p) + step, p ^ (m % (1 << 64))) for step, masks, was in _steps(1) for m in masks
+                 if bool(p & m % (1 << 64)) == was}
+        assert {point for _, point in taken} == {p, *(p ^ 1 << b for b in range(64))}
+        assert all(vector(point) == cell for cell, point in taken)
+        assert len(taken) == 65 and len({cell for cell, _ in taken}) <= 45
+
+
 def test_simhash_empty(spark):
     assert simhash_components(frame(spark, [])).count() == 0
 
