@@ -3,7 +3,9 @@
 Distinct pre-tokens of a batch are held as one ragged numpy array of symbols.
 In each round every sequence applies its lowest-rank pair at all its places
 at once (from left to right where places overlap); sequences without a
-mergeable pair leave the array, and the symbols that survive are counted.
+mergeable pair leave the array, and the symbols that survive are counted. A
+long sequence (a run of letters without a break) is merged alone, by linked
+symbols and the places of each rank, so that a round costs no more than its merges.
 
 Pre-tokens: a text is first cut before each space that follows a non-space
 character. No pre-token crosses such a cut, so the count of a chunk does not
@@ -17,6 +19,7 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import heapq
 import itertools
 import json
 import re
@@ -34,6 +37,7 @@ LIMIT = 512
 CACHE_ENTRIES = 500_000
 CACHED_CHARS = 64     # longer chunks are counted each time
 GROUP_CHARS = 1 << 21  # text whose chunks are in memory at once
+LONG_SEQUENCE = 1 << 11  # bytes beyond which a sequence's symbols are linked
 LONG_CHARS = 1 << 22   # a longer text is handled in parts
 NONE = np.int64(1 << 40)
 
@@ -76,18 +80,18 @@ class Merger:
     def merge_counts(self, sequences: list[bytes]) -> np.ndarray:
         """Symbols that survive in each non-empty byte sequence."""
         lengths = np.fromiter(map(len, sequences), np.int64, len(sequences))
-        symbols = self.byte_id[np.frombuffer(b"".join(sequences), np.uint8)]
-        owner = np.repeat(np.arange(len(sequences)), lengths)
         counts = np.zeros(len(sequences), np.int64)
+        for i in np.flatnonzero(lengths > LONG_SEQUENCE).tolist():
+            counts[i] = self._merge_long(sequences[i])
+        short = np.flatnonzero(lengths <= LONG_SEQUENCE)
+        symbols = self.byte_id[np.frombuffer(b"".join(sequences[i] for i in short.tolist()), np.uint8)]
+        owner = np.repeat(short, lengths[short])
         while len(symbols):
             first = np.empty(len(symbols), bool)
             first[0], first[1:] = True, owner[1:] != owner[:-1]
             starts = np.flatnonzero(first)
-            pairs = symbols[:-1] * self.width + symbols[1:]
-            at = np.searchsorted(self.keys, pairs)
-            at[at == len(self.keys)] = 0
             rank = np.full(len(symbols), NONE)
-            rank[:-1] = np.where((self.keys[at] == pairs) & ~first[1:], self.ranks[at], NONE)
+            rank[:-1] = np.where(first[1:], NONE, self._rank(symbols[:-1], symbols[1:]))
             lowest = np.minimum.reduceat(rank, starts)
             sizes = np.diff(np.append(starts, len(symbols)))
             over = lowest == NONE
@@ -104,6 +108,62 @@ class Merger:
             symbols, owner = symbols[stay], owner[stay]
         return counts
 
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pairs = left * self.width + right
+        at = np.searchsorted(self.keys, pairs)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == pairs, self.ranks[at], NONE)
+
+    def _merge_long(self, sequence: bytes) -> int:
+        """The same for one long sequence: symbols are linked and places are
+        kept by rank, so a round costs its merges and not the whole array."""
+        symbols = self.byte_id[np.frombuffer(sequence, np.uint8)]
+        n = left = len(symbols)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank = np.full(n, NONE)
+        rank[:-1] = self._rank(symbols[:-1], symbols[1:])
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            places = places[rank[places] != NONE]
+            places = places[np.argsort(rank[places], kind="stable")]
+            of = rank[places]
+            cuts = np.flatnonzero(of[1:] != of[:-1]) + 1
+            for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(places)]):
+                if start < end:
+                    r = int(of[start])
+                    if r not in waiting:
+                        waiting[r] = []
+                        heapq.heappush(ranks, r)
+                    waiting[r].append(places[start:end])
+
+        wait(np.arange(n))
+        while ranks:
+            lowest = heapq.heappop(ranks)
+            at = np.unique(np.concatenate(waiting.pop(lowest)))
+            at = at[rank[at] == lowest]  # not merged away, and still this pair
+            over = after[at[:-1]] == at[1:]
+            if over.any():  # of overlapping places, every other one from the left
+                place = np.arange(len(at))
+                run = np.maximum.accumulate(np.where(np.append(False, over), 0, place))
+                at = at[(place - run) % 2 == 0]
+            gone = after[at]
+            symbols[at] = self.merged[lowest]
+            rank[gone] = NONE
+            after[at] = after[gone]
+            inner = after[at] < n
+            before[after[at[inner]]] = at[inner]
+            left -= len(at)
+            touched = np.unique(np.concatenate([at, before[at]]))
+            touched = touched[touched >= 0]
+            ends = after[touched]
+            rank[touched] = NONE
+            inner = ends < n
+            rank[touched[inner]] = self._rank(symbols[touched[inner]], symbols[ends[inner]])
+            wait(touched)
+        return left
+
     def _learn(self, table: dict[str, int], chunks: set[str], lead: str) -> list[str]:
         """Adds ``chunks`` to ``table``; returns those not to be kept."""
         index: dict[str, int] = {}

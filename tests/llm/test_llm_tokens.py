@@ -1,6 +1,7 @@
 """Token counts and packing against the tokenizer library."""
 
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -52,6 +53,19 @@ def test_long_texts_in_parts(monkeypatch):
         np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(WORDS).encode_batch(rows, add_special_tokens=False)]
 
 
+def test_long_runs_take_seconds():
+    """Runs without a break are counted as the library does, a megabyte in seconds."""
+    library, merger = Tokenizer.from_file(BYTES), Merger(BYTES)
+    rnd = random.Random(5)
+    runs = ["".join(rnd.choice(letters) for _ in range(n)) for letters, n in (
+        ("abcdefghijklmnopqrstuvwxyz", 1_000_000), ("ab", 30_000), ("a", 100_001), ("\u4e2d\u6587\u00e9a", 50_000),
+        ("ACGT", 200_000), ("=-", 30_000), ("0123456789", 50_000), ("th", 2049), ("e", 2048))]
+    started = time.time()
+    got = merger.count(runs)
+    assert time.time() - started < 60
+    assert got == [len(library.encode(r, add_special_tokens=False).ids) for r in runs]
+
+
 def test_merge_order_of_equal_neighbours():
     library, merger = Tokenizer.from_file(BYTES), Merger(BYTES)
     words = ["a" * n for n in range(1, 40)] + ["ab" * 9, "!" * 33, "=" * 70, "-" * 257]
