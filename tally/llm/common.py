@@ -79,7 +79,15 @@ def keep_rows(rows: DataFrame, rid: str, dropped: DataFrame) -> DataFrame:
     return rows.join(gone, rows[rid] == gone["gone_row__"], "left_anti").drop(rid)
 
 
-def gapless_rank(df: DataFrame, keys: list[str], spread: str, slices: int = 64) -> DataFrame:
+SLICES, SLICE_ROWS = 64, 1 << 20  # of a ranked group: this many, or as many as have about so many rows
+
+
+def slices_for(most: int) -> int:
+    """Slices for groups of at most ``most`` rows, so that no window is larger than about ``SLICE_ROWS``."""
+    return max(SLICES, -(-most // SLICE_ROWS))
+
+
+def gapless_rank(df: DataFrame, keys: list[str], spread: str, slices: int = SLICES) -> DataFrame:
     """Add ``rank`` (long, gapless from 0 in each group of ``keys``).
 
     A group is cut into ``slices`` by a hash of the unique column ``spread``,

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .common import PARTITION_BITS, Staging, gapless_rank, per_worker
+from .common import PARTITION_BITS, Staging, gapless_rank, per_worker, slices_for
 from .token_counts import LONG_CHARS, groups_of, parts_of
 
 CAPACITY = 2048
@@ -218,5 +218,5 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:5], pa.array(run[:, 2] + rank - run[:, 1]), pa.array(run[:, 3])], names=schema.names)
 
-    ranked = gapless_rank(cut, ["length"], "key").select(*cut.columns[:5], "rank")
+    ranked = gapless_rank(cut, ["length"], "key", slices_for(max(counts.values(), default=0))).select(*cut.columns[:5], "rank")
     return ranked.mapInArrow(place, schema)

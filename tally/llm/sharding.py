@@ -15,7 +15,8 @@ rows is ranked by many tasks.
 
 Cases: null and empty texts have size 1 and checksum 0; a null doc_id hashes
 like any value; rows with one doc_id start at one arc and overflow like any
-others; equal texts are not kept together; extra columns are ignored. An empty
+others; equal texts are not kept together (a text that a third of all rows hold
+would begin at one point and move through all shards when one is added); extra columns are ignored. An empty
 table gives an empty result.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from .common import Staging, gapless_rank
+from .common import Staging, gapless_rank, slices_for
 
 SHARDS = 16
 NODES = 64
@@ -122,5 +123,5 @@ def shard(docs: DataFrame, shards: int = SHARDS, nodes: int = NODES, slack: floa
                 [*batch.columns[:3], pa.array([law] * n, pa.string()), pa.array(span[:, 2].astype(np.int32)),
                  pa.array(span[:, 3] + rank - span[:, 1]), pa.nulls(n, pa.int32())], names=out.names)
 
-    ranked = gapless_rank(keyed, ["arc"], "row").select("doc_id", "size", "text_crc32", "arc", "rank")
+    ranked = gapless_rank(keyed, ["arc"], "row", slices_for(max(counts.values(), default=0))).select("doc_id", "size", "text_crc32", "arc", "rank")
     return ranked.mapInArrow(place, out)

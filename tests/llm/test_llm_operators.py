@@ -124,6 +124,44 @@ def test_sharding(spark, shards):
     assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_walk_places_keys_as_one_by_one(seed):
+    """The walk over counts of arcs against single keys that go round the ring."""
+    from tally.llm.sharding import capacities, ring, walk
+    rnd = random.Random(seed)
+    shards, nodes = rnd.choice([(1, 3), (3, 4), (5, 8)])
+    points = ring(shards, nodes)
+    counts = {a: rnd.choice([1, 2, 30, 200]) for a in rnd.sample(range(len(points)), rnd.randrange(1, len(points) + 1))}
+    room = capacities(sum(counts.values()), shards, rnd.choice([0.0, 0.2]))
+    got = {}
+    for arc, rank, to, slot in walk(counts, points, room).tolist():
+        after = [r for a, r, *_ in walk(counts, points, room).tolist() if a == arc and r > rank]
+        for i in range(rank, min(after, default=counts[arc])):
+            got[arc, i] = (to, slot + i - rank)
+    left, used, want = list(room), [0] * shards, {}
+    waiting = [(arc, i, arc) for arc in sorted(counts) for i in range(counts[arc])]
+    while waiting:
+        refused = []
+        for arc, i, at in waiting:
+            to = points[at][1]
+            if left[to]:
+                want[arc, i] = (to, used[to])
+                left[to] -= 1
+                used[to] += 1
+            else:
+                refused.append((arc, i, at))
+        waiting = []
+        for arc, i, at in refused:  # clockwise to the next point of a shard with room
+            onward = next((at + k) % len(points) for k in range(1, len(points) + 1) if left[points[(at + k) % len(points)][1]])
+            waiting.append((arc, i, onward))
+    assert got == want
+
+
+def test_slices_of_a_hot_group():
+    from tally.llm.common import SLICE_ROWS, SLICES, slices_for
+    assert slices_for(0) == slices_for(SLICE_ROWS) == SLICES and slices_for(SLICE_ROWS * 1000 + 1) == 1001
+
+
 def test_sharding_moves_little_and_empty(spark):
     df = docs(spark, [(i, "t", "s") for i in range(8000)])
     before, after = ({r.doc_id: r.shard for r in shard(df, n).collect()} for n in (16, 17))
