@@ -60,9 +60,9 @@ def _fixed_sql(table: dict, idx: int) -> str:
         for (section, _, kind), v in table.items()) + " END"
 
 
-def _line_rows(long: DataFrame, fixed: dict, section_no: dict[str, int], item_indent: str,
-               sub_indent: str, with_subheaders: bool) -> DataFrame:
-    """Every long row becomes its statement line (section_no, block, sort
+def _line_rows(fixed: dict, section_no: dict[str, int], item_indent: str, sub_indent: str,
+               with_subheaders: bool) -> str:
+    """SQL of the array of statement lines that a long row becomes (section_no, block, sort
     keys, label, role); with ``with_subheaders`` each category line also
     yields its category's subheader row (amount null), so subheaders come
     out of the same aggregate as the lines instead of a second pass.
@@ -88,30 +88,30 @@ def _line_rows(long: DataFrame, fixed: dict, section_no: dict[str, int], item_in
             f"'group_key', {group_key}, 'direct_last', -1, 'sort_name', '', "
             f"'item_label', concat('  ', item), 'role', 'is_subheader', "
             f"'period', CAST(NULL AS STRING), 'amount', CAST(NULL AS DOUBLE)) END")
-    return (long.selectExpr(f"explode(array({', '.join(entries)})) AS l")
-                .filter("l IS NOT NULL").selectExpr("l.*"))
+    return f"array_compact(array({', '.join(entries)}))"
 
 
 def _statement(long: DataFrame, params: ReportParams, fixed, headers, section_no, item_indent, sub_indent,
                subheaders: bool) -> DataFrame:
-    lines = _line_rows(long, fixed, section_no, item_indent, sub_indent, subheaders)
-    lines = lines.filter(F.col("section_no").isNotNull())
+    """The whole step is one SQL query over the report: the report's plan is
+    large, and each DataFrame call on top of it would have it checked again."""
+    lines = _line_rows(fixed, section_no, item_indent, sub_indent, subheaders)
     periods = params.period_labels()
-    keys = ["section_no", "block", "group_key", "direct_last", "sort_name", "item_label", "role"]
+    keys = "section_no, block, group_key, direct_last, sort_name, item_label, role"
     # One aggregate: a conditional sum per period label (fixed, ≤ 13 columns).
-    wide = lines.groupBy(*keys).agg(*[
-        F.expr(f"sum(CASE WHEN period = '{p}' THEN amount END)").alias(p) for p in periods])
-    spark = long.sparkSession
-    head = spark.createDataFrame(
-        [(s, b, None, 0, "", label, role) for s, b, label, role in headers],
-        "section_no int, block int, group_key string, direct_last int, sort_name string, item_label string, role string")
-    head = head.select("*", *[F.lit(None).cast("double").alias(p) for p in periods])
-    wide = wide.unionByName(head)
-    roles = [F.array_contains(F.split("role", " "), r).alias(r) for r in ROLE_COLUMNS]
-    return wide.select(
-        F.col("section_no").cast("int").alias("section_no"), F.col("block").cast("int").alias("block"),
-        F.col("group_key"), F.col("direct_last").cast("int").alias("direct_last"), F.col("sort_name"),
-        F.col("item_label").alias("item"), *roles, *[F.col(f"`{p}`").cast("double").alias(p) for p in periods])
+    sums = ", ".join(f"sum(CASE WHEN period = '{p}' THEN amount END) AS `{p}`" for p in periods)
+    blank = ", ".join("CAST(NULL AS DOUBLE)" for _ in periods)
+    heads = ", ".join(f"({s}, {b}, CAST(NULL AS STRING), 0, '', {_sql_value(label)}, '{role}')" for s, b, label, role in headers)
+    roles = ", ".join(f"array_contains(split(role, ' '), '{r}') AS {r}" for r in ROLE_COLUMNS)
+    return long.sparkSession.sql(f"""
+        WITH line AS (SELECT inline({lines}) FROM {{long}}),
+        every AS (
+          SELECT {keys}, {sums} FROM line WHERE section_no IS NOT NULL GROUP BY {keys}
+          UNION ALL SELECT {keys}, {blank} FROM VALUES {heads} AS head({keys}))
+        SELECT CAST(section_no AS INT) AS section_no, CAST(block AS INT) AS block, group_key,
+               CAST(direct_last AS INT) AS direct_last, sort_name, item_label AS item, {roles},
+               {', '.join(f'`{p}`' for p in periods)}
+        FROM every""", long=long)
 
 
 def statement_order() -> list[Column]:
