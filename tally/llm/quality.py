@@ -4,10 +4,11 @@ Two generative models of hashed n-grams are counted: the target's over
 labelled good documents, the raw one over all documents. A document's log
 weight is the sum over its n-grams of log(target / raw), and documents are
 sampled without replacement by Gumbel top-k: the k largest sums of log weight
-(over a temperature) and a hash-seeded Gumbel number.
+and a hash-seeded Gumbel number, which draws k documents with probabilities in
+proportion to their weights.
 
-N-grams: words and punctuation runs (one-grams), and pairs of adjacent word
-classes (two-grams); a class is the case or kind of a word, or the punctuation
+N-grams: words and punctuation runs (one-grams), pairs of adjacent ones, and
+pairs of adjacent word classes (two-grams); a class is the case or kind of a word, or the punctuation
 run itself, and whether the word repeats the one before it.
 
 The target model and the cut are fitted on at most ``fit_rows`` labelled rows,
@@ -41,11 +42,12 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from .common import Staging, keep_rows, per_worker, with_row_ids
 from .token_counts import groups_of
 
-BUCKETS = 1 << 12  # for words, and as many for pairs of classes
+BUCKETS = 1 << 12  # for words, as many for pairs of classes and as many for pairs of words
+GRAMS = 3          # kinds of n-grams
+PRIME = (1 << 31) - 1
 FIT_ROWS = 20_000
 PRIOR = 100_000.0  # n-grams of the raw model mixed into the target model
 SEED = 11
-TEMPERATURE = 0.1  # weights count to the power 1 / temperature
 GROUP_CHARS = 1 << 21
 CACHE_ENTRIES = 500_000
 CUT_STEPS = 64  # of the cut's grid, per unit of log(1 + |weight|)
@@ -86,21 +88,22 @@ class Features(dict):
         inner = owner[1:] == owner[:-1]
         kind[1:] += inner & (word[1:] == word[:-1])
         pair = (kind[:-1] * 7919 + kind[1:] + 17) * 2654435761 % 4294967291
-        return (np.concatenate([word % buckets, buckets + pair[inner] % buckets]),
-                np.concatenate([owner, owner[1:][inner]]))
+        both = (word[:-1] * 7919 + word[1:]) % PRIME * 48271 % PRIME
+        return (np.concatenate([word % buckets, buckets + pair[inner] % buckets, 2 * buckets + both[inner] % buckets]),
+                np.concatenate([owner, owner[1:][inner], owner[1:][inner]]))
 
 
 def _counts(texts: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Raw and target counts by bucket; ``texts`` has text and good (0/1)."""
     def run(batches):
-        features, totals = per_worker(("features",), Features), np.zeros((2, 2 * buckets), np.int64)
+        features, totals = per_worker(("features",), Features), np.zeros((2, GRAMS * buckets), np.int64)
         for batch in batches:
             texts, good = [t or "" for t in batch.column(0).to_pylist()], np.array(batch.column(1).to_pylist(), bool)
             at = 0
             for group in groups_of(texts, GROUP_CHARS):
                 grams, owner = features.grams(group, buckets)
-                totals[0] += np.bincount(grams, minlength=2 * buckets)
-                totals[1] += np.bincount(grams[good[at:at + len(group)][owner]], minlength=2 * buckets)
+                totals[0] += np.bincount(grams, minlength=GRAMS * buckets)
+                totals[1] += np.bincount(grams[good[at:at + len(group)][owner]], minlength=GRAMS * buckets)
                 at += len(group)
         seen = np.flatnonzero(totals[0])
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(totals[0][seen]), pa.array(totals[1][seen])],
@@ -108,7 +111,7 @@ def _counts(texts: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
     rows = (texts.mapInArrow(run, "bucket long, raw long, target long")
             .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))).collect()
-    totals = np.zeros((2, 2 * buckets), np.int64)  # at most one row per bucket came back
+    totals = np.zeros((2, GRAMS * buckets), np.int64)  # at most one row per bucket came back
     for r in rows:
         totals[:, r["bucket"]] = r["raw"], r["target"]
     return totals[0], totals[1]
@@ -123,7 +126,7 @@ def _scores(texts: DataFrame, ratio: np.ndarray) -> DataFrame:
         for batch in batches:
             weights = []
             for group in groups_of([t or "" for t in batch.column(0).to_pylist()], GROUP_CHARS):
-                grams, owner = features.grams(group, len(ratio) // 2)
+                grams, owner = features.grams(group, len(ratio) // GRAMS)
                 weights.append(np.bincount(owner, weights=ratio[grams], minlength=len(group)))
             values = np.concatenate(weights) if weights else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(values)], names=schema.names)
@@ -213,7 +216,7 @@ def _judge(rows: DataFrame, rid: str, labels: DataFrame, staging: Staging, k: in
     ratio = np.log((target + PRIOR * share) / (target.sum() + PRIOR)) - np.log(share)
     uniform = (F.expr(f"shiftrightunsigned(xxhash64({seed}, doc_id), 11)").cast("double") + 0.5) / F.lit(2.0 ** 53)
     scored = staging.write(_scores(labelled.select("text", "rid", "doc_id", "good", "fits"), ratio)
-                           .withColumn("key", F.col("log_weight") / TEMPERATURE - F.log(-F.log(uniform))), "scored")
+                           .withColumn("key", F.col("log_weight") - F.log(-F.log(uniform))), "scored")
     if k is None:
         cut = _best_cut(scored) if target.any() else -np.inf
         k = scored.filter(F.col("log_weight") > F.lit(cut)).count()

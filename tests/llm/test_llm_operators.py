@@ -437,7 +437,9 @@ def test_quality_against_plain_python(spark):
         tokens = re.findall(r"\w+|[^\w\s]+", text)
         kinds = [2 * kind(t) + (i > 0 and tokens[i - 1] == t) for i, t in enumerate(tokens)]
         return [zlib.crc32(t.encode()) % 4096 for t in tokens] + \
-            [4096 + (a * 7919 + b + 17) * 2654435761 % 4294967291 % 4096 for a, b in zip(kinds, kinds[1:])]
+            [4096 + (a * 7919 + b + 17) * 2654435761 % 4294967291 % 4096 for a, b in zip(kinds, kinds[1:])] + \
+            [8192 + (zlib.crc32(a.encode()) * 7919 + zlib.crc32(b.encode())) % (2 ** 31 - 1) * 48271 % (2 ** 31 - 1) % 4096
+             for a, b in zip(tokens, tokens[1:])]
 
     raw, target, good = Counter(), Counter(), {i for i, q in labels if q and i in fits}
     for i, text, _ in rows:
@@ -446,10 +448,10 @@ def test_quality_against_plain_python(spark):
     n_raw, n_target = sum(raw.values()), sum(target.values())
 
     def ratio(b):
-        share = (raw[b] + 1) / (n_raw + 8192)
+        share = (raw[b] + 1) / (n_raw + 3 * 4096)
         return math.log((target[b] + 100_000 * share) / (n_target + 100_000)) - math.log(share)
     weights = {i: sum(map(ratio, grams(text))) for i, text, _ in rows}
-    keys = {i: w / 0.1 - math.log(-math.log(((hashes[i] % 2 ** 64 >> 11) + 0.5) / 2 ** 53)) for i, w in weights.items()}
+    keys = {i: w - math.log(-math.log(((hashes[i] % 2 ** 64 >> 11) + 0.5) / 2 ** 53)) for i, w in weights.items()}
     best = set(sorted(keys, key=keys.get)[-150:])
     for r in importance_weights(docs(spark, rows), known, k=150).collect():
         assert r.log_weight == pytest.approx(weights[r.doc_id], abs=1e-6)
