@@ -399,7 +399,10 @@ def test_quality_held_out(spark):
     out = importance_weights(docs(spark, rows + more), known).collect()
     assert len(out) == len(rows) + len(more)
     truth = dict(labels)
-    assert all(r.kept == bool(truth[r.doc_id]) for r in out if r.doc_id in truth)
+    # The weights tell good from bad; the draw goes against them for hardly any text, and those near the cut.
+    assert min(r.log_weight for r in out if truth.get(r.doc_id) == 1) > max(r.log_weight for r in out if truth.get(r.doc_id) == 0)
+    against = [r for r in out if r.doc_id in truth and r.kept != bool(truth[r.doc_id])]
+    assert len(against) <= 4 and all(abs(r.log_weight) < 10 for r in against)
     assert all(r.log_weight == 0 for r in out if r.doc_id in (1000, 1001))
     kept = keep_resampled(docs(spark, rows + more), known)
     assert kept.columns == docs(spark, []).columns and kept.count() == sum(r.kept for r in out)
