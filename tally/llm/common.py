@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import types
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,11 @@ class Staging:
     later step reads it.
     """
 
+    made: list[list[Staging]] = []  # by open ``scratch`` blocks, those made inside
+
     def __init__(self, spark: SparkSession, label: str):
+        for block in Staging.made:
+            block.append(self)
         self.spark = spark
         self.root = shared_path(spark, "tally-llm", f"{label}-{uuid.uuid4().hex}")
         self.count = 0
@@ -46,6 +51,17 @@ class Staging:
                 target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextmanager
+def scratch():
+    """Removes at its end whatever was staged by operators called inside."""
+    Staging.made.append([])
+    try:
+        yield
+    finally:
+        for staging in Staging.made.pop():
+            staging.drop(*list(staging.live))
+
+
 def per_worker(key: tuple, make):
     """``make()``, once per Python worker process and kept between its tasks."""
     store = sys.modules.setdefault("tally_worker_store", types.ModuleType("tally_worker_store")).__dict__

@@ -38,6 +38,16 @@ def test_staged_tables_are_replaced_and_dropped(spark):
     assert os.listdir(folder) == []
 
 
+def test_scratch_removes_what_was_staged_inside(spark):
+    from tally.llm.common import scratch
+    outer = Staging(spark, "t")
+    with scratch():
+        inner = Staging(spark, "t")
+        kept = outer.write(inner.write(spark.range(4), "a").selectExpr("id * 2 AS x"), "b")
+        assert os.listdir(inner.root.removeprefix("file:"))
+    assert os.listdir(inner.root.removeprefix("file:")) == [] and sorted(r.x for r in kept.collect()) == [0, 2, 4, 6]
+
+
 def test_row_ids_do_not_clash(spark):
     df = spark.createDataFrame([(1, 2)], "ROW_ID__ int, row_id___ int")
     rows, rid = with_row_ids(df, Staging(spark, "t"))

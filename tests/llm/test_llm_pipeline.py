@@ -75,9 +75,10 @@ def test_mix_stage(stages):
     volume = Counter()
     for r in stages[3]:
         volume[r.source] += len(r.text or "") + 1
+    weights = {s: corpus_pipeline.SOURCE_WEIGHTS.get(s, corpus_pipeline.OTHER_WEIGHT) for s in volume}
     want = Counter()
     for r in stages[3]:
-        rate = sum(volume.values()) / len(volume) / volume[r.source]
+        rate = weights[r.source] / sum(weights.values()) * sum(volume.values()) / volume[r.source]
         parts = max(1, math.ceil(rate / 16))
         for part in range(1, parts + 1):
             u = int(hashlib.md5(f"5:{r.doc_id}:{part}".encode()).hexdigest()[:13], 16) / 2 ** 52
@@ -115,3 +116,48 @@ def test_packing_stage(stages):
 def test_run_is_the_stages(spark, stages):
     got = corpus_pipeline.run(spark, SF).collect()
     assert Counter(tuple(r)[:5] for r in got) == Counter(tuple(r)[:5] for r in stages[5])
+
+
+CLASHING = ("doc_id long, text string, lang string, source string, n_chars long, row_id__ string, rid long, fp string, "
+            "COPY int, rate string, order__ int, length int, n__ int, good int")
+
+
+def odd_documents():
+    """Nulls in every column, empty and very long texts, ties and repeated rows."""
+    extra = ("r", 1, "f", 2, "s", 3, 4, 5, 6)
+    rows = [(i, f"word{i} of a plain text, number {i} of many.", "en", "a" if i % 3 else "b", 10, *extra) for i in range(12)]
+    rows += [(None,) * 14, (20, None, None, None, None, *extra), (21, "", "en", "a", 0, *extra), (22, " \n", "en", "c", 2, *extra),
+             (23, "long word " * 30_000, "en", "a", 300_000, *extra), (24, "x" * 9000, "en", None, 9000, *extra)]
+    return rows + rows[:2] + rows[12:14]
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    for name, rows in (("odd", odd_documents()), ("empty", [])):
+        docs = spark.createDataFrame(rows, CLASHING)
+        columns = docs.columns
+        for step, (stage, function) in enumerate(corpus_pipeline.STAGES):
+            function(spark, docs, SF).write.parquet(str(tmp_path / name / stage))
+            docs = spark.read.parquet(str(tmp_path / name / stage))
+            if step < 4:
+                assert docs.columns == columns
+            kept = docs.collect()
+            if not rows:
+                assert kept == []
+            elif stage in ("exact_dedup", "simhash_near_dedup"):
+                texts = [r.text or "" for r in kept]
+                assert len(texts) == len(set(texts)) and set(texts) <= {r[1] or "" for r in rows}
+        if rows:
+            assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(docs.columns)
+            assert all(0 < r.length <= 2048 and r.offset + r.length <= 2048 for r in kept)
+
+
+def test_run_leaves_only_its_last_tables(spark):
+    import os
+
+    from tally.session import shared_path
+    folder = shared_path(spark, "tally-llm").removeprefix("file:")
+    before = set(os.listdir(folder))
+    corpus_pipeline.run(spark, SF)
+    left = [(f, t) for f in set(os.listdir(folder)) - before for t in os.listdir(f"{folder}/{f}")]
+    assert {f.split("-")[0] for f, _ in left} == {"pipeline", "packing"}
+    assert sorted(t.split("-", 1)[1] for f, t in left if f.startswith("pipeline")) == ["source_mix"]
