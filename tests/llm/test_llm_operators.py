@@ -202,7 +202,8 @@ def test_base_spans_against_brute_force(spark):
                                               "doc_id long, text string, spans string, kind int")).collect()
     want = [(i, *[sum(s[1] == k for s in base_spans(t)) for k in range(4)],
              hashlib.sha256(spelled(base_spans(t)).encode()).hexdigest()) for i, t in rows]
-    assert sorted([tuple(r)[:-1] for r in got], key=str) == sorted(want, key=str)
+    assert sorted([tuple(r)[:6] for r in got], key=str) == sorted(want, key=str)
+    assert all(r.n_spans == sum(r[1:5]) and r.personal == (r.n_spans > 0) for r in got)
     assert all(hashlib.sha256(r.spans.encode()).hexdigest() == r.base_sha256 for r in got)
 
 
