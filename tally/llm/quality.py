@@ -128,7 +128,7 @@ def _scores(texts: DataFrame, ratio: np.ndarray) -> DataFrame:
             for group in groups_of([t or "" for t in batch.column(0).to_pylist()], GROUP_CHARS):
                 grams, owner = features.grams(group, len(ratio) // GRAMS)
                 weights.append(np.bincount(owner, weights=ratio[grams], minlength=len(group)))
-            values = np.concatenate(weights) if weights else np.zeros(0)
+            values = np.concatenate([np.zeros(0), *weights])  # doubles, also where no text has an n-gram
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(values)], names=schema.names)
     return texts.mapInArrow(run, schema)
 
