@@ -63,12 +63,14 @@ def scratch():
 
 
 def per_worker(key: tuple, make):
-    """``make()``, once per Python worker process and kept between its tasks."""
+    """``make()``, once per Python worker process and kept between its tasks,
+    until another key is asked for: a worker holds the table of one operator."""
     store = sys.modules.setdefault("tally_worker_store", types.ModuleType("tally_worker_store")).__dict__
-    name = repr(key)
-    if name not in store:
-        store[name] = make()
-    return store[name]
+    held = store.setdefault("held", {})
+    if key not in held:
+        held.clear()
+        held[key] = make()
+    return held[key]
 
 
 def fresh(df: DataFrame, name: str) -> str:

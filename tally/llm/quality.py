@@ -48,8 +48,8 @@ PRIME = (1 << 31) - 1
 FIT_ROWS = 20_000
 PRIOR = 100_000.0  # n-grams of the raw model mixed into the target model
 SEED = 11
-GROUP_CHARS = 1 << 21
-CACHE_ENTRIES = 500_000
+GROUP_CHARS = 1 << 19
+CACHE_ENTRIES = 200_000
 CUT_STEPS = 64  # of the cut's grid, per unit of log(1 + |weight|)
 
 

@@ -53,3 +53,16 @@ def test_row_ids_do_not_clash(spark):
     rows, rid = with_row_ids(df, Staging(spark, "t"))
     assert rid not in df.columns and rows.columns == [*df.columns, rid]
     assert fresh(df, "other") == "other"
+
+
+def test_a_worker_holds_one_table():
+    from tally.llm.common import per_worker
+    made = []
+
+    def make(x):
+        made.append(x)
+        return [x]
+    first = per_worker(("a", 1), lambda: make("a"))
+    assert per_worker(("a", 1), lambda: make("never")) is first
+    assert per_worker(("b",), lambda: make("b")) == ["b"] and per_worker(("a", 1), lambda: make("c")) == ["c"]
+    assert made == ["a", "b", "c"]
