@@ -94,13 +94,15 @@ def write_raw_ledger(df: DataFrame, path: str, fmt: str = "csv") -> None:
         w.parquet(path)
 
 
-def write_raw_lines(lines: DataFrame, path: str, header: str | None, files: int) -> None:
+def write_raw_lines(lines: DataFrame, path: str, header: str | None) -> None:
     """Write an export from finished text lines (column ``line``), each file
-    under the header line if there is one."""
-    spread = lines.select(F.pmod(F.xxhash64("line"), F.lit(files)).cast("int").alias("file"), F.lit(1).alias("order"), "line")
+    under the header line if there is one. Every task writes the lines it has as
+    a file, so the files grow in number with the export, not in size."""
+    text = F.col("line")
     if header is not None:
-        heads = lines.sparkSession.range(files).select(F.col("id").cast("int").alias("file"), F.lit(0).alias("order"),
-                                                       F.lit(header).alias("line"))
-        spread = spread.unionByName(heads)
-    (spread.repartitionById(files, F.col("file")).sortWithinPartitions("order").select("line")
-     .write.mode("overwrite").text(path))
+        # A file of the header alone, for an export without lines.
+        lines.sparkSession.range(0, 1, 1, 1).select(F.lit(header).alias("line")).write.mode("overwrite").text(path)
+        first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0  # of its task
+        text = F.when(first, F.concat(F.lit(header + "\n"), text)).otherwise(text)
+    (lines.select(text.alias("line")).write.mode("overwrite" if header is None else "append")
+     .option("maxRecordsPerFile", 0).text(path))
