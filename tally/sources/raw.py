@@ -94,10 +94,11 @@ def write_raw_ledger(df: DataFrame, path: str, fmt: str = "csv") -> None:
         w.parquet(path)
 
 
-def write_raw_lines(lines: DataFrame, path: str, header: str | None) -> None:
+def write_raw_lines(lines: DataFrame, path: str, header: str | None, compression: str = "none") -> None:
     """Write an export from finished text lines (column ``line``), each file
     under the header line if there is one. Every task writes the lines it has as
-    a file, so the files grow in number with the export, not in size."""
+    a file, so the files grow in number with the export, not in size. A
+    ``compression`` that readers know by its ending (gzip) makes a file one task's."""
     text = F.col("line")
     if header is not None:
         # A file of the header alone, for an export without lines.
@@ -105,4 +106,4 @@ def write_raw_lines(lines: DataFrame, path: str, header: str | None) -> None:
         first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0  # of its task
         text = F.when(first, F.concat(F.lit(header + "\n"), text)).otherwise(text)
     (lines.select(text.alias("line")).write.mode("overwrite" if header is None else "append")
-     .option("maxRecordsPerFile", 0).text(path))
+     .option("maxRecordsPerFile", 0).option("compression", compression).text(path))
