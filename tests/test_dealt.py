@@ -76,7 +76,7 @@ def test_more_buckets_than_files_allow_are_shuffled_first(spark, monkeypatch):
     assert len(files) <= dealt.buckets
 
 
-@pytest.mark.parametrize("name", ["sync_expenses", "sync_actions", "sync_counts", "net_position"])
+@pytest.mark.parametrize("name", ["sync_expenses", "sync_actions", "sync_counts", "net_position", "batch_dedupe"])
 def test_merge_shuffles_no_ledger_rows(spark, name):
     df = REGISTRY[name].build(spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
