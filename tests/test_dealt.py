@@ -101,3 +101,7 @@ def test_a_json_export_is_compressed(spark):
     assert sum(os.path.getsize(f"{path}/{f}") for f in os.listdir(path)) < 5000 * 20
     back = read_raw_ledger(spark, path, "json", "expenses")
     assert back.agg(F.count("supplier"), F.sum("_pos")).first()[:] == (5000, 4999 * 2500)
+    at = set(os.listdir(top)) if os.path.isdir(top := shared_path(spark, "tally-exports").removeprefix("file:")) else set()
+    REGISTRY["read_raw_json"].build(spark, SF)
+    [made] = set(os.listdir(top)) - at
+    assert all(f.endswith(".gz") for f in os.listdir(f"{top}/{made}") if f.startswith("part-"))
