@@ -8,12 +8,15 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
+from tally import schemas as S
 from tally.operators.sync import dedupe_batch
 from tally.plans.catalog import REGISTRY, _sync
+from tally.plans.sync import publish_batches
 from tally.session import shared_path
 from tally.sources import fixtures as FX
 from tally.sources.dealt import Dealt
 from tally.sources.raw import read_raw_ledger, write_raw_lines
+from tally.sources.snapshot import SnapshotStore
 
 SF = "/root/testdata/sf0.001"
 
@@ -105,3 +108,52 @@ def test_a_json_export_is_compressed(spark):
     REGISTRY["read_raw_json"].build(spark, SF)
     [made] = set(os.listdir(top)) - at
     assert all(f.endswith(".gz") for f in os.listdir(f"{top}/{made}") if f.startswith("part-"))
+
+
+def _income(spark, rows):
+    """(row_id, doc_date, amount) in export order."""
+    cells = {"row_id": 0, "doc_date": 1, "amount": 2}
+    raw = [(n, *[r[cells[c]] if c in cells else "Paid" if c == "status" else "0" if c in S.MONEY_FIELDS else "x"
+                 for c in S.INCOME_RAW_COLUMNS]) for n, r in enumerate(rows)]
+    return spark.createDataFrame(raw, "_pos long, " + ", ".join(f"{c} string" for c in S.INCOME_RAW_COLUMNS))
+
+
+def test_a_dealt_publish_is_the_plain_one(spark):
+    """Skips, updates, a row that moves into a month the batch has no other ids of, one
+    that leaves its month empty, a repeat and inserts; then a batch that changes nothing."""
+    first = [(str(k), f"0{1 + k % 4}/0{1 + k % 3}/2025", str(k)) for k in range(12)] + [("x", "01/07/2025", "1"), ("y", "01/08/2025", "2")]
+    second = [("0", "01/01/2025", "0"), ("3", "01/01/2025", "99"), ("x", "05/08/2025", "1"), ("new", "05/09/2025", "7"),
+              ("4", "01/01/2025", "4"), ("3", "04/01/2025", "98"), ("older", "05/03/2025", "7")]
+    got = []
+    for deal in (False, True):
+        store = SnapshotStore(spark, tempfile.mkdtemp(prefix="tally-publish-"))
+        made, told = [], []
+        for n, rows in enumerate((first, second, second)):
+            dealt = Dealt(spark, SF, "lineitem") if deal else None
+            made.append(dealt)
+            summary = publish_batches(store, {"income": _income(spark, rows)}, f"2025-0{n + 1}-01 00:00:00", "2025-01-01",
+                                      dealt=dealt, raw_is_read=lambda: told.append(n))
+            got.append((_rows(store.read("income")), summary, store.latest()[1]["income"].parts.keys()))
+        assert told == [0, 1, 2]
+        assert not any(os.listdir(d.root.removeprefix("file:")) for d in made if d)
+    assert got[:3] == got[3:] and got[4][1]["income_update"] == 3 and got[4][1]["income_insert"] == 2
+    assert got[5][1]["income_skip"] == 6 and len(got[5][0]) == 16
+
+
+def test_a_dealt_publish_shuffles_no_rows_by_month(spark, monkeypatch):
+    """What is written by month has no exchange over it, and nothing is staged a second time."""
+    plans = []
+    write = SnapshotStore.write
+
+    def seen(self, name, df, *a, **b):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString(), b))
+        return write(self, name, df, *a, **b)
+
+    monkeypatch.setattr(SnapshotStore, "write", seen)
+    top = shared_path(spark, "tally-dealt").removeprefix("file:")
+    before = set(os.listdir(top)) if os.path.isdir(top) else set()
+    REGISTRY["sync_snapshot"].build(spark, SF)
+    ledgers = [p for name, p, b in plans if name == "expenses" and b["gather"] is False]
+    assert len(ledgers) == 2 and not any("Exchange hashpartitioning(row_id" in p for p in ledgers)
+    [made] = set(os.listdir(top)) - before
+    assert os.listdir(f"{top}/{made}") == []
